@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_rules import quality_rules
+from corvane.llm.secret_scan import digest, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -29,7 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op5_best_fit_packing, op10_quality_rules,)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_best_fit_packing, op10_quality_rules,)}
 
 
 def oracle_sql():

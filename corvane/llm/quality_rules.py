@@ -90,20 +90,18 @@ def thresholds(measured: DataFrame, spread: float = 6.0, least_group: int = 200)
     """lang, source, t_<ratio>: median + max(margin, spread * (upper quartile - median)) from KLL sketches.
 
     Only documents that pass the base rules feed the sketches. Sketches are built per (lang, source); those of a language
-    are merged, and a group below ``least_group`` documents uses its language's merged sketch, one below that the corpus's.
+    are merged, and a group below ``least_group`` documents uses its language's merged sketch.
     """
     fed = ratios(measured.where(~F.col("base_failed"))).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *RATIOS)
     group = fed.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
     lang = group.groupBy("lang").agg(*[F.kll_merge_agg_double(r).alias(f"l_{r}") for r in RATIOS])
-    every = lang.groupBy().agg(*[F.kll_merge_agg_double(f"l_{r}").alias(f"a_{r}") for r in RATIOS])
 
     def limit(r: str, margin: float) -> Column:
-        big = lambda s: F.kll_sketch_get_n_double(s) >= least_group
-        sketch = F.when(big(r), F.col(r)).when(big(f"l_{r}"), F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
+        sketch = F.when(F.kll_sketch_get_n_double(r) >= least_group, F.col(r)).otherwise(F.col(f"l_{r}"))
         q = lambda x: F.kll_sketch_get_quantile_double(sketch, F.lit(x))
         return (q(0.5) + F.greatest(F.lit(margin), spread * (q(0.75) - q(0.5)))).alias(f"t_{r}")
 
-    return group.join(lang, "lang").crossJoin(every).select("lang", "source", *[limit(r, m) for r, m in RATIOS.items()])
+    return group.join(lang, "lang").select("lang", "source", *[limit(r, m) for r, m in RATIOS.items()])
 
 
 def quality_rules(docs: DataFrame, spread: float = 6.0, least_group: int = 200) -> DataFrame:
