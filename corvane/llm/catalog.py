@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.ngram_join import ngram_components
 from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.secret_scan import digest, secret_scan
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
@@ -34,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_secret_scan, op5_best_fit_packing, op10_quality_rules,)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op10_quality_rules,)}
 
 
 def oracle_sql():
