@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.decontaminate import contained_items
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_rules import quality_rules
@@ -33,13 +34,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries():
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op10_quality_rules,)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op9_benchmark_containment, op10_quality_rules,)}
 
 
 def oracle_sql():
