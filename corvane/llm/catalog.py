@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.llm.decontaminate import contained_items
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.packing import best_fit_pack
+from corvane.llm.quality_model import crc_fold, fit_quality, quality_scores
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.secret_scan import digest, secret_scan
 
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scored(frame: DataFrame, held_out) -> DataFrame:
+    return frame.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_fold("doc_id", 3) == 1
+    return scored(quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -44,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op9_benchmark_containment, op10_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op9_benchmark_containment, op10_quality_rules,)}
 
 
 def oracle_sql():
