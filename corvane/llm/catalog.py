@@ -11,6 +11,7 @@ from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_model import crc_fold, fit_quality, quality_scores
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.secret_scan import digest, secret_scan
+from corvane.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_fold("doc_id", 5) == 0
+    return scored(toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
+
+
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -54,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op9_benchmark_containment, op10_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op9_benchmark_containment, op10_quality_rules,)}
 
 
 def oracle_sql():
