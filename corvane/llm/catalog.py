@@ -11,6 +11,7 @@ from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_model import crc_fold, fit_quality, quality_scores
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.secret_scan import digest, secret_scan
+from corvane.llm.substring_dedup import remove_repeats
 from corvane.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -50,6 +51,10 @@ def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -60,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op9_benchmark_containment, op10_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op7_substring_dedup, op9_benchmark_containment, op10_quality_rules,)}
 
 
 def oracle_sql():
