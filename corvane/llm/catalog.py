@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.context_mixing import score_texts
 from corvane.llm.decontaminate import contained_items
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.packing import best_fit_pack
@@ -28,6 +29,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold("doc_id", 5) == 1
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -65,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op7_substring_dedup, op9_benchmark_containment, op10_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_context_mixing, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op7_substring_dedup, op9_benchmark_containment, op10_quality_rules,)}
 
 
 def oracle_sql():

@@ -92,13 +92,13 @@ class Words:
         return run_hash(BYTE[self.data], self.start, self.end)
 
 
-def slabs(batch: pa.RecordBatch, name: str, lower: bool):
-    """(row offset, rows, Words) for stretches of a batch with about SLAB bytes of text; a longer document comes alone."""
+def slabs(batch: pa.RecordBatch, name: str, lower: bool, most: int = SLAB):
+    """(row offset, rows, Words) for stretches of a batch with about ``most`` bytes of text; a longer document comes alone."""
     column = batch.column(batch.schema.get_field_index(name))
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB, "right")))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield at, to - at, Words(column.slice(at, to - at), lower)
         at = to
 
