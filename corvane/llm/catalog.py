@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.context_mixing import score_texts
 from corvane.llm.decontaminate import contained_items
+from corvane.llm.license_scan import fit_licenses, license_scan
 from corvane.llm.ngram_join import ngram_components
 from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_model import crc_fold, fit_quality, quality_scores
@@ -61,6 +62,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs, fit_licenses(docs))
+
+
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -70,8 +76,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op2_context_mixing, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op7_substring_dedup, op9_benchmark_containment, op10_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_context_mixing, op3_ngram_jaccard_join, op4_secret_scan, op5_best_fit_packing, op6_toxicity_neighbours, op7_substring_dedup, op8_license_scan, op9_benchmark_containment, op10_quality_rules, pipeline)}
 
 
 def oracle_sql():
