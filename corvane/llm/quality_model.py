@@ -218,3 +218,19 @@ def quality_scores(docs: DataFrame, state: dict) -> DataFrame:
     ignored, lang, source and doc_id are no inputs.
     """
     return docs.select("doc_id", "text").mapInArrow(scoring(state), "doc_id long, score double")
+
+
+def keeping(state: dict, least: float):
+    def run(batches):
+        machine = Machine.of(state)
+        for batch in batches:
+            for at, n, words in slabs(batch, "text", False):
+                z, _, _ = machine.logit(*machine.rows(*inputs(words)), n)
+                yield batch.slice(at, n).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= least))
+
+    return run
+
+
+def quality_filter(docs: DataFrame, state: dict, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns, all kept as they are) whose score is at least ``least``."""
+    return docs.mapInArrow(keeping(state, least), docs.schema)

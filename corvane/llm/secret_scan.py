@@ -106,6 +106,22 @@ def entropy_spans(text: Column) -> Column:
     return F.transform(F.filter(hot, lambda m: m["r"]["low"] >= 0), lambda m: F.struct((m["start"] + m["r"]["low"]).alias("start"), (m["start"] + m["r"]["high"]).alias("end")))
 
 
+KINDS = [*BASE_KINDS, ENTROPY_KIND]
+
+
+def spans(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def base_spans(text: Column) -> Column:
+    each = [spans(kind, F.filter(located(text, pattern, group), lambda m, least=least: F.length(m["part"]) >= least)) for kind, (pattern, group, least) in BASE_KINDS.items()]
+    return F.sort_array(F.concat(*each))
+
+
+def apart(more: Column, base: Column) -> Column:
+    return F.sort_array(F.filter(more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+
+
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and extra (array<struct<start, rank, end, kind>> in order) of every row of ``docs`` (doc_id, text).
 
@@ -114,15 +130,29 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     spans stay whatever the allow-list says. Starts and ends are code points, the end exclusive.
     """
     text = F.coalesce("text", F.lit(""))
-    kinds = [*BASE_KINDS, ENTROPY_KIND]
+    out = docs.select("doc_id", base_spans(text).alias("base"), spans(ENTROPY_KIND, entropy_spans(text)).alias("more"))
+    return out.select("doc_id", "base", apart(F.col("more"), F.col("base")).alias("extra"))
 
-    def spans(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kinds.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    each = [spans(kind, F.filter(located(text, pattern, group), lambda m, least=least: F.length(m["part"]) >= least)) for kind, (pattern, group, least) in BASE_KINDS.items()]
-    out = docs.select("doc_id", F.sort_array(F.concat(*each)).alias("base"), spans(ENTROPY_KIND, entropy_spans(text)).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.select("doc_id", "base", F.sort_array(apart).alias("extra"))
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars``, if there, counted anew.
+
+    All rows and columns stay; texts without a secret, null ones included, are unchanged.
+    """
+    text = F.coalesce("text", F.lit(""))
+    found = docs.withColumns({"__base": base_spans(text), "__more": spans(ENTROPY_KIND, entropy_spans(text))}).withColumn("__all", F.sort_array(F.concat("__base", apart(F.col("__more"), F.col("__base")))))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        out = F.when(s["end"] <= a["at"], a["out"]).when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], before, F.lit(mark)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+    clean = F.aggregate("__all", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size("__all") > 0, clean).otherwise(F.col("text"))).drop("__base", "__more", "__all")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def span_text(spans: Column) -> Column:
