@@ -1,13 +1,18 @@
-"""Queries of the retrieval engine and their SQL counterparts."""
+"""All queries of the retrieval engine and their SQL counterparts."""
+
+from __future__ import annotations
+
+from corvane.plans import registry
+from corvane.plans import text_plans  # noqa: F401  registers its queries
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return registry.QUERIES["txt1_tokenize"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
