@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from corvane.plans import registry
-from corvane.plans import text_plans  # noqa: F401  registers its queries
+from corvane.plans import retrieval_plans, text_plans  # noqa: F401  register their queries
 
 
 def flagship(spark, sf_dir):
-    return registry.QUERIES["txt1_tokenize"](spark, sf_dir)
+    return registry.QUERIES["ret17_hybrid_search"](spark, sf_dir)
 
 
 def queries():
