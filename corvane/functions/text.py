@@ -127,11 +127,11 @@ def structure_flags(text: Column) -> dict[str, Column]:
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.trim(text).rlike("[.!?]$")
+    return text.rlike("[.!?]\\s*\\z")
 
 
 def starts_sentence(text: Column) -> Column:
-    return F.trim(text).rlike("^[A-Z\\d]")
+    return text.rlike("\\A\\s*[A-Z\\d]")
 
 
 CITATION = "\\[source:([^\\]]+)\\]"

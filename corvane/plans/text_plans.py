@@ -108,7 +108,7 @@ def txt16_enrich_metadata(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[c.alias(k) for k, c in T.structure_flags(F.col("html")).items()])
 
 
-@query("select doc_id, regexp_matches(trim(text), '[.!?]$') as ends, regexp_matches(trim(text), '^[A-Z\\d]') as starts from documents")
+@query("select doc_id, regexp_matches(text, '[.!?]\\s*$') as ends, regexp_matches(text, '^\\s*[A-Z\\d]') as starts from documents")
 def txt17_boundary_flags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.ends_sentence(F.col("text")).alias("ends"), T.starts_sentence(F.col("text")).alias("starts"))
 
