@@ -233,13 +233,13 @@ def type_sql(low="lower(q)"):
 
 @query(f"""with t as (select *, {type_sql()} as query_type, len({WORDS.replace('text', 'q')}) as word_count from {PHRASED}), c as (select *, round(least(1.0, (word_count <= 4)::int * 0.3 + (word_count >= 20)::int * 0.2 + ((length(lower(q)) - length(replace(lower(q), ' and ', ''))) / 5 >= 2)::int * 0.3
   + regexp_matches(lower(q), '\\band\\s+what\\b|\\band\\s+how\\b')::int * 0.4 + regexp_matches(q, '\\?.*\\?')::int * 0.4 + (query_type = 'multi_hop')::int * 0.3 + (query_type = 'comparative')::int * 0.2), 6) as complexity from t)
-  select conv_id, turn, query_type, complexity, query_type not in ('exact_term', 'negation') and complexity >= 0.1 as needs_rewrite, word_count, case query_type when 'exact_term' then 'PASSTHROUGH' when 'negation' then 'PASSTHROUGH' when 'comparative' then 'DECOMPOSE' when 'multi_hop' then 'DECOMPOSE' when 'procedural' then 'HYDE' when 'factual' then 'HYDE' else 'MULTI_QUERY' end as technique from c""")
+  select conv_id, turn, query_type, complexity::double as complexity, query_type not in ('exact_term', 'negation') and complexity >= 0.1 as needs_rewrite, word_count, case query_type when 'exact_term' then 'PASSTHROUGH' when 'negation' then 'PASSTHROUGH' when 'comparative' then 'DECOMPOSE' when 'multi_hop' then 'DECOMPOSE' when 'procedural' then 'HYDE' when 'factual' then 'HYDE' else 'MULTI_QUERY' end as technique from c""")
 def qry1_analyze_query(spark, sf):
     a = Q.analysis(F.col("q"))
     return phrased(spark, sf).select("conv_id", "turn", *[a[k].alias(k) for k in ("query_type", "complexity", "needs_rewrite", "word_count", "technique")])
 
 
-@query(f"with t as (select *, {type_sql()} as k from {PHRASED}) select conv_id, turn, round(least(1.0, (len({WORDS.replace('text', 'q')}) <= 4)::int * 0.3 + contains(lower(q), ' and ')::int * 0.3 + regexp_matches(q, '\\?.*\\?')::int * 0.4 + (k in ('multi_hop', 'comparative'))::int * 0.2), 6) as complexity from t")
+@query(f"with t as (select *, {type_sql()} as k from {PHRASED}) select conv_id, turn, round(least(1.0, (len({WORDS.replace('text', 'q')}) <= 4)::int * 0.3 + contains(lower(q), ' and ')::int * 0.3 + regexp_matches(q, '\\?.*\\?')::int * 0.4 + (k in ('multi_hop', 'comparative'))::int * 0.2), 6)::double as complexity from t")
 def qry2_optimizer_analysis(spark, sf):
     q = F.col("q")
     return phrased(spark, sf).select("conv_id", "turn", Q.optimizer_complexity(q, Q.query_type(q)).alias("complexity"))
@@ -439,7 +439,7 @@ def smp2_top_k(spark, sf):
     return numerics.top_k_renormalised(p, "p", 3, "lang", "source").select("lang", "source", F.round("q", 6).alias("q"))
 
 
-@query("select t, label, round(exp(t2 / t) / sum(exp(t2 / t)) over (partition by t), 6) as p from (select label, count(*) / 100.0 as t2 from embeddings group by label), (select unnest([0.5, 1.0, 2.0]) as t)")
+@query("select t, label, round(exp(t2 / t) / sum(exp(t2 / t)) over (partition by t), 6) as p from (select label, count(*) / 100.0 as t2 from embeddings group by label), (select unnest([0.5, 1.0, 2.0])::double as t)")
 def smp3_temperature(spark, sf):
     z = table(spark, sf, "embeddings").groupBy("label").agg((F.count("*") / 100.0).alias("z")).select("label", "z", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0)))).alias("t"))
     return z.select("t", "label", F.round(numerics.softmax(F.col("z") / F.col("t"), "t"), 6).alias("p"))
@@ -473,7 +473,7 @@ def tfm5_parameters(spark, sf):
     return m.select("name", numerics.parameters(*[F.col(c) for c in ("v", "d", "l", "kv", "ff", "tied")]).alias("n"))
 
 
-@query("select l, n, 2 * l * 8 * n * 128 * 2 as bytes from (select unnest([16, 32, 80]) as l), (select unnest([1024, 8192, 131072]) as n)")
+@query("select l, n, 2::bigint * l * 8 * n * 128 * 2 as bytes from (select unnest([16, 32, 80]) as l), (select unnest([1024, 8192, 131072]) as n)")
 def tfm6_kv_cache(spark, sf):
     many = lambda *x: F.explode(F.array(*map(F.lit, x)).cast("array<long>"))
     g = spark.range(1).select(many(16, 32, 80).alias("l")).select("l", many(1024, 8192, 131072).alias("n"))

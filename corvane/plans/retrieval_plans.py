@@ -132,7 +132,7 @@ def ret20_rrf_sensitivity(spark, sf):
     return ks.select("k", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank")).withColumn("share", F.round(1 / (F.col("k") + F.col("rank")), 9))
 
 
-@query("select tf, k1, round(tf * (k1 + 1) / (tf + k1), 9) as weight from (select unnest([0.5, 1.2, 1.5, 2.0]) as k1), (select unnest(range(1, 31)) as tf)")
+@query("select tf, k1, round(tf * (k1 + 1) / (tf + k1), 9) as weight from (select unnest([0.5, 1.2, 1.5, 2.0])::double as k1), (select unnest(range(1, 31)) as tf)")
 def ret20_tf_saturation(spark, sf):
     ks = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.5, 1.2, 1.5, 2.0)))).alias("k1"))
     one = ks.select("k1", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("tf"))
