@@ -114,8 +114,10 @@ def spans(kind: str, found: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    each = [spans(kind, F.filter(located(text, pattern, group), lambda m, least=least: F.length(m["part"]) >= least)) for kind, (pattern, group, least) in BASE_KINDS.items()]
-    return F.sort_array(F.concat(*each))
+    def kept(pattern: str, group: int, least: int) -> Column:
+        return F.filter(located(text, pattern, group), lambda m: F.length(m["part"]) >= least)
+
+    return F.sort_array(F.concat(*[spans(kind, kept(*rule)) for kind, rule in BASE_KINDS.items()]))
 
 
 def apart(more: Column, base: Column) -> Column:
