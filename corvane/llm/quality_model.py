@@ -208,6 +208,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
         cols = [[np.asarray(v) for v in got.column(c).to_pylist()] for c in ("index", "value", "stats")]
         examples = [(i.astype(np.int64), x.astype(float), s) for i, x, s in zip(*cols, strict=True)]
         machine.fit(examples, y)
+    else:
+        machine.v[:] = 0
     return machine.packed()
 
 

@@ -101,13 +101,13 @@ class BlockMaxIndex:
         self.top = np.zeros((len(vocabulary), self.blocks), np.float32)
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        owner = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        owner = np.repeat(np.arange(len(vectors)), np.array([len(v[0]) for v in vectors], np.int64))
         np.maximum.at(self.top, (term, owner // BLOCK), weight * (1 + 1e-6))
         by = np.lexsort((owner, term, owner // BLOCK))
         self.weight, self.owner = weight[by], owner[by]
         key = owner[by] // BLOCK * max(len(vocabulary), 1) + term[by]
-        self.start = np.searchsorted(key, np.arange(self.blocks * len(vocabulary))).reshape(self.blocks, -1)
-        self.stop = np.searchsorted(key, np.arange(self.blocks * len(vocabulary)), "right").reshape(self.blocks, -1)
+        self.start = np.searchsorted(key, np.arange(self.blocks * len(vocabulary))).reshape(self.blocks, len(vocabulary))
+        self.stop = np.searchsorted(key, np.arange(self.blocks * len(vocabulary)), "right").reshape(self.blocks, len(vocabulary))
 
     def vector(self, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the vocabulary, weight) with unit length; empty without a word of the vocabulary."""
