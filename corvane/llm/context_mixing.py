@@ -2,11 +2,11 @@
 
 A text is a sequence of tokens: lower-cased words and one end. The ``HEAD`` most frequent tokens and an escape have a Huffman
 code, and each bit of a token's code is predicted from several hashed contexts: the place in the code alone, with the last
-word, with the last two, and with the last very frequent word. An escaped word is spelled in bytes, whose bits are
-predicted from the one to four bytes before, averaged with its share among counted words. Each context's two counts
+word, with the last two, and with the last very frequent word. An escaped word's probability is the mean of its share among the
+counted words and of its spelling in bytes, whose bits are predicted from the one to four bytes before. Each context's two counts
 give a probability; their log-odds are added with weights that a gate chooses by how many contexts are known and how deep
 the bit lies, and a logistic function makes a probability of the sum (logistic mixing). The weights start from those
-learned over all training documents and are corrected after every ``CHUNK`` tokens of the document being scored, from
+learned on a bounded sample of training documents and are corrected after every ``CHUNK`` tokens of the document being scored, from
 bits already coded only. The probabilities are proper: over all texts they add up to at most one.
 """
 
@@ -30,6 +30,8 @@ from corvane.llm.words import U, Words, slabs
 HEAD = 4096
 FREQUENT = 128
 KNOWN_BITS = 19
+#: Words seen at least twice have a share; the spelling is learned from words seen less than eight times.
+LEAST_COUNT, SPELLED_BELOW = 2, 8
 WORD_SLOTS, BYTE_SLOTS = 22, 21
 BLOCK = 1 << 14
 WORD_INPUTS, BYTE_INPUTS = 5, 5
@@ -122,7 +124,7 @@ class Bits:
         self.depth = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
         key = node.astype(np.uint64) * A
         one, two, frequent = (x.astype(np.uint64)[self.token] for x in (one, two, frequent))
-        self.slots = [mix_down(key, WORD_SLOTS), mix_down(key ^ (one + U(1)) * B, WORD_SLOTS), mix_down(key ^ (one + U(1)) * B ^ (two + U(1)) * C, WORD_SLOTS), mix_down(key + (frequent + U(7)) * C, WORD_SLOTS)]
+        self.slots = [node.astype(np.int32), mix_down(key ^ (one + U(1)) * B, WORD_SLOTS), mix_down(key ^ (one + U(1)) * B ^ (two + U(1)) * C, WORD_SLOTS), mix_down(key + (frequent + U(7)) * C, WORD_SLOTS)]
 
 
 def mix_down(h: np.ndarray, bits: int) -> np.ndarray:
@@ -153,7 +155,14 @@ def byte_bits(byte: np.ndarray, context: list[np.ndarray]):
         yield ((byte >> U(7 - j)) & U(1)).astype(np.int8), [mix_down(c + node * A, BYTE_SLOTS) for c in context]
 
 
-def counting(code: Code):
+def among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Mask of the hashes found in the sorted array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def counting(code: Code, known: np.ndarray):
     """Counts of coded bits by context over one partition's training documents, in compressed blocks."""
 
     def run(batches):
@@ -166,9 +175,11 @@ def counting(code: Code):
                 bits = Bits(code, token, doc)
                 for slot in bits.slots:
                     np.add.at(word, slot * 2 + bits.bit, 1)
-                rare = place[bits.symbol == code.escape]
+                some = np.flatnonzero(bits.symbol == code.escape)
+                some = some[~among(known, token[some])]
+                rare = place[some]
                 if len(rare):
-                    h = token[bits.symbol == code.escape]
+                    h = token[some]
                     _, at, times = np.unique(h, return_index=True, return_counts=True)
                     start, end = words.start[rare[at]], words.end[rare[at]]
                     n = end - start
@@ -259,23 +270,25 @@ class Mixer:
         owner = doc[bits.token]
         order = np.argsort(chunk, kind="stable")
         edges = np.searchsorted(chunk[order], np.arange(chunk.max() + 2)) if len(chunk) else [0]
-        w = np.repeat(self.weights[None], len(words), 0)
-        cost = np.zeros(len(words))
+        key, x, y = (owner * GATES + gate)[order], x[order], bits.bit[order].astype(np.float32)
+        w = np.repeat(self.weights[None].astype(np.float32), len(words), 0).reshape(-1, WORD_INPUTS)
+        cost = np.zeros(len(words) * GATES)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = order[a:b]
-            d, g, v, y = owner[own], gate[own], x[own], bits.bit[own]
-            z = np.clip((w[d, g] * v).sum(1), -12, 12)
+            k, v = key[a:b], x[a:b]
+            z = np.clip(np.einsum("ij,ij->i", w[k], v), -12, 12)
             p = 1 / (1 + np.exp(-z))
-            cost -= np.bincount(d, weights=np.log2(np.where(y == 1, p, 1 - p)), minlength=len(words))
-            key = d * GATES + g
-            used, back, n = np.unique(key, return_inverse=True, return_counts=True)
-            err = y - p
-            step = np.stack([np.bincount(back, weights=err * v[:, k], minlength=len(used)) for k in range(WORD_INPUTS)], 1) / np.sqrt(n)[:, None]
-            w[used // GATES, used % GATES] += 0.015 * step
+            err = y[a:b] - p
+            low, size = k.min() // GATES * GATES, int(k.max() - k.min() // GATES * GATES) + 1
+            k = k - low
+            cost[low : low + size] -= np.bincount(k, weights=np.log2(1 - np.abs(err)), minlength=size)
+            n = np.bincount(k, minlength=size)
+            step = np.stack([np.bincount(k, weights=err * v[:, i], minlength=size) for i in range(WORD_INPUTS)], 1)
+            w[low : low + size] += (0.015 * step / np.sqrt(np.maximum(n, 1))[:, None]).astype(np.float32)
+        cost, w = cost.reshape(len(words), GATES).sum(1), w.reshape(len(words), GATES, WORD_INPUTS)
         if learn and len(words):
             self.weights += 0.3 * (np.average(w, axis=0, weights=words.count + 1) - self.weights)
         rare = bits.symbol == self.code.escape
-        return cost, (doc[rare], place[rare], token[rare])
+        return cost, (doc[rare], place[rare], token[rare]), (token, doc)
 
     def spelling_cost(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn: bool) -> np.ndarray:
         """Bits of each word, spelled."""
@@ -341,7 +354,8 @@ def learning(state: dict):
         mixer, n = Mixer(state), 0
         for batch in batches:
             for _, rows, words in slabs(batch, "text", True, PIECE):
-                _, (_, place, h) = mixer.word_cost(words, True)
+                _, (_, place, h), _ = mixer.word_cost(words, True)
+                place, h = place[~among(mixer.known, h)], h[~among(mixer.known, h)]
                 _, at = np.unique(h, return_index=True)
                 at = at[:: max(1, len(at) // 4000)]
                 mixer.spelling_cost(words.data, words.start[place[at]], words.end[place[at]], True)
@@ -359,14 +373,13 @@ def scoring(state: dict):
         mixer, cache = Mixer(state), Spellings.of(state["name"])
         for batch in batches:
             for at, rows, words in slabs(batch, "text", True, PIECE):
-                bits, (doc, place, h) = mixer.word_cost(words, False)
+                bits, (doc, place, h), (token, owner) = mixer.word_cost(words, False)
+                _, share = mixer.shares(h)
                 uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
                 spot = place[first]
                 spell = cache.get(uniq, lambda m, spot=spot, words=words: mixer.spelling_cost(words.data, words.start[spot[m]], words.end[spot[m]], False))
-                count, share = mixer.shares(uniq)
-                cost = -np.log2(0.5 * share + 0.5 * np.exp2(-spell.astype(float)))
-                bits = bits + np.bincount(doc, weights=cost[back], minlength=rows)
-                token, owner, _ = with_ends(words)
+                cost = -np.log2(0.5 * share + 0.5 * np.exp2(-spell[back].astype(float)))
+                bits = bits + np.bincount(doc, weights=cost, minlength=rows)
                 times, _ = mixer.shares(token)
                 n_tokens = np.bincount(owner, minlength=rows)
                 known = times > 0
@@ -403,13 +416,14 @@ def tokens_counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))], names=["hash", "n"])
 
 
-def score_texts(docs: DataFrame, train: Column) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, most: int = 2000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows with ``train`` true (null counts as false). A null or empty text is the end alone; repeated
     rows are scored each alike; without training rows every token is unknown; an empty table gives an empty result; further columns are
     ignored. What is broadcast is bounded: counts of the at most ``1 << KNOWN_BITS`` most frequent tokens and hashed tables
-    of fixed size. All other tokens' counts are found by a join.
+    of fixed size. All other tokens' counts are found by a join. Counts cover all training rows; the mixer's start weights (some
+    dozens of numbers, corrected in every document anyway) are fitted on ``most`` of them, those with the least hash of doc_id.
     """
     docs = docs.withColumn("_train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "_train")
     learned = docs.where("_train").select("text")
@@ -421,14 +435,14 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         room -= spread[c][0]
         if room < 0:
             break
-        least = c
+        least = max(c, LEAST_COUNT)
     top = vocabulary.where(F.col("c") >= least).toArrow()
     known, counts = top.column("hash").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     by = np.argsort(known)
     known, counts = known[by], counts[by]
     code = Code(known, counts, total)
     rare = code.symbols(known) == code.escape
-    blocks = learned.mapInArrow(counting(code), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
+    blocks = learned.mapInArrow(counting(code, known[counts >= SPELLED_BELOW]), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
     size = (1 << WORD_SLOTS) * 2 // BLOCK
     table = np.zeros((1 << WORD_SLOTS) + (1 << BYTE_SLOTS), np.uint16)
     for r in blocks:
@@ -437,7 +451,9 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     weights = np.tile(np.array([0.25, 0.35, 0.3, 0.3, 0.0]), (GATES, 1))
     byte_weights = np.tile(np.array([0.1, 0.25, 0.35, 0.4, 0.0]), (BYTE_GATES, 1))
     state = {"code": code, "word": zlib.compress(table[:split].tobytes(), 1), "byte": zlib.compress(table[split:].tobytes(), 1), "weights": weights, "byte_weights": byte_weights, "known": known, "counts": counts, "known_total": int(counts[rare].sum()), "name": uuid.uuid4().hex}
-    got = learned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
+    sampled = docs.where("_train").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    tuned = docs.where("_train").join(F.broadcast(sampled.distinct()), "doc_id", "left_semi").select("text")
+    got = tuned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
     pos = got.select("n", F.posexplode(F.concat("w", "b")).alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
     if pos:
         flat = np.array([x for _, x in sorted((r["i"], r["x"]) for r in pos)])
