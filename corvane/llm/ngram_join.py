@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.components import components
 from corvane.llm.store import settled
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs
 
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 BLOCK = 4096
 SEEDS = (0, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 
@@ -91,7 +92,7 @@ def bucket(shingle: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(docs: DataFrame, size: int) -> bytes:
-    """For each bucket of the sketch the logarithm of how far its count lies above the mean; 1 MB whatever the input."""
+    """For each bucket of the sketch the logarithm of how far its count lies above the mean; 2 MB whatever the input."""
     rows = docs.select("text").mapInArrow(counted(size), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.float64)
     for r in rows:
@@ -102,7 +103,7 @@ def frequency_levels(docs: DataFrame, size: int) -> bytes:
 
 
 def prefix(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """Mask, in the returned order, of prefix shingles: indices into doc/shingle."""
+    """Indices of the prefix shingles, document by document in the order of the seed."""
     key = mix(shingle ^ U(seed)) if seed else shingle
     order = np.lexsort((key, levels[bucket(shingle)], doc))
     start = np.cumsum(n) - n
@@ -118,7 +119,9 @@ def prefixes(size: int, percent: int, packed: bytes):
                 doc, shingle = shingle_sets(words, size)
                 n = np.bincount(doc, minlength=rows)
                 kept = prefix(doc, shingle, n, levels, percent, SEEDS[0])
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[kept].view(np.int64)), batch.column(0).take(pa.array(doc[kept] + at)), pa.array(set_hashes(doc, shingle, n).view(np.int64)[doc[kept]]), pa.array(n[doc[kept]].astype(np.int32))], names=["shingle", "doc_id", "set_id", "n"])
+                size_of = np.unique(doc[kept], return_counts=True)[1]
+                pos = np.arange(len(kept)) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[kept].view(np.int64)), batch.column(0).take(pa.array(doc[kept] + at)), pa.array(set_hashes(doc, shingle, n).view(np.int64)[doc[kept]]), pa.array(n[doc[kept]].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["shingle", "doc_id", "set_id", "n", "pos"])
 
     return run
 
@@ -162,9 +165,53 @@ def verified(size: int, percent: int, packed: bytes):
     return run
 
 
-def near(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that leave ``percent`` possible."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def sieve(packed_ids: bytes):
+    """Documents whose hash may be wanted, before a join settles it."""
+
+    def run(batches):
+        bitmap = opened(packed_ids)
+        for batch in batches:
+            keep = np.flatnonzero(members(bitmap, batch.column(2).to_numpy().view(np.uint64)))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["doc_id", "text"])
+
+    return run
+
+
+def leads(percent: int) -> Column:
+    """Whether a row is in its set's short prefix, which is enough for the smaller set of a pair.
+
+    The other set is at least as large, so the overlap must be at least 2 * percent * n / (100 + percent), and one of the first
+    n + 1 less that many shingles is shared; the larger set's is in its own, longer prefix.
+    """
+    return F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+
+
+def paired(left: DataFrame, right: DataFrame, percent: int, wanted: Column | None = None) -> DataFrame:
+    """Pairs of a smaller set from ``left`` and a larger one from ``right`` that share a prefix shingle and may reach ``percent``.
+
+    Equal sizes are ordered by set. A shared shingle at places i and j bounds the overlap by the smaller place, itself and the
+    smaller rest; sets of x and y shingles need percent * (x + y) / (100 + percent).
+    """
+    named = lambda df, x: df.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c in ("set_id", "doc_id", "n", "c", "pos")])
+    n_a, n_b, i, j = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
+    ordered = (n_a < n_b) | ((n_a == n_b) & (F.col("set_id_a") < F.col("set_id_b")))
+    size = (100 * n_a >= percent * n_b) & ((100 + percent) * (F.least(i, j) + F.least(n_a - i, n_b - j)) >= percent * (n_a + n_b))
+    keep = ordered & size if wanted is None else ordered & size & wanted
+    both = named(left.where(leads(percent)), "a").join(named(right, "b"), "shingle").where(keep)
+    return both.select(*[F.col(f"{c}_{x}").alias(f"{v}{x}") for c, v in (("set_id", ""), ("doc_id", "doc_")) for x in "ab"]).distinct()
+
+
+def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole prefixes share enough for ``percent``: c shared ones allow an overlap of c and the larger rest.
+
+    marks: 32-bit hashes of each set's prefix shingles that another prefix has (equal hashes of different ones let a pair through).
+    """
+    side = lambda x: marks.select(*[F.col(c).alias(f"{c}_{x}" if c != "set_id" else x) for c in ("set_id", "n", "marks")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
+    enough = (100 + percent) * (F.size(F.array_intersect("marks_a", "marks_b")) + rest) >= percent * (F.col("n_a") + F.col("n_b"))
+    return both.where(enough).select(pairs.columns)
 
 
 def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, hubs: int = 3) -> DataFrame:
@@ -178,34 +225,34 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, hubs: in
     docs = docs.select("doc_id", "text")
     known = settled(docs.mapInArrow(summaries(size), "doc_id long, n_shingles long, set_id long"), "sets")
     packed = frequency_levels(docs, size)
-    rows = docs.mapInArrow(prefixes(size, percent, packed), "shingle long, doc_id long, set_id long, n int")
+    rows = docs.mapInArrow(prefixes(size, percent, packed), "shingle long, doc_id long, set_id long, n int, pos int")
     group = Window.partitionBy("shingle")
-    shared = rows.repartition("shingle").groupBy("shingle", "set_id", "n").agg(F.min("doc_id").alias("doc_id"))
+    shared = rows.repartition("shingle").groupBy("shingle", "set_id", "n", "pos").agg(F.min("doc_id").alias("doc_id"))
     shared = shared.withColumn("many", F.count("*").over(group)).where("many > 1")
     shared = settled(shared, "shared")
-    central = shared.groupBy("set_id").agg(F.sum("many").alias("weight"), F.min("doc_id").alias("doc_id"))
-    texts = settled(docs.join(central.select("doc_id", "set_id"), "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
+    central = shared.groupBy("set_id").agg(F.avg("many").alias("weight"))
+    marks = shared.groupBy("set_id", "n").agg(F.collect_set(F.hash("shingle")).alias("marks"))
 
     def links(pairs: DataFrame) -> DataFrame:
+        pairs = settled(promising(pairs, marks, percent), "pairs")
+        need = settled(pairs.select(F.col("a").alias("set_id"), F.col("doc_a").alias("doc_id")).union(pairs.select("b", "doc_b")).distinct(), "need")
+        packed_ids = bitmap_of(need.select(F.xxhash64("doc_id").alias("h")), 24)
+        some = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(sieve(packed_ids), "doc_id long, text string")
+        texts = settled(some.join(need, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
         side = lambda x: texts.select(F.col("set_id").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
         return settled(both.mapInArrow(verified(size, percent, packed), "a long, b long"), "found")
 
-    ranked = shared.drop("doc_id").join(central.select("set_id", "weight"), "set_id")
+    ranked = shared.join(central, "set_id")
     hub = ranked.withColumn("r", F.row_number().over(group.orderBy(F.desc("weight"), "set_id"))).where(F.col("r") <= hubs)
-    hub = hub.select("shingle", F.col("set_id").alias("h"), F.col("n").alias("hn"))
-    first = shared.join(hub, "shingle").where((F.col("set_id") != F.col("h")) & near(F.col("n"), F.col("hn"), percent))
-    first = links(first.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct())
+    first = paired(shared, hub, percent).union(paired(hub, shared, percent)).distinct()
+    first = links(first)
     found = components(first, "a", "b")
 
-    label = shared.drop("doc_id", "many").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
-    mixed = label.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).where("lo <> hi").select("shingle", "set_id", "n", "c")
-    mixed = settled(mixed, "mixed")
-    left = mixed.select("shingle", *[F.col(x).alias(f"{x}_a") for x in ("set_id", "n", "c")])
-    right = mixed.select("shingle", *[F.col(x).alias(f"{x}_b") for x in ("set_id", "n", "c")])
-    rest = left.join(right, "shingle").where((F.col("set_id_a") < F.col("set_id_b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b"), percent))
-    pairs = rest.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    found = components(first.union(links(pairs)), "a", "b")
+    label = shared.drop("many").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+    mixed = settled(label.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).where("lo <> hi").select("shingle", "set_id", "doc_id", "n", "pos", "c"), "mixed")
+    rest = paired(mixed, mixed, percent, F.col("c_a") != F.col("c_b"))
+    found = components(first.union(links(rest)), "a", "b")
 
     nodes = known.where("n_shingles > 0").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))

@@ -17,19 +17,17 @@ A window (``window`` consecutive words) is kept in the document with the least d
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.store import settled
 from corvane.llm.words import U, Words, grams, slabs
 
 BITS = 26
-BLOCK = 1 << 13  # bytes of the bitmap in a block
 
 
 def least_in_windows(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,43 +57,21 @@ def anchors(window: int):
     return run
 
 
-def marked(batches):
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for batch in batches:
-        spot = (batch.column(0).to_numpy().view(np.uint64) >> U(64 - BITS)).astype(np.int64)
-        np.bitwise_or.at(bitmap, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-    block = [i for i in range(len(bitmap) // BLOCK) if bitmap[i * BLOCK : (i + 1) * BLOCK].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([zlib.compress(bitmap[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in block], pa.binary())], names=["block", "data"])
-
-
-def joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BLOCK, np.uint8)
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            total |= np.frombuffer(zlib.decompress(data), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["block", "data"])
-
-
 def shared_anchors(docs: DataFrame, window: int) -> bytes:
     """The bitmap of anchors that two documents have; 8 MB at most whatever the input, and only a filter."""
     rows = docs.mapInArrow(anchors(window), "anchor long, doc_id long")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    blocks = shared.mapInArrow(marked, "block int, data binary").groupBy("block").applyInArrow(joined, "block int, data binary").collect()
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in blocks:
-        bitmap[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
-    return zlib.compress(bitmap.tobytes(), 1)
+    return bitmap_of(shared, BITS)
 
 
 def likely_windows(window: int, packed: bytes):
     def run(batches):
-        bitmap = np.frombuffer(zlib.decompress(packed), np.uint8)
+        bitmap = opened(packed)
         for batch in batches:
             for at, _, words in slabs(batch, "text", False):
                 h = words.hashes()
                 low, doc = least_in_windows(words, h, window)
-                spot = (low >> U(64 - BITS)).astype(np.int64)
-                some = np.flatnonzero(bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                some = np.flatnonzero(members(bitmap, low))
                 if not len(some):
                     continue
                 whole, _ = long_grams(h, words.first, window)
