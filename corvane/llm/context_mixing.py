@@ -6,7 +6,7 @@ word, with the last two, and with the last very frequent word. An escaped word's
 counted words and of its spelling in bytes, whose bits are predicted from the one to four bytes before. Each context's two counts
 give a probability; their log-odds are added with weights that a gate chooses by how many contexts are known and how deep
 the bit lies, and a logistic function makes a probability of the sum (logistic mixing). The weights start from those
-learned on a bounded sample of training documents and are corrected after every ``CHUNK`` tokens of the document being scored, from
+learned over all training documents and are corrected after every ``CHUNK`` tokens of the document being scored, from
 bits already coded only. The probabilities are proper: over all texts they add up to at most one.
 """
 
@@ -30,8 +30,7 @@ from corvane.llm.words import U, Words, slabs
 HEAD = 4096
 FREQUENT = 128
 KNOWN_BITS = 19
-#: Words seen at least twice have a share; the spelling is learned from words seen less than eight times.
-LEAST_COUNT, SPELLED_BELOW = 2, 8
+LEAST_COUNT = 2
 WORD_SLOTS, BYTE_SLOTS = 22, 21
 BLOCK = 1 << 14
 WORD_INPUTS, BYTE_INPUTS = 5, 5
@@ -157,14 +156,7 @@ def byte_bits(byte: np.ndarray, context: list[np.ndarray]):
         yield ((byte >> U(7 - j)) & U(1)).astype(np.int8), [mix_down(c + node * A, BYTE_SLOTS) for c in context]
 
 
-def among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Mask of the hashes found in the sorted array."""
-    if not len(known):
-        return np.zeros(len(h), bool)
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-
-
-def counting(code: Code, known: np.ndarray):
+def counting(code: Code):
     """Counts of coded bits by context over one partition's training documents, in compressed blocks."""
 
     def run(batches):
@@ -178,7 +170,6 @@ def counting(code: Code, known: np.ndarray):
                 for slot in bits.slots:
                     np.add.at(word, slot.astype(np.int64) * 2 + bits.bit, ONE)
                 some = np.flatnonzero(bits.symbol == code.escape)
-                some = some[~among(known, token[some])]
                 rare = place[some]
                 if len(rare):
                     h = token[some]
@@ -357,9 +348,7 @@ def learning(state: dict):
         for batch in batches:
             for _, rows, words in slabs(batch, "text", True, PIECE):
                 _, (_, place, h), _ = mixer.word_cost(words, True)
-                place, h = place[~among(mixer.known, h)], h[~among(mixer.known, h)]
                 _, at = np.unique(h, return_index=True)
-                at = at[:: max(1, len(at) // 4000)]
                 mixer.spelling_cost(words.data, words.start[place[at]], words.end[place[at]], True)
                 n += len(words.start) + rows
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mixer.weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([mixer.byte_weights.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w", "b"])
@@ -418,14 +407,14 @@ def tokens_counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))], names=["hash", "n"])
 
 
-def score_texts(docs: DataFrame, train: Column, most: int = 2000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows with ``train`` true (null counts as false). A null or empty text is the end alone; repeated
     rows are scored each alike; without training rows every token is unknown; an empty table gives an empty result; further columns are
     ignored. What is broadcast is bounded: counts of the at most ``1 << KNOWN_BITS`` most frequent tokens and hashed tables
-    of fixed size. All other tokens' counts are found by a join. Counts cover all training rows; the mixer's start weights (some
-    dozens of numbers, corrected in every document anyway) are fitted on ``most`` of them, those with the least hash of doc_id.
+    of fixed size. All other tokens' counts are found by a join. Counts and the mixer's start weights cover all training rows,
+    the weights by a pass over each partition, averaged by tokens.
     """
     docs = docs.withColumn("_train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "_train")
     learned = docs.where("_train").select("text")
@@ -444,7 +433,7 @@ def score_texts(docs: DataFrame, train: Column, most: int = 2000) -> DataFrame:
     known, counts = known[by], counts[by]
     code = Code(known, counts, total)
     rare = code.symbols(known) == code.escape
-    blocks = learned.mapInArrow(counting(code, known[counts >= SPELLED_BELOW]), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
+    blocks = learned.mapInArrow(counting(code), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
     size = (1 << WORD_SLOTS) * 2 // BLOCK
     table = np.zeros((1 << WORD_SLOTS) + (1 << BYTE_SLOTS), np.uint16)
     for r in blocks:
@@ -453,9 +442,7 @@ def score_texts(docs: DataFrame, train: Column, most: int = 2000) -> DataFrame:
     weights = np.tile(np.array([0.25, 0.35, 0.3, 0.3, 0.0]), (GATES, 1))
     byte_weights = np.tile(np.array([0.1, 0.25, 0.35, 0.4, 0.0]), (BYTE_GATES, 1))
     state = {"code": code, "word": zlib.compress(table[:split].tobytes(), 1), "byte": zlib.compress(table[split:].tobytes(), 1), "weights": weights, "byte_weights": byte_weights, "known": known, "counts": counts, "known_total": int(counts[rare].sum()), "name": uuid.uuid4().hex}
-    sampled = docs.where("_train").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    tuned = docs.where("_train").join(F.broadcast(sampled.distinct()), "doc_id", "left_semi").select("text")
-    got = tuned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
+    got = learned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
     pos = got.select("n", F.posexplode(F.concat("w", "b")).alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
     if pos:
         flat = np.array([x for _, x in sorted((r["i"], r["x"]) for r in pos)])

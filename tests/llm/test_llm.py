@@ -286,6 +286,53 @@ def test_huffman_code_is_complete():
     assert sum(2.0 ** -int(x) for x in length) == 1.0
 
 
+def test_context_mixing_spells_and_learns_from_everything():
+    """Every escaped type is spelled with its full count, and the byte weights see every type of a slab."""
+    import numpy as np
+    import pyarrow as pa
+
+    code = context_mixing.Code(np.array([context_mixing.END]), np.array([1]), 100)
+    texts = ["often " * 20 + "rare", *(f"type{i}" for i in range(9000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    blocks = next(context_mixing.counting(code)([batch])).to_pylist()
+    table = np.zeros((1 << context_mixing.WORD_SLOTS) * 2 + (1 << context_mixing.BYTE_SLOTS) * 2, np.int64)
+    for r in blocks:
+        at = r["block"] * context_mixing.BLOCK
+        table[at : at + context_mixing.BLOCK] = np.frombuffer(zlib.decompress(r["data"]), np.int32)
+    spelled = sum(len(w) + 1 for t in texts for w in t.split())
+    assert table[(1 << context_mixing.WORD_SLOTS) * 2 :].sum() == spelled * 8 * 4
+    seen = []
+    mixer = context_mixing.Mixer.spelling_cost
+    state = {"code": code, "word": zlib.compress(np.zeros(1 << context_mixing.WORD_SLOTS, np.uint16).tobytes()), "byte": zlib.compress(np.zeros(1 << context_mixing.BYTE_SLOTS, np.uint16).tobytes()),
+             "weights": np.zeros((context_mixing.GATES, context_mixing.WORD_INPUTS)), "byte_weights": np.zeros((context_mixing.BYTE_GATES, context_mixing.BYTE_INPUTS)), "known": np.zeros(0, np.uint64), "counts": np.zeros(0, np.int64), "known_total": 0}
+    try:
+        context_mixing.Mixer.spelling_cost = lambda self, data, start, end, learn: seen.append(len(start))
+        list(context_mixing.learning(state)([batch]))
+    finally:
+        context_mixing.Mixer.spelling_cost = mixer
+    assert sum(seen) == 9002
+
+
+def test_context_mixing_weights_come_from_all_rows(spark, monkeypatch):
+    """Beyond 2,000 training documents too; the number of tokens learned from is that of the training rows."""
+    texts = [f"a{i % 7} b{i % 5}" for i in range(2300)]
+    read, learning = spark.sparkContext.accumulator(0), context_mixing.learning
+
+    def counted(state):
+        inner = learning(state)
+
+        def run(batches):
+            for out in inner(batches):
+                read.add(sum(out.column(0).to_pylist()))
+                yield out
+
+        return run
+
+    monkeypatch.setattr(context_mixing, "learning", counted)
+    context_mixing.score_texts(frame(spark, texts), F.lit(True)).count()
+    assert read.value == 3 * 2300
+
+
 def labelled(spark, texts, bad):
     d = frame(spark, texts)
     return d, spark.createDataFrame([(i, int(i not in bad), int(i in bad)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
