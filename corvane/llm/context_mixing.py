@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ from corvane.llm.words import U, Words, slabs
 HEAD = 4096
 FREQUENT = 128
 KNOWN_BITS = 19
-LEAST_COUNT = 2
 WORD_SLOTS, BYTE_SLOTS = 22, 21
 BLOCK = 1 << 14
 WORD_INPUTS, BYTE_INPUTS = 5, 5
@@ -358,10 +358,11 @@ def learning(state: dict):
 
 def scoring(state: dict):
     """Per document (kind 0): tokens, known tokens, sum of base logarithms of the counted tokens, log10 probability; and
-    (kind 1) the tokens whose counts must be looked up, by hash with their number."""
+    (kind 1) the tokens whose counts must be looked up, by hash with their number and, if escaped, the bits of their spelling."""
 
     def run(batches):
         mixer, cache = Mixer(state), Spellings.of(state["name"])
+        done = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, rows, words in slabs(batch, "text", True, PIECE):
                 bits, (doc, place, h), (token, owner) = mixer.word_cost(words, False)
@@ -369,16 +370,17 @@ def scoring(state: dict):
                 uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
                 spot = place[first]
                 spell = cache.get(uniq, lambda m, spot=spot, words=words: mixer.spelling_cost(words.data, words.start[spot[m]], words.end[spot[m]], False))
-                cost = -np.log2(0.5 * share + 0.5 * np.exp2(-spell[back].astype(float)))
-                bits = bits + np.bincount(doc, weights=cost, minlength=rows)
+                at_hand = share > 0
+                bits = bits + np.bincount(doc[at_hand], weights=1 - np.logaddexp2(np.log2(share[at_hand]), -spell[back[at_hand]].astype(float)), minlength=rows)
                 times, _ = mixer.shares(token)
                 n_tokens = np.bincount(owner, minlength=rows)
                 known = times > 0
                 base = np.bincount(owner[known], weights=np.log10(times[known] + 0.5), minlength=rows)
                 n_known = np.bincount(owner[known], minlength=rows)
-                ids = batch.column(0).slice(at, rows)
+                ids, row = batch.column(0).slice(at, rows), np.arange(done, done + rows)
+                done += rows
                 none = lambda n, t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), ids, none(rows, pa.int64()), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(np.diff(words.off))], names=OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), ids, none(rows, pa.int64()), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(np.diff(words.off)), none(rows, pa.float32()), pa.array(row)], names=OUT)
                 unknown = token[~known]
                 if len(unknown):
                     order = np.lexsort((unknown, owner[~known]))
@@ -387,13 +389,16 @@ def scoring(state: dict):
                     new[1:] = (u[1:] != u[:-1]) | (d[1:] != d[:-1])
                     edge = np.flatnonzero(new)
                     n = len(edge)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), ids.take(pa.array(d[edge])), pa.array(u[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(u)))), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), none(n, pa.int64())], names=OUT)
+                    spot = np.minimum(np.searchsorted(uniq, u[edge]), max(len(uniq) - 1, 0))
+                    coded = u[edge] != uniq[spot] if len(uniq) else np.ones(n, bool)
+                    bits_each = pa.array(spell[spot] if len(uniq) else np.zeros(n, np.float32), pa.float32(), mask=coded)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none(n, pa.int64()), pa.array(u[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(u)))), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), none(n, pa.int64()), bits_each, pa.array(row[d[edge]])], names=OUT)
 
     return run
 
 
-OUT = ["kind", "doc_id", "hash", "n", "n_known", "base", "score", "n_bytes"]
-OUT_SCHEMA = "kind int, doc_id long, hash long, n long, n_known long, base double, score double, n_bytes long"
+OUT = ["kind", "doc_id", "hash", "n", "n_known", "base", "score", "n_bytes", "spelled", "row"]
+OUT_SCHEMA = "kind int, doc_id long, hash long, n long, n_known long, base double, score double, n_bytes long, spelled float, row long"
 
 
 def tokens_counted(batches):
@@ -413,7 +418,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     The model learns from the rows with ``train`` true (null counts as false). A null or empty text is the end alone; repeated
     rows are scored each alike; without training rows every token is unknown; an empty table gives an empty result; further columns are
     ignored. What is broadcast is bounded: counts of the at most ``1 << KNOWN_BITS`` most frequent tokens and hashed tables
-    of fixed size. All other tokens' counts are found by a join. Counts and the mixer's start weights cover all training rows,
+    of fixed size. All other tokens' counts, for the base score and for their shares, are found by a join. Counts and the mixer's start weights cover all training rows,
     the weights by a pass over each partition, averaged by tokens.
     """
     docs = docs.withColumn("_train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "_train")
@@ -426,13 +431,13 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         room -= spread[c][0]
         if room < 0:
             break
-        least = max(c, LEAST_COUNT)
+        least = c
     top = vocabulary.where(F.col("c") >= least).toArrow()
     known, counts = top.column("hash").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     by = np.argsort(known)
     known, counts = known[by], counts[by]
     code = Code(known, counts, total)
-    rare = code.symbols(known) == code.escape
+    escaped = total - int(counts[code.symbols(known) != code.escape].sum())
     blocks = learned.mapInArrow(counting(code), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
     size = (1 << WORD_SLOTS) * 2 // BLOCK
     table = np.zeros((1 << WORD_SLOTS) + (1 << BYTE_SLOTS), np.uint16)
@@ -441,7 +446,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     split = size * BLOCK // 2
     weights = np.tile(np.array([0.25, 0.35, 0.3, 0.3, 0.0]), (GATES, 1))
     byte_weights = np.tile(np.array([0.1, 0.25, 0.35, 0.4, 0.0]), (BYTE_GATES, 1))
-    state = {"code": code, "word": zlib.compress(table[:split].tobytes(), 1), "byte": zlib.compress(table[split:].tobytes(), 1), "weights": weights, "byte_weights": byte_weights, "known": known, "counts": counts, "known_total": int(counts[rare].sum()), "name": uuid.uuid4().hex}
+    state = {"code": code, "word": zlib.compress(table[:split].tobytes(), 1), "byte": zlib.compress(table[split:].tobytes(), 1), "weights": weights, "byte_weights": byte_weights, "known": known, "counts": counts, "known_total": escaped, "name": uuid.uuid4().hex}
     got = learned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
     pos = got.select("n", F.posexplode(F.concat("w", "b")).alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
     if pos:
@@ -449,9 +454,13 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         state["weights"], state["byte_weights"] = flat[: GATES * WORD_INPUTS].reshape(GATES, -1), flat[GATES * WORD_INPUTS :].reshape(BYTE_GATES, -1)
     rows = settled(docs.select("doc_id", "text").mapInArrow(scoring(state), OUT_SCHEMA), "scored")
     looked = rows.where("kind = 1").join(vocabulary.where(F.col("c") < least), "hash", "left")
-    late = looked.groupBy("doc_id").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"))
+    share, spelling = F.log2(F.col("c") / F.lit(max(escaped, 1))), -F.col("spelled").cast("double")
+    either = F.when(F.col("c").isNull(), spelling).otherwise(F.greatest(share, spelling) + F.log2(1 + F.pow(F.lit(2.0), -F.abs(share - spelling)))) - 1
+    rare = F.when(F.col("spelled").isNotNull(), F.col("n") * either * float(np.log10(2)))
+    late = looked.groupBy("row").agg(F.sum(rare).alias("more_score"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"))
     unit = float(np.log10(total + 0.5 * (types_ + 1)))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.where("kind = 0").join(late, "doc_id", "left").select(
+    scored = rows.where("kind = 0").join(late, "row", "left").withColumn("score", F.col("score") + zero("more_score"))
+    return scored.select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more") - F.col("n") * unit).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -333,6 +333,22 @@ def test_context_mixing_weights_come_from_all_rows(spark, monkeypatch):
     assert read.value == 3 * 2300
 
 
+def test_context_mixing_shares_of_all_words(spark, docs, monkeypatch):
+    """How many counts are at hand doesn't change a score: the share of any other word is looked up."""
+    train = crc_fold("doc_id", 5) != 1
+    monkeypatch.setattr(context_mixing, "HEAD", 8)
+    scores = []
+    for bits in (19, 5):
+        monkeypatch.setattr(context_mixing, "KNOWN_BITS", bits)
+        scores.append({r["doc_id"]: r["score"] for r in context_mixing.score_texts(docs, train).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-5, abs_tol=1e-6) for i in scores[0])
+    twice = context_mixing.score_texts(docs.union(docs.where("doc_id % 5 = 1")), train & (F.col("doc_id") % 5 != 1)).where("doc_id % 5 = 1").collect()
+    assert len({(r["doc_id"], round(r["score"], 6), round(r["base_score"], 6)) for r in twice}) == len({r["doc_id"] for r in twice})
+    once = context_mixing.score_texts(docs, train & (F.col("doc_id") % 5 != 1)).where("doc_id % 5 = 1").collect()
+    assert {r["doc_id"]: round(r["score"], 3) for r in twice} == {r["doc_id"]: round(r["score"], 3) for r in once}
+
+
 def labelled(spark, texts, bad):
     d = frame(spark, texts)
     return d, spark.createDataFrame([(i, int(i not in bad), int(i in bad)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
