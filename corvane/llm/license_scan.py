@@ -3,7 +3,8 @@
 A multinomial logistic regression over hashed word one- to three-grams tells a paragraph's licence family, with a class of
 its own for everything else. It is trained on the templates below, whole and in random cuts with words dropped, against
 paragraphs of the corpus (a bounded sample) and made-up near misses; its temperature is set so that confidence matches
-accuracy on held-out cuts. A family stands only if the paragraph also shares enough of a template's wording.
+accuracy on held-out cuts. A family stands only if the text also shares enough of a template's wording. Judged are whole lines and,
+in paragraphs (filled lines up to a blank one), the windows of a template's length that share enough pairs of words with it.
 """
 
 from __future__ import annotations
@@ -74,6 +75,13 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first, len(at)), at[first] - line[words.off[doc[first]]]
 
 
+def blocks(number: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The paragraph of each filled line: lines of one document without a blank one between."""
+    new = np.ones(len(number), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1] + 1)
+    return np.cumsum(new) - 1
+
+
 def word_hashes(words: Words) -> np.ndarray:
     """Hashes of words without punctuation at their ends, lower-cased; numbers and hyphens within stay."""
     letter = np.zeros(256, bool)
@@ -85,6 +93,14 @@ def word_hashes(words: Words) -> np.ndarray:
     return run_hash(BYTE[LOWER[words.data]], start, end)
 
 
+def lettered(words: Words) -> np.ndarray:
+    """Mask of the words with a letter or digit."""
+    letter = np.zeros(256, bool)
+    letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    seen = np.concatenate([[0], np.cumsum(letter[words.data])])
+    return seen[words.end] > seen[words.start]
+
+
 def features(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(paragraph, input) of the one- to three-grams of every paragraph."""
     owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
@@ -106,10 +122,24 @@ def of_texts(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(index[row == i]) for i in range(len(texts))]
 
 
+def pairs_of(text: str) -> tuple[np.ndarray, int]:
+    """(mask of the inputs that are a text's pairs of words, number of its distinct words)."""
+    h = word_hashes(Words(pa.array([text], pa.large_string()), False))
+    mask = np.zeros(1 << BITS, bool)
+    mask[pairs(h)] = True
+    return mask, len(np.unique(h))
+
+
+def pairs(h: np.ndarray) -> np.ndarray:
+    return (mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) >> U(64 - BITS)).astype(np.int64)
+
+
 class Classifier:
     def __init__(self, weights: np.ndarray, temperature: float):
         self.weights, self.temperature = weights.astype(np.float32), temperature
         self.used = (np.abs(weights).max(1) > 0.02) & (np.argmax(weights, 1) != len(FAMILIES) - 1)
+        self.lengths = [len(t.split()) for family in TEMPLATES.values() for t in family]
+        self.pairs = [pairs_of(t) for family in TEMPLATES.values() for t in family]
         self.templates = [(k, s) for k, family in enumerate(TEMPLATES) for s in of_texts(TEMPLATES[family])]
 
     def probabilities(self, row: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
@@ -127,6 +157,35 @@ class Classifier:
         return max(len(np.intersect1d(own, t)) / len(t) for k, t in self.templates if k == family)
 
 
+    def windows(self, h: np.ndarray, paragraph: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """(first word, one past the last) of the windows that may share ``least`` of a template.
+
+        Of a template's grams at most its distinct words are single words, and there are no more triples than pairs, so
+        half of the rest must be pairs. In each stretch of a template's length the window with most of them is taken.
+        """
+        found = []
+        if len(h) < 2:
+            return found
+        pair = pairs(h)
+        any_pair = np.zeros(1 << BITS, bool)
+        for mask, _ in self.pairs:
+            any_pair |= mask
+        spot = np.flatnonzero(any_pair[pair] & (paragraph[:-1] == paragraph[1:]))
+        pair, own = pair[spot], paragraph[spot]
+        last = np.searchsorted(paragraph, paragraph[spot], "right")
+        for (mask, single), n, (_, grams) in zip(self.pairs, self.lengths, self.templates, strict=True):
+            hit = np.flatnonzero(mask[pair])
+            at = spot[hit]
+            size = np.searchsorted(at, np.minimum(at + n - 1, last[hit] - 1)) - np.arange(len(at))
+            good = np.flatnonzero(size >= max(1, int(np.ceil((least * len(grams) - single) / 2))))
+            order = good[np.lexsort((at[good], -size[good], at[good] // n, own[hit][good]))]
+            key = np.stack([own[hit][order], at[order] // n], 1)
+            first = np.ones(len(order), bool)
+            first[1:] = (key[1:] != key[:-1]).any(1)
+            found += [(int(at[i]), int(min(at[i] + n, last[hit[i]]))) for i in order[first]]
+        return sorted(set(found))
+
+
 def train(negatives: list[str], seed: int = 5, epochs: int = 60, rate: float = 0.5) -> Classifier:
     rng = np.random.default_rng(seed)
     texts, label = [], []
@@ -180,22 +239,39 @@ def scanning(model: Classifier, least_confidence: float, least_similarity: float
                 if not len(words.start):
                     continue
                 edges, number = paragraphs(words)
-                row, index = features(word_hashes(words), edges)
+                lines, doc = np.diff(edges), words.doc_of()
+                paragraph = np.repeat(blocks(number, doc[edges[:-1]]), lines)
+                line = np.repeat(np.arange(len(lines)), lines)
+                h = word_hashes(words)
+                row, index = features(h, edges)
                 n = len(edges) - 1
-                some = np.bincount(row[model.used[index]], minlength=n) >= 2
-                chosen = np.flatnonzero(some)
-                keep = some[row]
-                row, index = np.searchsorted(chosen, row[keep]), index[keep]
-                p = model.probabilities(row, index, len(chosen))
+                whole = np.flatnonzero(np.bincount(row[model.used[index]], minlength=n) >= 2)
+                # comment marks at the starts of lines are no words of a notice
+                word = np.flatnonzero(lettered(words))
+                spans = [(int(edges[j]), int(edges[j + 1]), np.arange(edges[j], edges[j + 1])) for j in whole]
+                spans += [(int(word[a]), int(word[b - 1]) + 1, word[a:b]) for a, b in model.windows(h[word], paragraph[word], least_similarity)]
+                if not spans:
+                    continue
+                edge = np.concatenate([[0], np.cumsum([len(x) for _, _, x in spans])])
+                row, index = features(h[np.concatenate([x for _, _, x in spans])], edge)
+                p = model.probabilities(row, index, len(spans))
                 best = p.argmax(1)
                 order = np.argsort(row, kind="stable")
                 row, index = row[order], index[order]
-                edge = np.searchsorted(row, np.arange(len(chosen) + 1))
-                doc = words.doc_of()[edges[chosen]]
+                edge = np.searchsorted(row, np.arange(len(spans) + 1))
+                held = []
                 for j in np.flatnonzero((best < len(FAMILIES) - 1) & (p.max(1) >= least_confidence)):
                     similar = model.similarity(np.unique(index[edge[j] : edge[j + 1]]), int(best[j]))
                     if similar >= least_similarity:
-                        out.append((batch.column(0)[at + int(doc[j])].as_py(), int(number[chosen[j]]), FAMILIES[best[j]], float(p[j, best[j]]), float(similar)))
+                        held.append((-similar, spans[j][1] - spans[j][0], -float(p[j, best[j]]), spans[j][0], spans[j][1], FAMILIES[best[j]]))
+                taken = np.zeros(len(h), bool)
+                notices = []
+                for similar, _, sure, a, b, family in sorted(held):
+                    if not taken[a:b].any():
+                        taken[a:b] = True
+                        notices.append((a, family, -sure, -similar))
+                for a, family, sure, similar in sorted(notices):
+                    out.append((batch.column(0)[at + int(doc[a])].as_py(), int(number[line[a]]), family, sure, similar))
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "paragraph", "family", "confidence", "similarity"])
 
@@ -216,7 +292,7 @@ def fit_licenses(docs: DataFrame, most: int = 2000, longest: int = 600) -> Class
 
 
 def license_scan(docs: DataFrame, model: Classifier, least_confidence: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, confidence, similarity of every licence notice in ``docs`` (doc_id, text).
+    """doc_id, paragraph (number from 0 of the line it begins in), family, confidence, similarity of every licence notice in ``docs`` (doc_id, text).
 
     Null and empty texts have none; repeated rows give their notices each; paragraphs of any length are read whole; an empty
     table gives an empty result; further columns are ignored. One pass without a shuffle.

@@ -411,6 +411,16 @@ def test_license_notices(spark):
     assert got == {(0, 0, "MIT"), (1, 1, "Apache-2.0"), (5, 0, "CC-BY-NC")}
 
 
+def test_wrapped_license_notices(spark):
+    gpl = ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version."]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    long = " ".join(f"prose{i}" for i in range(200))
+    texts = ["\n".join(["first line", "", *gpl, "", "more"]), bsd, f"{long} Released under the MIT License. {long}", "Redistribution and use\n\nin source and binary\n\nforms, with or without"]
+    d = frame(spark, texts + [f"plain text number {i} with words" for i in range(30)])
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.license_scan(d, license_scan.fit_licenses(d)).collect()}
+    assert got == {(0, 2, "GPL-3.0"), (1, 0, "BSD"), (2, 0, "MIT")}
+
+
 def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 
