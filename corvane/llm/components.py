@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.store import settled
+from corvane.llm.store import dropped, settled
 
 
 def least_neighbour(edges: DataFrame) -> DataFrame:
@@ -14,24 +14,25 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (least node reachable) of every node in ``links``; self-links, repeats and both directions are allowed.
 
-    Each round at least halves the paths' length, so ``rounds`` covers any graph that fits in memory of a cluster; it ends
-    as soon as the links stop changing. Without links the result is empty.
+    Each round at least halves the paths' length. It ends when every link leads straight to a node that has no lesser
+    neighbour, or when the links stop changing, however many rounds that takes. Without links the result is empty.
     """
     edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark or not now["n"] or (now["n"] == now["k"] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
+            break
+        mark = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = least_neighbour(down)
+        small = least_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = settled(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        new = settled(small, "links")
+        dropped(edges)
+        edges = new
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

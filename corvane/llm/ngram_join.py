@@ -3,11 +3,13 @@
 Two sets with Jaccard at least t share one of the first |s| - ceil(t |s|) + 1 shingles of each under *any* total order of
 all shingles. Orders here put shingles that a counting sketch of the whole corpus shows to be frequent last, and order the
 rest by differently seeded hashes, so that passages many documents share don't meet in a prefix. The first order's
-prefixes are inverted to find candidates; a candidate must also share a prefix shingle under the other orders; what is left
-is verified on the exact sets.
+prefixes are inverted to find candidates; those that share no prefix shingle under the second or the third order are
+dropped, on the prefixes alone; what is left is verified on the exact sets.
 
-Links are wanted up to connection. In a group that shares a shingle, documents are first compared with the group's most
-central ones only, and of what isn't connected by then all remaining pairs are compared.
+Links are wanted up to connection. First each set is compared with one central set of its groups, and what links is one
+component from then on; after some such rounds all pairs of different components that can still be similar are compared.
+Shingles of a set's prefix that no other prefix has bound what it can share with others: of a large group of loose copies
+nearly all pairs are ruled out by that before they are formed.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.components import components
-from corvane.llm.store import settled
+from corvane.llm.store import dropped, settled
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs
 
 SKETCH_BITS = 21
@@ -30,48 +32,48 @@ BLOCK = 4096
 SEEDS = (0, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 
 
-def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of every distinct shingle, ordered by both. Fewer than ``size`` words make one shingle."""
+def all_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every shingle, ordered by document. Fewer than ``size`` words make one shingle."""
     h, count = words.hashes(), words.count
-    parts = [grams(h, words.first, size)]
+    shingle, doc = grams(h, words.first, size)
+    parts, owners = [shingle], [doc]
     doc_of = words.doc_of()
     for n in range(1, size):
         if len(short := np.flatnonzero(count == n)):
-            own = h[np.isin(doc_of, short)]
-            hashed, doc = grams(own, np.arange(len(short) + 1) * n, n)
-            parts.append((hashed, short[doc]))
-    shingle, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((shingle, doc))
-    shingle, doc = shingle[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
-    return doc[new], shingle[new]
+            hashed, doc = grams(h[np.isin(doc_of, short)], np.arange(len(short) + 1) * n, n)
+            parts.append(hashed)
+            owners.append(short[doc])
+    if len(parts) == 1:
+        return owners[0], parts[0]
+    doc = np.concatenate(owners)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], np.concatenate(parts)[order]
 
 
-def summaries(size: int):
-    """Per document: number of shingles, and a hash that is equal for equal sets (0 where there are none)."""
+def sort_within(values: np.ndarray, edges: np.ndarray) -> None:
+    """Sorts each stretch between successive edges, in place; far quicker than one sort by two keys."""
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
 
-    def run(batches):
-        for batch in batches:
-            n, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            for at, rows, words in slabs(batch, "text", True):
-                doc, shingle = shingle_sets(words, size)
-                n[at : at + rows] = np.bincount(doc, minlength=rows)
-                sig[at : at + rows] = set_hashes(doc, shingle, n[at : at + rows])
-            sig[n == 0] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig.view(np.int64))], names=["doc_id", "n_shingles", "set_id"])
 
-    return run
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every distinct shingle, ordered by both."""
+    doc, shingle = all_shingles(words, size)
+    sort_within(shingle, np.searchsorted(doc, np.arange(len(words) + 1)))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
+    return doc[new], shingle[new]
 
 
 def counted(size: int):
-    """A counting sketch of the documents of one partition, in compressed blocks."""
+    """A counting sketch of the shingles of one partition, in compressed blocks."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, _, words in slabs(batch, "text", True):
-                sketch += np.bincount(bucket(shingle_sets(words, size)[1]), minlength=len(sketch))
+                sketch += np.bincount(bucket(all_shingles(words, size)[1]), minlength=len(sketch))
         block = [i for i in range(len(sketch) // BLOCK) if sketch[i * BLOCK : (i + 1) * BLOCK].any()]
         data = [zlib.compress(sketch[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in block]
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
@@ -102,159 +104,223 @@ def frequency_levels(docs: DataFrame, size: int) -> bytes:
     return zlib.compress(np.log2(over).astype(np.uint8).tobytes(), 1)
 
 
-def prefix(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """Indices of the prefix shingles, document by document in the order of the seed."""
-    key = mix(shingle ^ U(seed)) if seed else shingle
-    order = np.lexsort((key, levels[bucket(shingle)], doc))
-    start = np.cumsum(n) - n
-    rank = np.arange(len(doc)) - np.repeat(start, n)
-    return order[rank < np.repeat(n - -(-percent * n // 100) + 1, n)]
+def set_hashes(shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash that is equal for equal sets, 0 for empty ones."""
+    total = np.concatenate([[U(0)], np.cumsum(mix(shingle ^ U(BASE)), dtype=np.uint64)])
+    ends = np.cumsum(n)
+    return np.where(n == 0, U(0), mix((total[ends] - total[ends - n]) ^ n.astype(np.uint64) * U(BASE)))
 
 
-def prefixes(size: int, percent: int, packed: bytes):
+def prefix_lists(shingle: np.ndarray, n: np.ndarray, levels: np.ndarray, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, how many of each set): every set's prefix in one order. A token is its shingle's place in the order: the level of
+    its frequency, then its seeded hash. Different shingles share a token with probability 2**-59, which only lets pairs through.
+    """
+    token = levels[bucket(shingle)].astype(np.uint64) << U(59) | (mix(shingle ^ U(seed)) if seed else shingle) >> U(5)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    sort_within(token, edges)
+    size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    rank = np.arange(len(token)) - np.repeat(edges[:-1], n)
+    return token[rank < np.repeat(size, n)], size
+
+
+SETS = "doc_id long, n_shingles long, set_id long, first array<long>, second array<int>, third array<int>"
+
+
+def described(size: int, percent: int, packed: bytes):
+    """Per document the number of its shingles, its set's hash, and, once for each set and task, the set's prefixes."""
+
     def run(batches):
-        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
+        levels, given = np.frombuffer(zlib.decompress(packed), np.uint8), set()
         for batch in batches:
             for at, rows, words in slabs(batch, "text", True):
                 doc, shingle = shingle_sets(words, size)
                 n = np.bincount(doc, minlength=rows)
-                kept = prefix(doc, shingle, n, levels, percent, SEEDS[0])
-                size_of = np.unique(doc[kept], return_counts=True)[1]
-                pos = np.arange(len(kept)) - np.repeat(np.cumsum(size_of) - size_of, size_of)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[kept].view(np.int64)), batch.column(0).take(pa.array(doc[kept] + at)), pa.array(set_hashes(doc, shingle, n).view(np.int64)[doc[kept]]), pa.array(n[doc[kept]].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["shingle", "doc_id", "set_id", "n", "pos"])
+                sig = set_hashes(shingle, n)
+                new = np.zeros(rows, bool)
+                for i, s in enumerate(sig.tolist()):
+                    if s and s not in given:
+                        given.add(s)
+                        new[i] = True
+                shingle, m = shingle[new[doc]], np.where(new, n, 0)
+                lists = []
+                for seed in SEEDS:
+                    token, many = prefix_lists(shingle, m, levels, percent, seed)
+                    value = token.view(np.int64) if not seed else (mix(token) >> U(32)).astype(np.uint32).view(np.int32)
+                    off = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+                    lists.append(pa.ListArray.from_arrays(off, pa.array(value), mask=pa.array(~new)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(n), pa.array(sig.view(np.int64)), *lists], names=["doc_id", "n_shingles", "set_id", "first", "second", "third"])
 
     return run
 
 
-def set_hashes(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[U(0)], np.cumsum(mix(shingle ^ U(BASE)), dtype=np.uint64)])
-    ends = np.cumsum(n)
-    return mix((total[ends] - total[ends - n]) ^ n.astype(np.uint64) * U(BASE))
-
-
-def verified(size: int, percent: int, packed: bytes):
-    """Pairs (a, b, text_a, text_b) that share a prefix under the further orders and whose exact sets are similar."""
+def wanted_sets(size: int, packed_docs: bytes, packed_sets: bytes):
+    """(set, text) of the documents that may be wanted, before a join settles it."""
 
     def run(batches):
-        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
+        by_doc, by_set = opened(packed_docs), opened(packed_sets)
         for batch in batches:
-            keep = []
-            sides = []
-            for name in ("text_a", "text_b"):
-                sets = []
-                for _, rows, words in slabs(batch, name, True):
-                    doc, shingle = shingle_sets(words, size)
-                    n = np.bincount(doc, minlength=rows)
-                    ends = np.cumsum(n)
-                    marks = []
-                    for seed in SEEDS[1:]:
-                        mark = np.zeros(len(doc), bool)
-                        mark[prefix(doc, shingle, n, levels, percent, seed)] = True
-                        marks.append(mark)
-                    for i in range(rows):
-                        own = slice(ends[i] - n[i], ends[i])
-                        sets.append((shingle[own], [m[own] for m in marks]))
-                sides.append(sets)
-            for i, ((x, xs), (y, ys)) in enumerate(zip(*sides, strict=True)):
-                if all(len(np.intersect1d(x[p], y[q], assume_unique=True)) for p, q in zip(xs, ys, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            keep = np.flatnonzero(members(by_doc, batch.column(2).to_numpy().view(np.uint64)))
+            some = batch.take(pa.array(keep))
+            given = set()
+            for at, rows, words in slabs(some, "text", True):
+                doc, shingle = shingle_sets(words, size)
+                sig = set_hashes(shingle, np.bincount(doc, minlength=rows))
+                own = [i for i in np.flatnonzero(members(by_set, sig)).tolist() if not (sig[i] in given or given.add(sig[i]))]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), some.column(1).take(pa.array([at + i for i in own], pa.int64()))], names=["set_id", "text"])
 
     return run
 
 
-def sieve(packed_ids: bytes):
-    """Documents whose hash may be wanted, before a join settles it."""
+def verified(size: int, percent: int):
+    """Rows ordered by hub, share and kind (0: the hub's own text) to the pairs whose exact sets are similar."""
 
     def run(batches):
-        bitmap = opened(packed_ids)
+        key, hub = None, None
         for batch in batches:
-            keep = np.flatnonzero(members(bitmap, batch.column(2).to_numpy().view(np.uint64)))
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["doc_id", "text"])
+            b, share, kind, a = (batch.column(i).to_numpy() for i in range(4))
+            out = []
+            for at, rows, words in slabs(batch, "text", True):
+                doc, shingle = shingle_sets(words, size)
+                edge = np.searchsorted(doc, np.arange(rows + 1))
+                for i in range(rows):
+                    own = shingle[edge[i] : edge[i + 1]]
+                    if kind[at + i] == 0:
+                        key, hub = (b[at + i], share[at + i]), own.copy()
+                    elif key == (b[at + i], share[at + i]):
+                        both = len(np.intersect1d(own, hub, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(hub) - both):
+                            out.append(at + i)
+            yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(b[out])], names=["a", "b"])
 
     return run
 
 
-def leads(percent: int) -> Column:
-    """Whether a row is in its set's short prefix, which is enough for the smaller set of a pair.
+def fits(percent: int, x: str, y: str) -> Column:
+    """Whether sets of n_x and n_y shingles can be similar, given a common token before which only so many are shared.
 
-    The other set is at least as large, so the overlap must be at least 2 * percent * n / (100 + percent), and one of the first
-    n + 1 less that many shingles is shared; the larger set's is in its own, longer prefix.
+    most: a set's size without those shingles before the token that stand in no other prefix. A set that has the token in its
+    prefix would have them there too, so it has none of them.
     """
-    return F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * F.least(f"most_{x}", f"most_{y}") >= percent * (n_x + n_y))
 
-def paired(left: DataFrame, right: DataFrame, percent: int, wanted: Column | None = None) -> DataFrame:
-    """Pairs of a smaller set from ``left`` and a larger one from ``right`` that share a prefix shingle and may reach ``percent``.
 
-    Equal sizes are ordered by set. A shared shingle at places i and j bounds the overlap by the smaller place, itself and the
-    smaller rest; sets of x and y shingles need percent * (x + y) / (100 + percent).
-    """
-    named = lambda df, x: df.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c in ("set_id", "doc_id", "n", "c", "pos")])
-    n_a, n_b, i, j = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
-    ordered = (n_a < n_b) | ((n_a == n_b) & (F.col("set_id_a") < F.col("set_id_b")))
-    size = (100 * n_a >= percent * n_b) & ((100 + percent) * (F.least(i, j) + F.least(n_a - i, n_b - j)) >= percent * (n_a + n_b))
-    keep = ordered & size if wanted is None else ordered & size & wanted
-    both = named(left.where(leads(percent)), "a").join(named(right, "b"), "shingle").where(keep)
-    return both.select(*[F.col(f"{c}_{x}").alias(f"{v}{x}") for c, v in (("set_id", ""), ("doc_id", "doc_")) for x in "ab"]).distinct()
+def named(df: DataFrame, x: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "token"])
 
 
-def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole prefixes share enough for ``percent``: c shared ones allow an overlap of c and the larger rest.
+def best_hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: for every set at most one hub of another component to be compared with.
 
-    marks: 32-bit hashes of each set's prefix shingles that another prefix has (equal hashes of different ones let a pair through).
+    A group's hubs are its most central set and the most central one of another component; a set takes the hub that shares
+    most of its tokens. So a round compares no more pairs than there are sets, however large the groups are.
+    """
+    crown = F.struct("weight", "set_id", "n", "most", "c")
+    best = rows.groupBy("token", "c").agg(F.max(crown).alias("h"))
+    top = best.groupBy("token").agg(F.max("h").alias("h1"))
+    hubs = best.join(top, "token")
+    second = F.max(F.when(F.col("h.c") != F.col("h1.c"), F.col("h")))
+    hubs = hubs.groupBy("token", "h1").agg(second.alias("h2")).where("h2 is not null")
+    hub = F.when(F.col("c") != F.col("h1.c"), F.col("h1")).otherwise(F.col("h2"))
+    near = rows.join(hubs, "token").withColumn("h", hub)
+    near = near.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("h.set_id").alias("b"), F.col("h.n").alias("n_b"), F.col("h.most").alias("most_b"), "h.weight")
+    near = near.where(fits(percent, "a", "b")).groupBy("a", "b", "weight").agg(F.count("*").alias("k"))
+    near = near.groupBy("a").agg(F.max_by("b", F.struct("k", "weight", "b")).alias("b"))
+    return near.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).select("a", "b")
+
+
+def remaining(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of sets of different components that share a token and can be similar; a is the smaller one.
+
+    The smaller set of a similar pair shares so much that one of its first n + 1 - 2 * percent * n / (100 + percent) shingles is
+    common, and up to there nearly all of its shingles must occur elsewhere. The first common token's places bound the
+    overlap, for what stands before it isn't shared.
     """
-    side = lambda x: marks.select(*[F.col(c).alias(f"{c}_{x}" if c != "set_id" else x) for c in ("set_id", "n", "marks")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
-    enough = (100 + percent) * (F.size(F.array_intersect("marks_a", "marks_b")) + rest) >= percent * (F.col("n_a") + F.col("n_b"))
-    return both.where(enough).select(pairs.columns)
+    n, most = F.col("n"), F.col("most")
+    light = rows.where((F.col("pos") <= n - F.ceil(2 * percent * n / (100 + percent))) & ((100 + percent) * most >= 2 * percent * n))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_id_a") < F.col("set_id_b")))
+    both = named(light, "a").join(named(rows, "b"), "token").where((F.col("c_a") != F.col("c_b")) & ordered & fits(percent, "a", "b"))
+    pairs = both.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b").agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j"))
+    return pairs.where((100 + percent) * F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, hubs: int = 3) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, productive: int = 10, share: int = 256) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id of every row of ``docs`` (doc_id, text).
 
     Words are lower-cased (A-Z). Documents link where 100 * |A and B| >= percent * |A or B| on their distinct ``size``-word
     shingles; fewer words are one shingle. Null, empty and blank texts have no shingles and link with nothing. Equal sets
-    are one node, so copies cost nothing; ``component_id`` is the least doc_id reachable. Rows with the same doc_id are
-    taken as one document's and end in one row each. An empty table gives an empty result; further columns are ignored.
+    are one node, so copies cost nothing; ``component_id`` is the least doc_id reachable, null only where no reachable row has one.
+    Every row gives one row, rows with the same doc_id each by their own text. An empty table gives an empty result; further
+    columns are ignored. Rounds with hubs go on while at least one in ``productive`` of the pairs compared links; a hub's
+    partners are dealt to tasks ``share`` at a time.
     """
     docs = docs.select("doc_id", "text")
-    known = settled(docs.mapInArrow(summaries(size), "doc_id long, n_shingles long, set_id long"), "sets")
     packed = frequency_levels(docs, size)
-    rows = docs.mapInArrow(prefixes(size, percent, packed), "shingle long, doc_id long, set_id long, n int, pos int")
-    group = Window.partitionBy("shingle")
-    shared = rows.repartition("shingle").groupBy("shingle", "set_id", "n", "pos").agg(F.min("doc_id").alias("doc_id"))
-    shared = shared.withColumn("many", F.count("*").over(group)).where("many > 1")
+    known = settled(docs.mapInArrow(described(size, percent, packed), SETS), "sets")
+    group = Window.partitionBy("token")
+    tokens = known.where("first is not null").select("set_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
+    shared = tokens.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("many", F.count("*").over(group)).where("many > 1")
     shared = settled(shared, "shared")
-    central = shared.groupBy("set_id").agg(F.avg("many").alias("weight"))
-    marks = shared.groupBy("set_id", "n").agg(F.collect_set(F.hash("shingle")).alias("marks"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = settled(promising(pairs, marks, percent), "pairs")
-        need = settled(pairs.select(F.col("a").alias("set_id"), F.col("doc_a").alias("doc_id")).union(pairs.select("b", "doc_b")).distinct(), "need")
-        packed_ids = bitmap_of(need.select(F.xxhash64("doc_id").alias("h")), 24)
-        some = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(sieve(packed_ids), "doc_id long, text string")
-        texts = settled(some.join(need, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
-        side = lambda x: texts.select(F.col("set_id").alias(x), F.col("text").alias(f"text_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return settled(both.mapInArrow(verified(size, percent, packed), "a long, b long"), "found")
-
-    ranked = shared.join(central, "set_id")
-    hub = ranked.withColumn("r", F.row_number().over(group.orderBy(F.desc("weight"), "set_id"))).where(F.col("r") <= hubs)
-    first = paired(shared, hub, percent).union(paired(hub, shared, percent)).distinct()
-    first = links(first)
-    found = components(first, "a", "b")
-
-    label = shared.drop("many").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
-    mixed = settled(label.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).where("lo <> hi").select("shingle", "set_id", "doc_id", "n", "pos", "c"), "mixed")
-    rest = paired(mixed, mixed, percent, F.col("c_a") != F.col("c_b"))
-    found = components(first.union(links(rest)), "a", "b")
-
-    nodes = known.where("n_shingles > 0").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+    own = Window.partitionBy("set_id")
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    weight = (F.sum("many").over(own) + length - F.count("*").over(own)) / length
+    most = F.col("n") - F.col("pos") + F.row_number().over(own.orderBy("pos")) - 1
+    rows = settled(shared.select("token", "set_id", "n", "pos", weight.alias("weight"), most.alias("most")), "tokens")
+    dropped(shared)
+    lists = known.where("first is not null").select("set_id", "second", "third").join(rows.select("set_id").distinct(), "set_id", "left_semi")
+    lists = settled(lists.dropDuplicates(["set_id"]), "prefixes")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that share a token in the other orders' prefixes too and whose exact sets are similar."""
+        side = lambda x: lists.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("second", "third")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+        kept = settled(both.select("a", "b"), "pairs")
+        hubs = settled(kept.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")), "hubs")
+        need = kept.select("a").union(hubs.select("b")).distinct().toDF("set_id")
+        owners = known.join(need, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+        owners = settled(owners, "owners")
+        by_doc, by_set = bitmap_of(owners.select(F.xxhash64("doc_id")), 24), bitmap_of(owners.select("set_id"), 24)
+        some = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted_sets(size, by_doc, by_set), "set_id long, text string")
+        texts = settled(some.join(owners.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
+        dealt = kept.join(hubs, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int"))
+        members = dealt.join(texts, dealt["a"] == texts["set_id"]).select("b", "share", F.lit(1).alias("kind"), "a", "text")
+        middle = hubs.join(texts, hubs["b"] == texts["set_id"]).select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("b").alias("a"), "text")
+        found = members.union(middle).repartition("b", "share").sortWithinPartitions("b", "share", "kind").mapInArrow(verified(size, percent), "a long, b long")
+        found = settled(found, "found")
+        dropped(kept, hubs, owners, texts)
+        return found
+
+    label, tested, stars = None, None, True
+    while True:
+        if label is None:
+            at = rows.withColumn("c", F.col("set_id"))
+        else:
+            at = rows.join(label, rows["set_id"] == label["node"], "left").withColumn("c", F.coalesce("component", "set_id")).drop("node", "component")
+            mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+            at = at.join(mixed, "token", "left_semi")
+        pairs = best_hubs(at, percent) if stars else remaining(at, percent)
+        if tested is not None:
+            pairs = pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
+        pairs = settled(pairs, "candidates")
+        found = similar(pairs)
+        label = joined(label, found)
+        if not stars:
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        stars = found.count() * productive >= max(pairs.count(), 1)
+
+    nodes = known.where("n_shingles > 0").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     linked = nodes.join(roots, "c").select("doc_id", "n_shingles", "set_id", "component_id")
     return linked.union(known.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id")))
+
+
+def joined(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """node, component after the links ``found`` are added; earlier components are contracted, so only new links are walked."""
+    if label is None:
+        return settled(components(found, "a", "b"), "labels")
+    lead = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    edges = found.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = components(edges, "a", "b")
+    old = label.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return settled(old.union(over.join(label.select("node"), "node", "left_anti")), "labels")

@@ -84,6 +84,58 @@ def test_ngram_components(docs, texts):
     assert ngram_join.ngram_components(empty(docs)).count() == 0
 
 
+def jaccard_components(texts, size, percent):
+    """By comparing every pair: (set size, least place reachable) of each text."""
+    sets = [(lambda w: frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]))(words(t)) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("length", "edits"), [(37, 1), (90, 2), (150, 3)])
+def test_large_groups_of_loose_copies(spark, length, edits):
+    """Edits at random places: some copies link with the text they come from or with one another, most don't."""
+    rng = random.Random(length)
+    base = [f"b{i}" for i in range(length)]
+    texts = []
+    for _ in range(250):
+        w = base[:]
+        for _ in range(rng.randrange(edits + 2)):
+            w[rng.randrange(length)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    want = jaccard_components(texts, 4, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len({c for _, c in want}) > 1
+
+
+def test_a_hub_of_two_thousand_copies_is_dealt_out(spark):
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join([*base[:i % 150], f"n{i}", *base[i % 150 + 1 :]]) for i in range(2000)]
+    got = ngram_join.ngram_components(frame(spark, texts, 8)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 2000
+
+
+def test_ngram_join_takes_rows_one_by_one(spark):
+    """Equal and missing doc_ids: each row is judged by its own text."""
+    same = " ".join(f"s{i}" for i in range(60))
+    rows = [(5, "x y z a b c"), (5, same), (9, same + " more"), (None, same + " last"), (None, None)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["n_shingles"], r["component_id"], r["doc_id"] or -1) for r in got if r["n_shingles"]) == [(3, 5, 5), (57, 5, 5), (58, 5, -1), (58, 5, 9)]
+    assert len(got) == 5
+
+
 def test_hubs_alone_dont_decide(spark):
     """A chain in which each text is near its neighbours only is one component."""
     base = [f"t{i}" for i in range(60)]
