@@ -123,7 +123,7 @@ def prefix_lists(shingle: np.ndarray, n: np.ndarray, levels: np.ndarray, percent
     return token[rank < np.repeat(size, n)], size
 
 
-SETS = "doc_id long, n_shingles long, set_id long, first array<long>, second array<int>, third array<int>"
+SETS = "doc_id long, n_shingles long, set_id long, first array<long>, second array<int>, third array<int>, parity array<long>"
 
 
 def described(size: int, percent: int, packed: bytes):
@@ -148,7 +148,10 @@ def described(size: int, percent: int, packed: bytes):
                     value = token.view(np.int64) if not seed else (mix(token) >> U(32)).astype(np.uint32).view(np.int32)
                     off = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
                     lists.append(pa.ListArray.from_arrays(off, pa.array(value), mask=pa.array(~new)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(n), pa.array(sig.view(np.int64)), *lists], names=["doc_id", "n_shingles", "set_id", "first", "second", "third"])
+                bits = np.bincount(np.repeat(np.arange(rows), m) * 256 + (shingle & U(255)).astype(np.int64), minlength=rows * 256) & 1
+                parity = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * 4), pa.array(parity), mask=pa.array(~new)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(n), pa.array(sig.view(np.int64)), *lists], names=["doc_id", "n_shingles", "set_id", "first", "second", "third", "parity"])
 
     return run
 
@@ -195,14 +198,19 @@ def verified(size: int, percent: int):
     return run
 
 
+GROUP = Window.partitionBy("token")
+PARITIES = [f"parity{i}" for i in range(4)]
+
+
 def fits(percent: int, x: str, y: str) -> Column:
-    """Whether sets of n_x and n_y shingles can be similar, given a common token before which only so many are shared.
+    """Whether sets of n_x and n_y shingles with a common token at places pos_x and pos_y of the order can be similar.
 
-    most: a set's size without those shingles before the token that stand in no other prefix. A set that has the token in its
-    prefix would have them there too, so it has none of them.
+    met: how many shingles before the token stand in another prefix too. A set that has the token in its prefix has all that
+    it shares of those before there as well, so it shares no others of them.
     """
     n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
-    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * F.least(f"most_{x}", f"most_{y}") >= percent * (n_x + n_y))
+    most = F.least(f"met_{x}", f"met_{y}") + F.least(n_x - F.col(f"pos_{x}"), n_y - F.col(f"pos_{y}"))
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * most >= percent * (n_x + n_y))
 
 
 def named(df: DataFrame, x: str) -> DataFrame:
@@ -215,33 +223,33 @@ def best_hubs(rows: DataFrame, percent: int) -> DataFrame:
     A group's hubs are its most central set and the most central one of another component; a set takes the hub that shares
     most of its tokens. So a round compares no more pairs than there are sets, however large the groups are.
     """
-    crown = F.struct("weight", "set_id", "n", "most", "c")
-    best = rows.groupBy("token", "c").agg(F.max(crown).alias("h"))
-    top = best.groupBy("token").agg(F.max("h").alias("h1"))
-    hubs = best.join(top, "token")
-    second = F.max(F.when(F.col("h.c") != F.col("h1.c"), F.col("h")))
-    hubs = hubs.groupBy("token", "h1").agg(second.alias("h2")).where("h2 is not null")
-    hub = F.when(F.col("c") != F.col("h1.c"), F.col("h1")).otherwise(F.col("h2"))
-    near = rows.join(hubs, "token").withColumn("h", hub)
-    near = near.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("h.set_id").alias("b"), F.col("h.n").alias("n_b"), F.col("h.most").alias("most_b"), "h.weight")
-    near = near.where(fits(percent, "a", "b")).groupBy("a", "b", "weight").agg(F.count("*").alias("k"))
+    crown = F.struct("weight", "set_id", "n", "pos", "met", "c")
+    near = rows.repartition("token").withColumn("h1", F.max(crown).over(GROUP))
+    near = near.withColumn("h2", F.max(F.when(F.col("c") != F.col("h1.c"), crown)).over(GROUP)).where("h2 is not null")
+    near = near.withColumn("h", F.when(F.col("c") != F.col("h1.c"), F.col("h1")).otherwise(F.col("h2")))
+    near = near.select(F.col("set_id").alias("a"), F.col("h.set_id").alias("b"), "h.weight", *[F.col(f"{h}{c}").alias(f"{c}_{x}") for h, x in (("", "a"), ("h.", "b")) for c in ("n", "pos", "met")])
+    near = near.where(fits(percent, "a", "b")).select("a", "b", "weight").repartition("a").groupBy("a", "b", "weight").agg(F.count("*").alias("k"))
     near = near.groupBy("a").agg(F.max_by("b", F.struct("k", "weight", "b")).alias("b"))
     return near.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).select("a", "b")
 
 
-def remaining(rows: DataFrame, percent: int) -> DataFrame:
+def remaining(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """a, b: every pair of sets of different components that share a token and can be similar; a is the smaller one.
 
     The smaller set of a similar pair shares so much that one of its first n + 1 - 2 * percent * n / (100 + percent) shingles is
-    common, and up to there nearly all of its shingles must occur elsewhere. The first common token's places bound the
-    overlap, for what stands before it isn't shared.
+    common. Parity bits of the whole sets that differ count shingles that only one of them has, at least. The first common
+    token's places bound the overlap, for what stands before it isn't shared.
     """
-    n, most = F.col("n"), F.col("most")
-    light = rows.where((F.col("pos") <= n - F.ceil(2 * percent * n / (100 + percent))) & ((100 + percent) * most >= 2 * percent * n))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_id_a") < F.col("set_id_b")))
-    both = named(light, "a").join(named(rows, "b"), "token").where((F.col("c_a") != F.col("c_b")) & ordered & fits(percent, "a", "b"))
+    mixed = rows.repartition("token").withColumns({"lo": F.min("c").over(GROUP), "hi": F.max("c").over(GROUP)}).where("lo <> hi").drop("lo", "hi", "weight")
+    mixed = settled(mixed.join(parities, "set_id"), "mixed")
+    n_a, n_b, n, met, pos = (F.col(c) for c in ("n_a", "n_b", "n", "met", "pos"))
+    light = mixed.where((pos <= n - F.ceil(2 * percent * n / (100 + percent))) & ((100 + percent) * (met + n - pos) >= 2 * percent * n))
+    ordered = (n_a < n_b) | ((n_a == n_b) & (F.col("set_id_a") < F.col("set_id_b")))
+    apart = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES)
+    close = (100 + percent) * (n_a + n_b - apart) >= 2 * percent * (n_a + n_b)
+    both = named(light, "a").join(named(mixed, "b"), "token").where((F.col("c_a") != F.col("c_b")) & ordered & fits(percent, "a", "b") & close)
     pairs = both.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b").agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j"))
-    return pairs.where((100 + percent) * F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return pairs.where((100 + percent) * F.least(n_a - F.col("i"), n_b - F.col("j")) >= percent * (n_a + n_b)).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, productive: int = 10, share: int = 256) -> DataFrame:
@@ -257,17 +265,14 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
     docs = docs.select("doc_id", "text")
     packed = frequency_levels(docs, size)
     known = settled(docs.mapInArrow(described(size, percent, packed), SETS), "sets")
-    group = Window.partitionBy("token")
     tokens = known.where("first is not null").select("set_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
-    shared = tokens.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("many", F.count("*").over(group)).where("many > 1")
-    shared = settled(shared, "shared")
+    shared = tokens.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("many", F.count("*").over(GROUP)).where("many > 1")
     own = Window.partitionBy("set_id")
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    weight = (F.sum("many").over(own) + length - F.count("*").over(own)) / length
-    most = F.col("n") - F.col("pos") + F.row_number().over(own.orderBy("pos")) - 1
-    rows = settled(shared.select("token", "set_id", "n", "pos", weight.alias("weight"), most.alias("most")), "tokens")
-    dropped(shared)
-    lists = known.where("first is not null").select("set_id", "second", "third").join(rows.select("set_id").distinct(), "set_id", "left_semi")
+    weight = ((F.sum("many").over(own) + length - F.count("*").over(own)) / length).cast("float")
+    rows = shared.select("token", "set_id", "n", "pos", weight.alias("weight"), (F.row_number().over(own.orderBy("pos")) - 1).alias("met"))
+    rows = settled(rows, "tokens")
+    lists = known.where("first is not null").select("set_id", "second", "third", *[F.col("parity")[i].alias(p) for i, p in enumerate(PARITIES)]).join(rows.select("set_id").distinct(), "set_id", "left_semi")
     lists = settled(lists.dropDuplicates(["set_id"]), "prefixes")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -296,9 +301,7 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
             at = rows.withColumn("c", F.col("set_id"))
         else:
             at = rows.join(label, rows["set_id"] == label["node"], "left").withColumn("c", F.coalesce("component", "set_id")).drop("node", "component")
-            mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-            at = at.join(mixed, "token", "left_semi")
-        pairs = best_hubs(at, percent) if stars else remaining(at, percent)
+        pairs = best_hubs(at, percent) if stars else remaining(at, lists.select("set_id", *PARITIES), percent)
         if tested is not None:
             pairs = pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
         pairs = settled(pairs, "candidates")
