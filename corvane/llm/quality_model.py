@@ -1,8 +1,8 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions of a
 document's features in time linear in their number. Words are hashed into ``1 << BITS`` inputs (square root of the count, unit
-length together); the structure inputs are ratios read off the text.
+length together); the structure inputs are ratios read off the text; metadata are logarithms of number columns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from corvane.llm.words import BYTE, LOWER, U, Words, grams, run_hash, slabs
 
@@ -103,13 +104,15 @@ def repeated_lines(words: Words) -> np.ndarray:
 
 
 class Machine:
-    """Weights and factors over the hashed words followed by the structure statistics."""
+    """Weights and factors over the hashed words followed by the structure statistics and the metadata."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, metadata: list[str] = (), seed: int = 7):
         rng = np.random.default_rng(seed)
-        n = (1 << BITS) + len(STRUCTURE)
+        k = len(STRUCTURE) + len(metadata)
+        n = (1 << BITS) + k
+        self.metadata = list(metadata)
         self.bias, self.w, self.v = 0.0, np.zeros(n), rng.normal(0, 0.02, (n, RANK))
-        self.mean, self.scale = np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE))
+        self.mean, self.scale = np.zeros(k), np.ones(k)
 
     def rows(self, doc, index, value, stats):
         """Word inputs and standardised structure inputs as one list, ordered by document."""
@@ -129,8 +132,8 @@ class Machine:
         return self.bias + np.add.reduceat(self.w[i] * x, edges) + 0.5 * ((s * s).sum(1) - q), s, vx
 
     def fit(self, examples, y, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 2e-5, seed: int = 11):
-        """AdaGrad on the logistic loss. examples: (index, value, stats) of each labelled document."""
-        stats = np.stack([e[2] for e in examples])
+        """AdaGrad on the logistic loss. examples: (index, value, stats) of each labelled document, as views of flat arrays."""
+        stats = np.array([e[2] for e in examples])
         self.mean, self.scale = stats.mean(0), stats.std(0) + 1e-6
         rate_w, rate_v, rng = np.full(len(self.w), 1e-3), np.full(self.v.shape, 1e-3), np.random.default_rng(seed)
         self.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
@@ -139,7 +142,7 @@ class Machine:
             for at in range(0, len(y), batch):
                 own = order[at : at + batch]
                 size = [len(examples[j][0]) for j in own]
-                d, i, x = self.rows(np.repeat(np.arange(len(own)), size), np.concatenate([examples[j][0] for j in own]), np.concatenate([examples[j][1] for j in own]), stats[own])
+                d, i, x = self.rows(np.repeat(np.arange(len(own)), size), np.concatenate([examples[j][0] for j in own]).astype(np.int64), np.concatenate([examples[j][1] for j in own]).astype(float), stats[own])
                 z, s, vx = self.logit(d, i, x, len(own))
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
                 self.bias -= 0.1 * g.sum()
@@ -154,7 +157,7 @@ class Machine:
         return self
 
     def packed(self) -> dict:
-        return {"bias": self.bias, "w": self.w.astype(np.float32), "v": self.v.astype(np.float32), "mean": self.mean, "scale": self.scale}
+        return {"metadata": self.metadata, "bias": self.bias, "w": self.w.astype(np.float32), "v": self.v.astype(np.float32), "mean": self.mean, "scale": self.scale}
 
     @classmethod
     def of(cls, state: dict) -> Machine:
@@ -163,17 +166,41 @@ class Machine:
         return out
 
 
-def extracted(batches):
+def metadata_of(batch: pa.RecordBatch, at: int, n: int, columns: list[str]) -> np.ndarray:
+    """Logarithms of number columns; null, negative and missing ones count as 0."""
+    out = np.zeros((n, len(columns)))
+    for j, name in enumerate(columns):
+        if name in batch.schema.names:
+            x = batch.column(name).slice(at, n).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+            out[:, j] = np.log1p(np.nan_to_num(np.maximum(x, 0), nan=0.0, posinf=0.0))
+    return out
+
+
+def all_inputs(batch: pa.RecordBatch, columns: list[str]):
+    """(row offset, rows, inputs) for stretches of a batch; the metadata stand behind the structure statistics."""
+    for at, n, words in slabs(batch, "text", False):
+        doc, index, value, stats = inputs(words)
+        yield at, n, (doc, index, value, np.hstack([stats, metadata_of(batch, at, n, columns)]))
+
+
+def extracted(columns: list[str]):
     """Inputs of each labelled document, for training."""
-    for batch in batches:
-        rows = []
-        for at, n, words in slabs(batch, "text", False):
-            doc, index, value, stats = inputs(words)
-            edge = np.searchsorted(doc, np.arange(n + 1))
-            for k in range(n):
-                own = slice(edge[k], edge[k + 1])
-                rows.append((batch.column(1)[at + k].as_py(), index[own].tolist(), value[own].astype(np.float32).tolist(), stats[k].tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64())), strict=True)], names=["label", "index", "value", "stats"])
+
+    def run(batches):
+        for batch in batches:
+            for at, n, (doc, index, value, stats) in all_inputs(batch, columns):
+                edge = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                wide = pa.array(np.arange(n + 1, dtype=np.int32) * stats.shape[1])
+                lists = [pa.ListArray.from_arrays(o, pa.array(v)) for o, v in ((edge, index.astype(np.int32)), (edge, value.astype(np.float32)), (wide, stats.ravel()))]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, n), *lists], names=["label", "index", "value", "stats"])
+
+    return run
+
+
+def scores_of(machine: Machine, batch: pa.RecordBatch):
+    for at, n, parts in all_inputs(batch, machine.metadata):
+        z, _, _ = machine.logit(*machine.rows(*parts), n)
+        yield at, n, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def scoring(state: dict):
@@ -181,10 +208,9 @@ def scoring(state: dict):
         machine = Machine.of(state)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for at, n, words in slabs(batch, "text", False):
-                z, _, _ = machine.logit(*machine.rows(*inputs(words)), n)
-                out[at : at + n] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "score"])
+            for at, n, p in scores_of(machine, batch):
+                out[at : at + n] = p
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return run
 
@@ -193,46 +219,67 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % folds
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", most: int = 8000) -> dict:
+NUMBERS = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType)
+
+
+def numbers(docs: DataFrame, metadata: tuple[str, ...]) -> list[str]:
+    """Those of the columns that ``docs`` has and that hold numbers."""
+    return [f.name for f in docs.schema.fields if f.name in metadata and isinstance(f.dataType, NUMBERS)]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", most: int = 8000, metadata: tuple[str, ...] = ("n_chars",)) -> dict:
     """Weights learned from at most ``most`` labelled documents with ``train`` true, those with the least hash of doc_id.
 
-    The bound keeps what reaches the driver at some tens of MB. Rows with a null label or doc_id aren't used; without any
-    labelled document every score is a half.
+    The bound keeps what reaches the driver at some tens of MB, as flat arrays. Rows with a null label or doc_id aren't used,
+    repeated labels of a document count once; without any labelled document every score is a half. ``metadata`` columns that
+    ``docs`` lacks or that hold no numbers are left out.
     """
     rows = labels.where(train & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "label").mapInArrow(extracted, "label int, index array<int>, value array<float>, stats array<double>").toArrow()
-    machine = Machine()
+    columns = numbers(docs, metadata)
+    some = docs.select("doc_id", "text", *columns).join(F.broadcast(rows.toDF("doc_id", "__label")), "doc_id").select("text", *columns, F.col("__label").alias("label"))
+    got = some.mapInArrow(extracted(columns), "label int, index array<int>, value array<float>, stats array<double>").toArrow()
+    machine = Machine(columns)
     if got.num_rows:
         y = got.column("label").to_numpy().astype(float)
-        cols = [[np.asarray(v) for v in got.column(c).to_pylist()] for c in ("index", "value", "stats")]
-        examples = [(i.astype(np.int64), x.astype(float), s) for i, x, s in zip(*cols, strict=True)]
-        machine.fit(examples, y)
+        flat = [got.column(c).combine_chunks() for c in ("index", "value", "stats")]
+        edge = flat[0].offsets.to_numpy()
+        index, value, stats = (c.values.to_numpy() for c in flat)
+        stats = stats.reshape(len(y), -1)
+        machine.fit([(index[a:b], value[a:b], s) for a, b, s in zip(edge[:-1], edge[1:], stats, strict=True)], y)
+        del flat, index, value, stats
     else:
         machine.v[:] = 0
+    del got
+    pa.default_memory_pool().release_unused()
     return machine.packed()
 
 
 def quality_scores(docs: DataFrame, state: dict) -> DataFrame:
-    """``docs``'s doc_id and score (0 to 1) for every row (doc_id, text); null and empty texts are scored by their structure alone.
+    """``docs``'s doc_id and score (0 to 1) for every row (doc_id, text, metadata); null and empty texts are scored by their
+    structure and metadata alone.
 
     One pass without a shuffle; repeated rows get equal scores; an empty table gives an empty result; further columns are
     ignored, lang, source and doc_id are no inputs.
     """
-    return docs.select("doc_id", "text").mapInArrow(scoring(state), "doc_id long, score double")
+    return docs.select("doc_id", "text", *numbers(docs, tuple(state["metadata"]))).mapInArrow(scoring(state), "doc_id long, score double")
 
 
 def keeping(state: dict, least: float):
     def run(batches):
         machine = Machine.of(state)
         for batch in batches:
-            for at, n, words in slabs(batch, "text", False):
-                z, _, _ = machine.logit(*machine.rows(*inputs(words)), n)
-                yield batch.slice(at, n).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= least))
+            for at, n, p in scores_of(machine, batch):
+                yield batch.slice(at, n).filter(pa.array(p >= least))
 
     return run
 
 
 def quality_filter(docs: DataFrame, state: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (text and any other columns, all kept as they are) whose score is at least ``least``."""
-    return docs.mapInArrow(keeping(state, least), docs.schema)
+    """The rows of ``docs`` (text and any other columns, all kept as they are) whose score is at least ``least``.
+
+    A metadata column of another type than the one learned from counts as missing.
+    """
+    usable = numbers(docs, tuple(state["metadata"]))
+    marked = state | {"metadata": [c if c in usable else "" for c in state["metadata"]]}
+    return docs.mapInArrow(keeping(marked, least), docs.schema)
