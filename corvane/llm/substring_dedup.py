@@ -4,14 +4,14 @@ A window (``window`` consecutive words) is kept in the document with the least d
 
 1. Anchors. Every window holds a run of ``window // 2`` words whose hash is least in it, so equal windows share an anchor.
    Anchors of two documents or more are set in a bitmap of fixed size.
-2. Windows with such an anchor are grouped by their hash; the least (doc_id, place) owns the window. What other documents
-   repeat of one owner makes runs, and what is repeated of an owner makes its reference passages.
-3. Reference passages are sharded by owner, a bounded number of words each, and the runs that repeat them go where the shard
-   is, in as many shares as their number asks for, with the shard's passages broadcast to every share. There a suffix
-   automaton of the shard's words is built and the runs are streamed through it; its matching statistics give the maximal
-   spans of at least ``window`` words, on the words themselves. Sending every shard past every document, the plain form
-   of this method, would take the square of the corpus.
-4. The spans go back to their documents.
+2. Windows with such an anchor are grouped by their hash, within each task first; the least (doc_id, place) owns the window.
+   What recurs of an owner makes its reference passages.
+3. Reference passages are sharded by owner, and every shard becomes a suffix automaton whose states know the least document
+   they occur in. The automaton goes to as many tasks as the documents to be streamed past it ask for; these are the
+   documents that have a window owned in the shard, whole. Their matching statistics give the maximal spans of at least
+   ``window`` words that a lesser document has, on the words themselves. Sending every shard past every document, the plain
+   form of this method, would take the square of the corpus.
+4. The spans of all shards go back to their documents.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
-from corvane.llm.store import settled
-from corvane.llm.words import U, Words, grams, slabs
+from corvane.llm.store import dropped, settled
+from corvane.llm.words import BASE, U, Words, grams, mix, slabs
 
 BITS = 26
+NOWHERE = 1 << 63
 
 
 def least_in_windows(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,27 +66,53 @@ def shared_anchors(docs: DataFrame, window: int) -> bytes:
 
 
 def likely_windows(window: int, packed: bytes):
+    """Rows of kind 0: windows that may recur elsewhere, one of each per task, that of the least doc_id. Of kind 1: the runs of
+    windows that a document with a lesser doc_id has in the same task; they needn't travel one by one, so however often a
+    passage recurs, each task sends its windows once."""
+
     def run(batches):
-        bitmap = opened(packed)
+        bitmap, held = opened(packed), []
         for batch in batches:
             for at, _, words in slabs(batch, "text", False):
                 h = words.hashes()
                 low, doc = least_in_windows(words, h, window)
                 some = np.flatnonzero(members(bitmap, low))
-                if not len(some):
-                    continue
-                whole, _ = long_grams(h, words.first, window)
-                start = np.searchsorted(doc, np.arange(len(words)))
-                place = some - start[doc[some]]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[some].view(np.int64)), batch.column(0).take(pa.array(doc[some] + at)), pa.array(place.astype(np.int32))], names=["hash", "doc_id", "place"])
+                if len(some):
+                    whole, _ = long_grams(h, words.first, window)
+                    place = some - np.searchsorted(doc, np.arange(len(words)))[doc[some]]
+                    row = pa.array(doc[some] + at)
+                    held.append((whole[some], batch.column(0).take(row).to_numpy(), batch.column(2).take(row).to_numpy(), place.astype(np.int32)))
+        if held:
+            h, doc, body, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((place, body, doc, h))
+            h, doc, body, place = (x[order] for x in (h, doc, body, place))
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            owner = np.flatnonzero(new)[np.cumsum(new) - 1]
+            rest = np.flatnonzero(doc[owner] < doc)
+            rest = rest[np.lexsort((place[rest], body[rest], doc[rest]))]
+            kept = new.nonzero()[0]
+            yield windows_batch(0, h[kept], doc[kept], body[kept], place[kept], np.ones(len(kept), np.int32), doc[kept], body[kept], place[kept])
+            if len(rest):
+                d, t, p, o, u, q = doc[rest], body[rest], place[rest], doc[owner[rest]], body[owner[rest]], place[owner[rest]]
+                follows = (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (o[1:] == o[:-1]) & (u[1:] == u[:-1]) & (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
+                at = np.flatnonzero(np.concatenate([[True], ~follows]))
+                yield windows_batch(1, mix(d[at].astype(np.uint64) ^ t[at].astype(np.uint64) * U(3) + p[at].astype(np.uint64)), d[at], t[at], p[at], np.diff(np.append(at, len(d))).astype(np.int32), o[at], u[at], q[at])
 
     return run
 
 
+def windows_batch(kind: int, h, doc, body, place, n, owner, owner_body, owner_start) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), *(pa.array(x) for x in (doc, body, place, n, owner, owner_body, owner_start))]
+    return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in WINDOWS.split(", ")])
+
+
+WINDOWS = "kind int, hash long, doc_id long, body long, start int, n int, owner long, owner_body long, owner_start int"
+RUNS = "doc_id long, body long, start int, n int, owner long, owner_body long, owner_start int"
+
+
 def long_grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """grams() for long runs: doubles the length hashed instead of adding word by word."""
-    from corvane.llm.words import BASE, mix
-
     part, width, power = h.copy(), 1, BASE
     bits = bin(k)[3:]
     for bit in bits:
@@ -100,31 +127,6 @@ def long_grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(part[:n][same]), doc[:n][same]
 
 
-def runs(batches):
-    """Rows ordered by document and place to (doc_id, start, n, owner, owner_start) of windows that follow one another in both."""
-    names = ["doc_id", "start", "n", "owner", "owner_start"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-    last = None
-    for batch in batches:
-        d, p, o, q = (batch.column(i).to_numpy() for i in range(4))
-        if not len(d):
-            continue
-        breaks = np.ones(len(d), bool)
-        breaks[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-        at = np.flatnonzero(breaks)
-        rows = [list(r) for r in zip(d[at].tolist(), p[at].tolist(), np.diff(np.append(at, len(d))).tolist(), o[at].tolist(), q[at].tolist(), strict=True)]
-        if last:
-            x = rows[0]
-            if last[0] == x[0] and last[3] == x[3] and last[1] + last[2] == x[1] and last[4] + last[2] == x[4]:
-                x[1], x[4], x[2] = last[1], last[4], last[2] + x[2]
-            else:
-                rows.insert(0, last)
-        last = rows.pop()
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=names)
-    if last:
-        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(last, kinds, strict=True)], names=names)
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -135,46 +137,69 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-PIECE = "kind int, owner long, doc_id long, start int, words long, body binary, digest string"
+def passages(batches):
+    """Ranges ordered by owner and start, joined where they meet: a passage for each stretch of an owner that recurs."""
+    last = None
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last and last[:2] == row[:2] and row[2] <= last[3]:
+                last = (*last[:3], max(last[3], row[3]))
+            else:
+                if last:
+                    out.append(last)
+                last = row
+        yield passage_batch(out)
+    yield passage_batch([last] if last else [])
+
+
+def passage_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "body", "low", "high"])
 
 
-def pieces(window: int):
-    """Per document: a row of kind 2 (whole, with its text only if something may go), its reference passages (0) and runs (1)."""
+PIECES = "kind int, shard long, doc_id long, body long, words long, text binary, digest string"
+PIECE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
-    def run(batches):
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
-        for batch in batches:
-            out = []
-            for doc, text, own, refs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                body = (text.as_py() or "").encode()
-                words = body.split()
-                for a, b in merged([(r["start"], r["start"] + r["n"] + window - 1) for r in refs or ()]):
-                    out.append((0, doc, doc, a, b - a, b" ".join(words[a:b]), None))
-                for r in own or ():
-                    a, b = r["start"], r["start"] + r["n"] + window - 1
-                    out.append((1, r["owner"], doc, a, b - a, b" ".join(words[a:b]), None))
-                out.append((2, None, doc, 0, len(words), body if own else None, None if own else hashlib.sha256(b" ".join(words)).hexdigest()))
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=PIECE.replace(",", "").split()[::2])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=PIECE.replace(",", "").split()[::2])
 
-    return run
+def pieces(batches):
+    """Per row of ``docs``: one of kind 2 (its words, with the text only if some may go); one of kind 1 with the whole text for
+    every shard it must be streamed past; and of kind 0 its own passages that recur elsewhere, for their shard."""
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    for batch in batches:
+        out, size = [], 0
+        for doc, text, body, shards, refs, home in zip(*(batch.column(i) if i == 1 else batch.column(i).to_pylist() for i in range(6)), strict=True):
+            text = (text.as_py() or "").encode()
+            words = text.split()
+            for r in refs or ():
+                out.append((0, home, doc, body, r["high"] - r["low"], b" ".join(words[r["low"] : r["high"]]), None))
+            for shard in shards or ():
+                out.append((1, shard, doc, body, len(words), text, None))
+            out.append((2, None, doc, body, len(words), text if shards else None, None if shards else hashlib.sha256(b" ".join(words)).hexdigest()))
+            size += len(text) * (1 + len(shards or ()))
+            if len(out) >= 2000 or size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], names=names)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], names=names)
 
 
 class SuffixAutomaton:
-    """All substrings of the word sequences added, in states with transitions, suffix links and longest lengths."""
+    """All substrings of the word sequences added, in states with transitions, suffix links, longest lengths, and the least
+    document that has the substring."""
 
     def __init__(self):
         self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.longest = [0]
+        self.least = [NOWHERE]
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes], doc: int = 0) -> None:
         last = 0
         for w in words:
             last = self.extend(last, w)
+            if doc < self.least[last]:
+                self.least[last] = doc
 
     def extend(self, last: int, w: bytes) -> int:
         nxt, link, longest = self.next, self.link, self.longest
@@ -185,6 +210,7 @@ class SuffixAutomaton:
         nxt.append({})
         longest.append(longest[last] + 1)
         link.append(0)
+        self.least.append(NOWHERE)
         p = last
         while p >= 0 and w not in nxt[p]:
             nxt[p][w] = new
@@ -200,15 +226,28 @@ class SuffixAutomaton:
         nxt.append(dict(nxt[q]))
         link.append(link[q])
         longest.append(longest[p] + 1)
+        self.least.append(NOWHERE)
         link[q] = copy
         while p >= 0 and nxt[p].get(w) == q:
             nxt[p][w] = copy
             p = link[p]
         return copy
 
-    def spans(self, words: list[bytes], least: int) -> list[tuple[int, int]]:
-        """Maximal ranges of words covered by substrings of at least ``least`` words, from the matching statistics."""
-        nxt, link, longest = self.next, self.link, self.longest
+    def settle(self, window: int) -> None:
+        """Once all is added: the least document of every state, and for each state that of its suffix of ``window`` words."""
+        order = sorted(range(1, len(self.link)), key=self.longest.__getitem__)
+        least, link = self.least, self.link
+        for s in reversed(order):
+            if least[s] < least[link[s]]:
+                least[link[s]] = least[s]
+        self.first = least[:]
+        for s in order:
+            if link[s] > 0 and self.longest[link[s]] >= window:
+                self.first[s] = self.first[link[s]]
+
+    def spans(self, words: list[bytes], window: int, doc: int = NOWHERE) -> list[tuple[int, int]]:
+        """Maximal ranges of words under windows that a document below ``doc`` has, from the matching statistics."""
+        nxt, link, longest, first = self.next, self.link, self.longest, self.first
         out: list[tuple[int, int]] = []
         state = length = 0
         for i, w in enumerate(words):
@@ -220,49 +259,58 @@ class SuffixAutomaton:
                 length = 0
             else:
                 state, length = to, length + 1
-            if length >= least:
-                a = i + 1 - length
-                if out and a <= out[-1][1]:
-                    out[-1] = (min(a, out[-1][0]), i + 1)
-                else:
-                    out.append((a, i + 1))
+            if length >= window:
+                while longest[link[state]] >= window and length <= longest[link[state]]:
+                    state = link[state]
+                if first[state] < doc:
+                    a = i + 1 - window
+                    if out and a <= out[-1][1]:
+                        out[-1] = (out[-1][0], i + 1)
+                    else:
+                        out.append((a, i + 1))
         return out
 
 
 def matched(window: int):
-    """Rows ordered by shard, share and kind to the spans of the runs; one automaton at a time."""
+    """Rows ordered by shard, share and kind to the spans of the documents; one automaton at a time."""
 
     def run(batches):
-        key, automaton = None, SuffixAutomaton()
+        key, automaton, ready = None, SuffixAutomaton(), False
         for batch in batches:
             out = []
-            for shard, share, kind, doc, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, share, kind, doc, body, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, share) != key:
-                    key, automaton = (shard, share), SuffixAutomaton()
-                words = body.split()
+                    key, automaton, ready = (shard, share), SuffixAutomaton(), False
+                words = text.split()
                 if not kind:
-                    automaton.add(words)
+                    automaton.add(words, doc)
                 else:
-                    out += [(doc, start + a, start + b) for a, b in automaton.spans(words, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "low", "high"])
+                    if not ready:
+                        automaton.settle(window)
+                        ready = True
+                    out += [(doc, body, a, b) for a, b in automaton.spans(words, window, doc)]
+            yield passage_batch(out)
 
     return run
 
 
+REMOVED = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+
+
 def trimmed(batches):
-    """(doc_id, n_words, digest, body, ranges) to the removed words' number, the kept words' digest and the ranges."""
+    """(doc_id, n_words, digest, text, ranges) to the removed words' number, the kept words' digest and the ranges."""
     for batch in batches:
         out = []
-        for doc, n, digest, body, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, n, digest, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             gone = merged([(r["low"], r["high"]) for r in ranges or ()])
-            if body is not None:
-                words, kept, at = body.split(), [], 0
+            if text is not None:
+                words, kept, at = text.split(), [], 0
                 for a, b in gone:
                     kept += words[at:a]
                     at = b
                 digest = hashlib.sha256(b" ".join(kept + words[at:])).hexdigest()
             out.append((doc, n, sum(b - a for a, b in gone), digest, [{"low": a, "high": b} for a, b in gone]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), REMOVED)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
 
@@ -270,35 +318,40 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000,
     """doc_id, n_words, n_removed, kept_sha256, removed (array of word ranges) of every row of ``docs`` (doc_id, text).
 
     Words are compared as they are. A word goes if a ``window`` over it also starts in a document with a smaller doc_id, on
-    the input. Null, empty and blank texts have no words. Rows with the same doc_id count as one document and each keep a
-    row; what a document repeats of itself stays. An empty table gives an empty result; further columns are ignored.
-    Hashes only choose what is compared: what is removed was matched word by word.
+    the input. Null, empty and blank texts have no words. Rows with the same doc_id are judged each by its own text, and none
+    by the others; rows without a doc_id stay whole and are nobody's reference. What a document repeats of itself stays. An
+    empty table gives an empty result; further columns are ignored. Hashes only choose which shards a document is streamed
+    past: what is removed is what their automata match.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
     packed = shared_anchors(docs, window)
-    seen = docs.where("doc_id is not null").mapInArrow(likely_windows(window, packed), "hash long, doc_id long, place int")
-    first = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("hash"))
-    owned = seen.withColumn("o", first).where(F.col("o.doc_id") < F.col("doc_id")).select("doc_id", "place", F.col("o.doc_id").alias("owner"), F.col("o.place").alias("owner_start"))
-    found = owned.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(runs, "doc_id long, start int, n int, owner long, owner_start int")
-    found = settled(found, "runs")
-
-    own = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "owner")).alias("own"))
-    refs = found.select(F.col("owner").alias("doc_id"), F.col("owner_start").alias("start"), "n").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("refs"))
-    spans = own.join(refs, "doc_id", "full_outer")
-    cut = settled(docs.join(spans, "doc_id", "left").select("doc_id", "text", "own", "refs").mapInArrow(pieces(window), PIECE), "pieces")
-
-    total = cut.where("kind = 0").agg(F.sum("words")).first()[0] or 0
+    seen = docs.where("doc_id is not null").mapInArrow(likely_windows(window, packed), WINDOWS)
+    first = F.min(F.struct("doc_id", "start", "body")).over(Window.partitionBy("kind", "hash"))
+    runs = F.when(F.col("kind") == 0, F.col("o"))
+    owned = seen.withColumn("o", first).where((F.col("kind") == 1) | (F.col("o.doc_id") < F.col("doc_id")))
+    found = settled(owned.select("doc_id", "body", "start", "n", F.coalesce(runs["doc_id"], "owner").alias("owner"), F.coalesce(runs["body"], "owner_body").alias("owner_body"), F.coalesce(runs["start"], "owner_start").alias("owner_start")), "runs")
+
+    ranges = found.select(F.col("owner").alias("doc_id"), F.col("owner_body").alias("body"), F.col("owner_start").alias("low"), (F.col("owner_start") + F.col("n") + (window - 1)).cast("int").alias("high")).distinct()
+    refs = settled(ranges.repartition("doc_id").sortWithinPartitions("doc_id", "body", "low").mapInArrow(passages, "doc_id long, body long, low int, high int"), "passages")
+    total = refs.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    parts = cut.where("kind < 2").withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    shard = lambda doc, body: F.pmod(F.xxhash64(doc, body), F.lit(shards))
+    past = found.select("doc_id", "body", shard("owner", "owner_body").alias("shard")).distinct().groupBy("doc_id", "body").agg(F.collect_list("shard").alias("shards"))
+    refs = refs.groupBy("doc_id", "body").agg(F.collect_list(F.struct("low", "high")).alias("refs"))
+    known = docs.join(past, ["doc_id", "body"], "left").join(refs, ["doc_id", "body"], "left")
+    cut = settled(known.select("doc_id", "text", "body", "shards", "refs", shard("doc_id", "body").alias("home")).mapInArrow(pieces, PIECES), "pieces")
+    dropped(found)
+
+    parts = cut.where("kind < 2").select("kind", "shard", "doc_id", "body", "words", "text").dropDuplicates(["kind", "shard", "doc_id", "body", "text"])
     shares = parts.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("words") / share_words).cast("int").alias("shares"))
     parts = parts.join(shares, "shard")
-    share = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")))
-    dealt = parts.select("shard", F.explode(share).alias("share"), "kind", "doc_id", "start", "body")
-    hits = dealt.repartition("shard", "share").sortWithinPartitions("shard", "share", "kind").mapInArrow(matched(window), "doc_id long, low int, high int")
-    ranges = hits.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    share = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "body"), F.col("shares")).cast("int")))
+    dealt = parts.select("shard", F.explode(share).alias("share"), "kind", "doc_id", "body", "text")
+    hits = dealt.repartition("shard", "share").sortWithinPartitions("shard", "share", "kind").mapInArrow(matched(window), "doc_id long, body long, low int, high int")
+    spans = hits.groupBy("doc_id", "body").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
-    whole = cut.where("kind = 2").select("doc_id", F.col("words").alias("n_words"), "digest", "body")
+    whole = cut.where("kind = 2").select("doc_id", "body", F.col("words").alias("n_words"), "digest", "text")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<low:int,high:int>>"
-    touched = whole.where("body is not null").join(ranges, "doc_id", "left").mapInArrow(trimmed, schema)
-    rest = whole.where("body is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast("array<struct<low:int,high:int>>").alias("removed"))
+    touched = whole.where("text is not null").join(spans, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "text", "ranges").mapInArrow(trimmed, schema)
+    rest = whole.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast("array<struct<low:int,high:int>>").alias("removed"))
     return touched.union(rest)
