@@ -1,21 +1,22 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of tokens: lower-cased words and one end. The ``HEAD`` most frequent tokens and an escape have a Huffman
-code, and each bit of a token's code is predicted from several hashed contexts: the place in the code alone, with the last
-word, with the last two, and with the last very frequent word. An escaped word's probability is the mean of its share among the
-counted words and of its spelling in bytes, whose bits are predicted from the one to four bytes before. Each context's two counts
-give a probability; their log-odds are added with weights that a gate chooses by how many contexts are known and how deep
-the bit lies, and a logistic function makes a probability of the sum (logistic mixing). The weights start from those
-learned over all training documents and are corrected after every ``CHUNK`` tokens of the document being scored, from
-bits already coded only. The probabilities are proper: over all texts they add up to at most one.
+A text is a sequence of tokens: lower-cased words and one end. Every token is coded by at most three binary decisions: is it
+one that has followed the previous token before; if not, one that has followed the last short word before; if not, one that
+occurs at all. The first that holds is followed by the token's share of the counts in that context, and a token that no
+context knows is spelled in bytes. Each decision is predicted by several hashed contexts (how often the context was seen with
+the outcomes of the tokens before, those outcomes alone, the counts of both contexts, the previous token with the last
+outcome): their log-odds are added with weights that a gate chooses by the decision and the last outcome, and a logistic
+function makes a probability of the sum (logistic mixing). The weights start from those learned over all training
+documents and are corrected after every ``CHUNK`` tokens of the document being scored, from decisions already coded only.
+The bits of spelled words are mixed in the same way from the one to four bytes before. Probabilities are proper: over all texts
+they add up to at most one. A training document is scored by the counts of all others, its own are taken off.
+
+Counts of tokens and contexts grow with the corpus, so they stay distributed: documents lie in chunks of bounded size, each
+chunk sends the sorted hashes it needs to the task that keeps that range of hashes, and gets the totals back in that order.
 """
 
 from __future__ import annotations
 
-import heapq
-import sys
-import types
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,67 +26,44 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.store import settled
-from corvane.llm.words import U, Words, slabs
+from corvane.llm.store import dropped, settled
+from corvane.llm.words import U, Words, mix, slabs
 
-HEAD = 4096
-FREQUENT = 128
-KNOWN_BITS = 19
-WORD_SLOTS, BYTE_SLOTS = 22, 21
+SHORT = 3  # bytes of a word that serves as the sparse context
+TOKEN_BITS = 63
+BYTE_SLOTS = 21
 BLOCK = 1 << 14
-WORD_INPUTS, BYTE_INPUTS = 5, 5
-GATES, BYTE_GATES = 12, 5
+BYTE_INPUTS, BYTE_GATES = 5, 5
 CHUNK = 64
-PIECE = 1 << 20
+PIECE = 4 << 20
 #: Of the counts' own type: with a Python number and 32-bit places the addition below takes twenty times as long.
 ONE = np.int32(1)
-END = np.array([0x656E64], np.uint64)[0]
+START, END = np.array([0x7374617274, 0x656E64656E64], np.uint64)
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
+NONE = 31  # bucket of a context that was never seen
+LEVELS, OUTCOMES, PREVIOUS = 3, 4, 1 << 10
+SIZES = (LEVELS * 32 * 5 * 5, LEVELS * 5**4, LEVELS * 32 * 32, LEVELS * PREVIOUS * 5)
+INPUTS, GATES = len(SIZES) + 1, LEVELS * 5
+TOKENS, CONTEXTS = 0, 1
 
 
-def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, length, node, bit) of every symbol's code; nodes are numbered from 0."""
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    made = len(weights)
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y] = (made, 0), (made, 1)
-        heapq.heappush(heap, (a + b, made))
-        made += 1
-    first, length, node, bit = [], [], [], []
-    for i in range(len(weights)):
-        path, at = [], i
-        while at in parent:
-            at, b = parent[at]
-            path.append((at - len(weights), b))
-        first.append(len(node))
-        length.append(len(path))
-        node += [n for n, _ in reversed(path)]
-        bit += [b for _, b in reversed(path)]
-    return np.array(first), np.array(length), np.array(node, np.int64), np.array(bit, np.int8)
-
-
-class Code:
-    """Head tokens in order of their hashes, their symbols, and the Huffman code of symbols; the last symbol is the escape."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.lexsort((hashes, -counts))[:HEAD]
-        chosen = hashes[order]
-        if END not in chosen:
-            chosen = np.append(chosen, END)
-        count = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
-        weights = [max(1, count.get(int(h), 1)) for h in chosen]
-        self.escape = len(chosen)
-        weights.append(max(1, total - sum(weights)))
-        by = np.argsort(chosen)
-        self.hashes, self.symbol = chosen[by], by  # symbol 0 is the most frequent token
-        self.first, self.length, self.node, self.bit = huffman(weights)
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.symbol[at], self.escape)
+# chunks of documents
+
+
+def chunked(batches):
+    """Documents in chunks of about ``PIECE`` bytes: (chunk, compressed rows)."""
+    done = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at, rows, _ in slabs(batch, "text", True, PIECE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(at, rows))
+            yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
+            done += 1
+
+
+def opened(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
 
 
 def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,53 +71,229 @@ def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, n = words.hashes(), words.count
     doc = np.repeat(np.arange(len(words)), n + 1)
     place = np.arange(len(doc)) - doc
-    last = np.cumsum(n + 1) - 1
-    token = np.empty(len(doc), np.uint64)
     inner = np.ones(len(doc), bool)
-    inner[last] = False
+    inner[np.cumsum(n + 1) - 1] = False
+    token = np.full(len(doc), END)
     token[inner] = h
-    token[last] = END
     return token, doc, np.where(inner, place, -1)
 
 
-class Bits:
-    """Coded bits of a stretch of tokens and the table slots of their contexts."""
-
-    def __init__(self, code: Code, token: np.ndarray, doc: np.ndarray):
-        s = code.symbols(token)
-        self.symbol = s
-        one = np.full(len(s), code.escape + 1)
-        two = one.copy()
-        new = np.ones(len(s), bool)
-        new[1:] = doc[1:] != doc[:-1]
-        one[1:] = np.where(new[1:], code.escape + 1, s[:-1])
-        two[1:] = np.where(new[1:], code.escape + 1, one[:-1])
-        at = np.where((s < FREQUENT), np.arange(len(s)), -1)
-        start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-        seen = np.maximum.accumulate(np.concatenate([[-1], at[:-1]]))
-        frequent = np.where(seen >= start, s[np.maximum(seen, 0)], code.escape + 1)
-        n = code.length[s]
-        self.token = np.repeat(np.arange(len(s)), n)
-        spot = np.repeat(code.first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        node, self.bit = code.node[spot], code.bit[spot]
-        self.depth = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
-        key = node.astype(np.uint64) * A
-        one, two, frequent = (x.astype(np.uint64)[self.token] for x in (one, two, frequent))
-        self.slots = [node.astype(np.int32), mix_down(key ^ (one + U(1)) * B, WORD_SLOTS), mix_down(key ^ (one + U(1)) * B ^ (two + U(1)) * C, WORD_SLOTS), mix_down(key + (frequent + U(7)) * C, WORD_SLOTS)]
-
-
-def mix_down(h: np.ndarray, bits: int) -> np.ndarray:
-    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> U(32))) * U(0x94D049BB133111EB) >> U(64 - bits)).astype(np.int32)
-
-
-def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(word, byte, contexts) of words spelled out with a blank behind each."""
+class Events:
+    """Tokens of a chunk with the token before, the last short word before, and the keys of what is counted."""
+
+    def __init__(self, words: Words, bits: int):
+        token, doc, self.place = with_ends(words)
+        at = np.arange(len(token))
+        self.first = np.ones(len(token), bool)
+        self.first[1:] = doc[1:] != doc[:-1]
+        self.before = np.where(self.first, START, np.concatenate([token[-1:], token[:-1]]))
+        short = np.zeros(len(token), bool)
+        inner = self.place >= 0
+        short[inner] = (words.end - words.start)[self.place[inner]] <= SHORT
+        seen = np.maximum.accumulate(np.concatenate([[-1], np.where(short, at, -1)[:-1]])) if len(at) else at
+        start = np.maximum.accumulate(np.where(self.first, at, 0)) if len(at) else at
+        sparse = np.where(seen >= start, token[np.maximum(seen, 0)], START)
+        self.doc = doc
+        down = U(64 - bits)
+        self.token = mix(token) >> U(64 - TOKEN_BITS)
+        self.pair = mix(self.before * A ^ mix(token)) >> down
+        self.after_short = mix(sparse * B + token * C) >> down
+        self.short = mix(sparse * C ^ A) >> down
+
+
+def keys_of(events: Events) -> list[tuple[int, int, np.ndarray]]:
+    return [(TOKENS, TOKEN_BITS, events.token), (CONTEXTS, 0, np.concatenate([events.pair, events.after_short, events.short]))]
+
+
+def tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, how many of each lie in training documents). Keys have 63 bits at most."""
+    both = np.sort(keys << U(1) | train)
+    key = both >> U(1)
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[edge], np.add.reduceat(both & U(1), edge) if len(edge) else key
+
+
+# hashes and counts on the way
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, the low bytes of all first, without high bytes that are 0 in all."""
+    wide = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
+    used = max([0, *(i + 1 for i in range(8) if wide[i].any())])
+    return bytes([used]) + wide[:used].tobytes()
+
+
+def unplaned(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n).T
+    return out.view(np.uint64).ravel()
+
+
+def differences(keys: np.ndarray) -> bytes:
+    return int(keys[0]).to_bytes(8, "little") + planes(np.diff(keys))
+
+
+def summed(data: bytes, n: int) -> np.ndarray:
+    first = U(int.from_bytes(data[:8], "little"))
+    return np.cumsum(np.concatenate([[first], unplaned(data[8:], n - 1)]), dtype=np.uint64)
+
+
+REQUEST = "kind int, block long, chunk long, n int, keys binary, counts binary"
+REPLY = "kind int, block long, chunk long, n int, counts binary, total long, distinct long"
+
+
+def requests(bits: int, split: tuple[int, int]):
+    """What each chunk has and asks for, by range of hashes; split: binary digits of the number of ranges of either kind."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = opened(body)
+                events = Events(Words(rows.column("text"), True), bits)
+                train = rows.column("train").to_numpy(zero_copy_only=False).astype(np.uint64)[events.doc]
+                out = []
+                for kind, width, keys in keys_of(events):
+                    key, counts = tallied(keys, np.tile(train, len(keys) // max(len(train), 1)))
+                    block = key >> U((width or bits) - split[kind])
+                    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
+                        out.append((kind, int(block[a]), chunk, b - a, differences(key[a:b]), planes(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "block", "chunk", "n", "keys", "counts"])
+
+    return run
+
+
+def answered(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals over all chunks of each chunk's keys in one range, with a mark (lowest bit) for one chunk that has the key in training."""
+    kind, block = (k.as_py() for k in key)
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "keys", "counts")), strict=True)]
+    rows.sort(key=lambda r: r[0])
+    n = np.array([r[1] for r in rows])
+    keys = np.concatenate([summed(k, m) for _, m, k, _ in rows])
+    counts = np.concatenate([unplaned(c, m) for _, m, _, c in rows])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    edge = np.flatnonzero(new)
+    total = np.add.reduceat(counts, edge)
+    group = np.cumsum(new) - 1
+    owner = np.full(len(edge), len(keys))
+    has = np.flatnonzero(counts > 0)
+    np.minimum.at(owner, group[has], has)
+    reply = np.empty(len(keys), np.uint64)
+    mine = np.zeros(len(keys), np.uint64)
+    mine[owner[owner < len(keys)]] = 1
+    reply[order] = total[group] << U(1) | mine
+    edges = np.concatenate([[0], np.cumsum(n)])
+    stats = (int(total.sum()), int((total > 0).sum()))
+    for i, (chunk, m, _, _) in enumerate(rows):
+        out = [(kind, block, chunk, m, planes(reply[edges[i] : edges[i + 1]]), *(stats if not i else (0, 0)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["kind", "block", "chunk", "n", "counts", "total", "distinct"])
+
+
+# outcomes of the decisions
+
+
+def own_counts(group: np.ndarray, doc: np.ndarray, groups: int) -> np.ndarray:
+    """How often each entry's group occurs in its document."""
+    _, back, times = np.unique(doc * groups + group, return_inverse=True, return_counts=True)
+    return times[back]
+
+
+def bucket(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.minimum(1.5 * np.log2(np.maximum(count, 0) + 1), NONE - 1).astype(np.int64), NONE)
+
+
+def text_of(words: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the words at these places, -1 being the empty one, with a blank behind each; how many bytes each takes)."""
+    none = place < 0
+    start = np.where(none, 0, words.start[np.maximum(place, 0)]) if len(words.start) else np.zeros(len(place), np.int64)
+    end = np.where(none, 0, words.end[np.maximum(place, 0)]) if len(words.start) else start
     n = end - start + 1
-    word = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    source = np.minimum(np.repeat(start, n) + place, max(len(data) - 1, 0))
-    byte = np.where(place == n[word] - 1, 32, data[source] if len(data) else 32).astype(np.uint64)
+    spot = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+    data = words.data[np.minimum(spot, max(len(words.data) - 1, 0))] if len(words.data) else np.full(len(spot), 32, np.uint8)
+    data = data.copy()
+    data[np.cumsum(n) - 1] = 32
+    return data, n
+
+
+DECIDED = "doc_id long, train boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, codes binary, before binary, unknown binary, types binary"
+DECIDED_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def decided(rows: pa.RecordBatch, counts: list[np.ndarray], bits: int, n_train: int, n_docs: int) -> pa.RecordBatch:
+    """Outcomes, buckets and shares of the documents of a chunk; counts: of its distinct keys of either kind."""
+    words = Words(rows.column("text"), True)
+    events = Events(words, bits)
+    doc, n = events.doc, len(events.doc)
+    train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
+    sides = []
+    for (_, _, keys), replies in zip(keys_of(events), counts, strict=True):
+        _, back = np.unique(keys, return_inverse=True)
+        sides.append((back, (replies >> U(1)).astype(np.int64)))
+    (token, total), (context, total_c) = sides
+    known = total[token]
+    trained = train[doc]
+    off = lambda group, size: np.where(trained, own_counts(group, doc, size), 0)
+    c1 = known - off(token, len(total))
+    parts = [context[i * n : (i + 1) * n] for i in range(3)]
+    c2, cs, seen_s = (total_c[p] - off(p, len(total_c)) for p in parts)
+    seen_2 = np.where(events.first, n_docs - trained, np.concatenate([c1[-1:], c1[:-1]]))
+    c2, cs = np.minimum(c2, seen_2), np.minimum(cs, seen_s)  # a mistaken hash must not give a share above 1
+    n_tokens = np.bincount(doc, minlength=len(words))
+    seen_1 = np.maximum(n_train - np.where(train, n_tokens, 0), 0)[doc]
+    outcome = np.where(c2 > 0, 0, np.where(cs > 0, 1, np.where(c1 > 0, 2, 3)))
+    have, of = np.choose(outcome, [c2, cs, c1, np.ones_like(c1)]), np.choose(outcome, [seen_2, seen_s, seen_1, np.ones_like(c1)])
+    per = lambda x: np.bincount(doc, weights=x, minlength=len(words))
+    codes = (outcome | bucket(seen_2) << 2 | bucket(seen_s) << 7 | (seen_1 > 0) << 12).astype("<u2")
+    before = (mix(events.before ^ C) >> U(54)).astype("<u2")
+    edge = np.concatenate([[0], np.cumsum(n_tokens)])
+    rare = np.flatnonzero(outcome == 3)
+    data, size = text_of(words, events.place[rare])
+    stop = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(doc[rare], np.arange(len(words) + 1))]
+    mark = np.flatnonzero((counts[TOKENS] & U(1)).astype(bool))
+    where = np.full(len(total), -1)
+    where[token[::-1]] = np.arange(n)[::-1]
+    types, _ = text_of(words, events.place[where[mark]])
+    cut = lambda x, e: [x[a:b].tobytes() for a, b in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)]
+    m = len(words)
+    cols = [rows.column("doc_id").to_pylist(), train.tolist(), n_tokens.tolist(), per(known > 0).astype(np.int64).tolist(), per(np.log10(known + 0.5)).tolist(), per(np.log2(of / have)).tolist(), np.diff(words.off).tolist(), cut(codes, edge), cut(before, edge), cut(data, stop), [types.tobytes(), *[b""] * (m - 1)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, DECIDED_TYPES, strict=True)], names=[f.split()[0] for f in DECIDED.split(", ")])
+
+
+def deciding(bits: int, n_train: int, n_docs: int):
+    """Rows ordered by chunk, kind and block (kind -1: the chunk itself) to its documents' outcomes, one chunk at a time."""
+
+    def run(batches):
+        chunk, body, held = None, None, [[], []]
+
+        def result():
+            return decided(opened(body), [np.concatenate([unplaned(c, n) for n, c in x]) for x in held], bits, n_train, n_docs)
+
+        for batch in batches:
+            for c, kind, n, data in zip(*(batch.column(k).to_pylist() for k in ("chunk", "kind", "n", "data")), strict=True):
+                if kind < 0:
+                    if body is not None:
+                        yield result()
+                    chunk, body, held = c, data, [[], []]
+                elif c == chunk:
+                    held[kind].append((n, data))
+        if body is not None:
+            yield result()
+
+    return run
+
+
+# spelling
+
+
+def spelled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(word, byte, contexts) of words that each end with a blank."""
+    last = data == 32
+    word = np.cumsum(last) - last
+    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(data) else np.zeros(0, np.int64)
+    place = np.arange(len(data)) - start[word] if len(data) else word
+    byte = data.astype(np.uint64)
     before, context = np.zeros(len(byte), np.uint64), []
     for k in range(1, 5):
         b = np.zeros(len(byte), np.uint64)
@@ -153,61 +307,21 @@ def byte_bits(byte: np.ndarray, context: list[np.ndarray]):
     """For each of a byte's eight bits its value and the slots of its contexts."""
     for j in range(8):
         node = (byte | U(256)) >> U(8 - j)
-        yield ((byte >> U(7 - j)) & U(1)).astype(np.int8), [mix_down(c + node * A, BYTE_SLOTS) for c in context]
-
-
-def counting(code: Code):
-    """Counts of coded bits by context over one partition's training documents, in compressed blocks."""
+        yield ((byte >> U(7 - j)) & U(1)).astype(np.int8), [(mix(c + node * A) >> U(64 - BYTE_SLOTS)).astype(np.int32) for c in context]
 
-    def run(batches):
-        word = np.zeros((1 << WORD_SLOTS) * 2, np.int32)
-        byte = np.zeros((1 << BYTE_SLOTS) * 2, np.int32)
-        for batch in batches:
-            held = []
-            for _, _, words in slabs(batch, "text", True, PIECE):
-                token, doc, place = with_ends(words)
-                bits = Bits(code, token, doc)
-                for slot in bits.slots:
-                    np.add.at(word, slot.astype(np.int64) * 2 + bits.bit, ONE)
-                some = np.flatnonzero(bits.symbol == code.escape)
-                rare = place[some]
-                if len(rare):
-                    h = token[some]
-                    _, at, times = np.unique(h, return_index=True, return_counts=True)
-                    start, end = words.start[rare[at]], words.end[rare[at]]
-                    n = end - start
-                    source = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    held.append((h[at], times, n, words.data[source]))
-            if held:
-                h, times, n, data = (np.concatenate(x) for x in zip(*held, strict=True))
-                _, at, back = np.unique(h, return_index=True, return_inverse=True)
-                times = np.bincount(back, weights=times).astype(np.int32)
-                stop = np.cumsum(n)
-                for lo in range(0, len(at), 50_000):
-                    own = at[lo : lo + 50_000]
-                    w, b, context = spelled(data, stop[own] - n[own], stop[own])
-                    weight = times[lo : lo + 50_000][w]
-                    for bit, slots in byte_bits(b, context):
-                        for slot in slots:
-                            np.add.at(byte, slot.astype(np.int64) * 2 + bit, weight)
-        blocks, out = [], []
-        for base, table in ((0, word), (len(word) // BLOCK, byte)):
-            for i in range(len(table) // BLOCK):
-                part = table[i * BLOCK : (i + 1) * BLOCK]
-                if part.any():
-                    blocks.append(base + i)
-                    out.append(zlib.compress(part.tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(out, pa.binary())], names=["block", "data"])
 
-    return run
+def stretches(data: np.ndarray, most: int = 400_000):
+    """Words' bytes in stretches of whole words of about ``most`` bytes."""
+    ends = np.flatnonzero(data == 32) + 1
+    at = 0
+    while at < len(data):
+        to = ends[np.searchsorted(ends, min(at + most, len(data)))] if at + most < len(data) else len(data)
+        yield data[at:to]
+        at = int(to)
 
 
-def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BLOCK, np.int64)
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            total += np.frombuffer(zlib.decompress(data), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(eight_bits(total).tobytes(), 1)], pa.binary())], names=["block", "data"])
+def joined_bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
 def eight_bits(counts: np.ndarray) -> np.ndarray:
@@ -218,249 +332,215 @@ def eight_bits(counts: np.ndarray) -> np.ndarray:
     return pair[:, 0] | pair[:, 1] << np.uint16(8)
 
 
-def log_odds() -> np.ndarray:
-    n0, n1 = np.arange(65536) & 255, np.arange(65536) >> 8
-    return np.log((n1 + 0.3) / (n0 + 0.3)).astype(np.float32)
+class Speller:
+    """Mixes the byte contexts' predictions of a word's bits."""
 
+    def __init__(self, packed: bytes, weights: np.ndarray):
+        self.table, self.weights = np.frombuffer(zlib.decompress(packed), np.uint16), weights.copy()
+        n0, n1 = np.arange(65536) & 255, np.arange(65536) >> 8
+        self.odds = (np.log((n1 + 0.3) / (n0 + 0.3)) * (n0 + n1) / (n0 + n1 + 1.5)).astype(np.float32)
 
-def trust() -> np.ndarray:
-    """How far a pair of counts is to be believed: 0 unseen, up to 1."""
-    n = (np.arange(65536) & 255) + (np.arange(65536) >> 8)
-    return (n / (n + 1.5)).astype(np.float32)
-
-
-class Mixer:
-    """Tables and start weights. Inputs of a bit are the contexts' log-odds, scaled by their trust, and a constant."""
-
-    def __init__(self, state: dict):
-        self.code, self.word, self.byte = state["code"], np.frombuffer(zlib.decompress(state["word"]), np.uint16), np.frombuffer(zlib.decompress(state["byte"]), np.uint16)
-        self.weights, self.byte_weights = state["weights"].copy(), state["byte_weights"].copy()
-        self.known, self.counts, self.known_total = state["known"], state["counts"], state["known_total"]
-        self.odds = log_odds() * trust()
-
-    def inputs(self, table: np.ndarray, slots: list[np.ndarray], bit: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(inputs, number of seen contexts beyond the first); ``own``: how many of the counts are this very bit's."""
-        x = np.ones((len(bit), len(slots) + 1), np.float32)
-        seen = np.zeros(len(bit), np.int8)
-        for k, slot in enumerate(slots):
-            v = table[slot]
-            if own:
-                c = np.where(bit == 1, v >> 8, v & 255)
-                v = np.where((c > 0) & (c < 255), v - np.where(bit == 1, 256, 1).astype(np.uint16), v)
-            x[:, k] = self.odds[v]
-            if k:
-                seen += v > 0
-        return x, seen
-
-    def word_cost(self, words: Words, learn: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bits (log2) of each document's coded tokens, and the escaped words (document, place in words, hash)."""
-        token, doc, place = with_ends(words)
-        bits = Bits(self.code, token, doc)
-        x, seen = self.inputs(self.word, bits.slots, bits.bit, int(learn))
-        gate = seen * 3 + np.minimum(bits.depth // 3, 2)
-        nth = np.arange(len(doc)) - np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])[doc] if len(doc) else doc
-        chunk = (nth // CHUNK)[bits.token]
-        owner = doc[bits.token]
-        order = np.argsort(chunk, kind="stable")
-        edges = np.searchsorted(chunk[order], np.arange(chunk.max() + 2)) if len(chunk) else [0]
-        key, x, y = (owner * GATES + gate)[order], x[order], bits.bit[order].astype(np.float32)
-        w = np.repeat(self.weights[None].astype(np.float32), len(words), 0).reshape(-1, WORD_INPUTS)
-        cost = np.zeros(len(words) * GATES)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            k, v = key[a:b], x[a:b]
-            z = np.clip(np.einsum("ij,ij->i", w[k], v), -12, 12)
-            p = 1 / (1 + np.exp(-z))
-            err = y[a:b] - p
-            low, size = k.min() // GATES * GATES, int(k.max() - k.min() // GATES * GATES) + 1
-            k = k - low
-            cost[low : low + size] -= np.bincount(k, weights=np.log2(1 - np.abs(err)), minlength=size)
-            n = np.bincount(k, minlength=size)
-            step = np.stack([np.bincount(k, weights=err * v[:, i], minlength=size) for i in range(WORD_INPUTS)], 1)
-            w[low : low + size] += (0.015 * step / np.sqrt(np.maximum(n, 1))[:, None]).astype(np.float32)
-        cost, w = cost.reshape(len(words), GATES).sum(1), w.reshape(len(words), GATES, WORD_INPUTS)
-        if learn and len(words):
-            self.weights += 0.3 * (np.average(w, axis=0, weights=words.count + 1) - self.weights)
-        rare = bits.symbol == self.code.escape
-        return cost, (doc[rare], place[rare], token[rare]), (token, doc)
-
-    def spelling_cost(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn: bool) -> np.ndarray:
-        """Bits of each word, spelled."""
-        out = np.zeros(len(start))
-        for lo in range(0, len(start), 20_000):
-            word, byte, context = spelled(data, start[lo : lo + 20_000], end[lo : lo + 20_000])
+    def cost(self, data: np.ndarray, own: bool, learn: bool = False) -> np.ndarray:
+        """Bits of each word. own: the words are among those counted, so each bit's own count is taken off."""
+        out = []
+        for part in stretches(data):
+            word, byte, context = spelled(part)
             total = np.zeros(len(byte))
             for y, slots in byte_bits(byte, context):
-                x, seen = self.inputs(self.byte, slots, y, int(learn))
-                seen = np.clip(seen + (x[:, 0] != 0), 0, BYTE_GATES - 1)
-                p = 1 / (1 + np.exp(-np.clip((self.byte_weights[seen] * x).sum(1), -12, 12)))
+                x = np.ones((len(y), BYTE_INPUTS), np.float32)
+                seen = np.zeros(len(y), np.int8)
+                for k, slot in enumerate(slots):
+                    v = self.table[slot]
+                    if own:
+                        c = np.where(y == 1, v >> 8, v & 255)
+                        v = np.where((c > 0) & (c < 255), v - np.where(y == 1, 256, 1).astype(np.uint16), v)
+                    x[:, k] = self.odds[v]
+                    seen += v > 0
+                seen = np.minimum(seen, BYTE_GATES - 1)
+                p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", self.weights[seen], x), -12, 12)))
                 total -= np.log2(np.where(y == 1, p, 1 - p))
                 if learn:
                     for g in range(BYTE_GATES):
-                        own = seen == g
-                        if own.any():
-                            self.byte_weights[g] += 0.02 * ((y[own] - p[own])[:, None] * x[own]).mean(0)
-            out[lo : lo + 20_000] = np.bincount(word, weights=total, minlength=len(out[lo : lo + 20_000]))
-        return out
-
-    def shares(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, share among the counted escaped words) of tokens; 0 where they aren't among the counted ones."""
-        if not len(self.known):
-            return np.zeros(len(h), np.int64), np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        c = np.where(self.known[at] == h, self.counts[at], 0)
-        return c, c / max(self.known_total, 1)
-
-
-class Spellings:
-    """Spelling costs by word hash, kept for the life of a Python worker as two sorted arrays."""
-
-    MOST = 1_500_000
-
-    def __init__(self):
-        self.hashes, self.costs = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-
-    @classmethod
-    def of(cls, name: str) -> Spellings:
-        home = sys.modules.setdefault("_corvane_spellings", types.ModuleType("_corvane_spellings"))
-        if getattr(home, "name", None) != name:
-            home.name, home.kept = name, cls()
-        return home.kept
-
-    def get(self, h: np.ndarray, compute) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        out = np.zeros(len(h), np.float32)
-        out[known] = self.costs[at[known]]
-        if (~known).any():
-            out[~known] = compute(~known)
-            if len(self.hashes) > self.MOST:
-                self.hashes, self.costs = self.hashes[:0], self.costs[:0]
-            spot = np.searchsorted(self.hashes, h[~known])
-            self.hashes, self.costs = np.insert(self.hashes, spot, h[~known]), np.insert(self.costs, spot, out[~known])
-        return out
+                        at = seen == g
+                        if at.any():
+                            self.weights[g] += 0.02 * ((y[at] - p[at])[:, None] * x[at]).mean(0)
+            out.append(np.bincount(word, weights=total, minlength=int(word[-1]) + 1))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+# decisions
+
+
+class Decisions:
+    """The decisions of a batch of documents in coding order: owner, value, gate, and a slot for each of the contexts."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        n = batch.column("n_tokens").to_numpy()
+        code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u2").astype(np.int64)
+        before = np.frombuffer(b"".join(batch.column("before").to_pylist()), "<u2").astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        outcome, seen_2, seen_s = code & 3, code >> 2 & 31, code >> 7 & 31
+        past = []
+        for k in range(1, 5):
+            p = np.full(len(doc), OUTCOMES)
+            p[k:] = outcome[:-k] if k <= len(doc) else p[k:]
+            past.append(np.where(nth >= k, p, OUTCOMES))
+        levels = [np.flatnonzero(seen_2 != NONE), np.flatnonzero((outcome > 0) & (seen_s != NONE)), np.flatnonzero((outcome > 1) & (code >> 12 > 0))]
+        at = np.concatenate(levels)
+        level = np.repeat(np.arange(LEVELS), [len(x) for x in levels])
+        order = np.argsort(nth[at] // CHUNK, kind="stable")
+        at, level = at[order], level[order]
+        self.owner, self.round = doc[at], nth[at] // CHUNK
+        self.value = outcome[at] == level
+        p1, p2, p3, p4 = (p[at] for p in past)
+        self.gate = level * 5 + p1
+        size = np.choose(level, [seen_2[at], seen_s[at], np.zeros(len(at), np.int64)])
+        slots = ((level * 32 + size) * 25 + p1 * 5 + p2, level * 625 + ((p1 * 5 + p2) * 5 + p3) * 5 + p4, (level * 32 + seen_2[at]) * 32 + seen_s[at], (level * PREVIOUS + before[at]) * 5 + p1)
+        self.slots = [s + o for s, o in zip(slots, np.cumsum([0, *SIZES[:-1]]), strict=True)]
+
+
+class Mixer:
+    def __init__(self, odds: np.ndarray, weights: np.ndarray):
+        self.odds, self.weights = odds.astype(np.float32), weights.astype(np.float32)
+
+    def cost(self, d: Decisions, docs: int, learn: np.ndarray | None = None) -> np.ndarray:
+        """Bits of each document's decisions. Weights are corrected within a document; learn: tokens of each document, by which
+        the corrected weights count for the start weights."""
+        x = np.ones((len(d.value), INPUTS), np.float32)
+        for k, slot in enumerate(d.slots):
+            x[:, k] = self.odds[slot]
+        y, key = d.value.astype(np.float32), d.owner * GATES + d.gate
+        w = np.repeat(self.weights[None], docs, 0).reshape(-1, INPUTS)
+        cost = np.zeros(docs)
+        edges = np.searchsorted(d.round, np.arange(d.round.max() + 2)) if len(d.round) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            v = x[a:b]
+            used, back, n = np.unique(key[a:b], return_inverse=True, return_counts=True)
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", w[key[a:b]], v), -12, 12)))
+            err = y[a:b] - p
+            np.subtract.at(cost, d.owner[a:b], np.log2(1 - np.abs(err)))
+            step = np.stack([np.bincount(back, weights=err * v[:, i], minlength=len(used)) for i in range(INPUTS)], 1)
+            w[used] += (0.015 * step / np.sqrt(n)[:, None]).astype(np.float32)
+        if learn is not None and docs and learn.sum():
+            self.weights += 0.3 * (np.average(w.reshape(docs, GATES, INPUTS), axis=0, weights=learn) - self.weights)
+        return cost
+
+
+def counting(batches):
+    """(slot, zeros, ones) of the training documents' decisions, and the training words' byte contexts (slots from -1 downwards)."""
+    zero, one = np.zeros(sum(SIZES), np.int64), np.zeros(sum(SIZES), np.int64)
+    byte = np.zeros((1 << BYTE_SLOTS) * 2, np.int32)
+    for batch in batches:
+        for part in stretches(joined_bytes(batch.column("types"))):
+            _, b, context = spelled(part)
+            for bit, slots in byte_bits(b, context):
+                for slot in slots:
+                    np.add.at(byte, slot * 2 + bit, ONE)
+        batch = batch.filter(batch.column("train"))
+        if batch.num_rows:
+            d = Decisions(batch)
+            for slot in d.slots:
+                zero += np.bincount(slot[~d.value], minlength=len(zero))
+                one += np.bincount(slot[d.value], minlength=len(one))
+    both = np.stack([zero, one], 1).astype(np.int64).tobytes()
+    blocks, out = [-1], [zlib.compress(both, 1)]
+    for i in range(len(byte) // BLOCK):
+        part = byte[i * BLOCK : (i + 1) * BLOCK]
+        if part.any():
+            blocks.append(i)
+            out.append(zlib.compress(part.astype(np.int64).tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(out, pa.binary())], names=["block", "data"])
+
+
+def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            part = np.frombuffer(zlib.decompress(data), np.int64)
+            total = part.copy() if total is None else total + part
+    block = key[0].as_py()
+    data = total.tobytes() if block < 0 else eight_bits(total).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(data, 1)], pa.binary())], names=["block", "data"])
 
 
 def learning(state: dict):
-    """Weights after one online pass over a partition's training documents, and how many tokens they come from."""
+    """Weights after one online pass over a partition's training documents and words, and how many tokens they come from."""
 
     def run(batches):
-        mixer, n = Mixer(state), 0
+        mixer, speller, n = Mixer(state["odds"], state["weights"]), Speller(state["bytes"], state["byte_weights"]), 0
         for batch in batches:
-            for _, rows, words in slabs(batch, "text", True, PIECE):
-                _, (_, place, h), _ = mixer.word_cost(words, True)
-                _, at = np.unique(h, return_index=True)
-                mixer.spelling_cost(words.data, words.start[place[at]], words.end[place[at]], True)
-                n += len(words.start) + rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mixer.weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([mixer.byte_weights.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w", "b"])
+            speller.cost(joined_bytes(batch.column("types")), True, True)
+            batch = batch.filter(batch.column("train"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                tokens = part.column("n_tokens").to_numpy()
+                mixer.cost(Decisions(part), part.num_rows, tokens)
+                n += int(tokens.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mixer.weights.astype(float).ravel().tolist()], pa.list_(pa.float64())), pa.array([speller.weights.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "w", "b"])
 
     return run
 
 
 def scoring(state: dict):
-    """Per document (kind 0): tokens, known tokens, sum of base logarithms of the counted tokens, log10 probability; and
-    (kind 1) the tokens whose counts must be looked up, by hash with their number and, if escaped, the bits of their spelling."""
-
     def run(batches):
-        mixer, cache = Mixer(state), Spellings.of(state["name"])
-        done = TaskContext.get().partitionId() << 40
+        mixer, speller = Mixer(state["odds"], state["weights"]), Speller(state["bytes"], state["byte_weights"])
         for batch in batches:
-            for at, rows, words in slabs(batch, "text", True, PIECE):
-                bits, (doc, place, h), (token, owner) = mixer.word_cost(words, False)
-                _, share = mixer.shares(h)
-                uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-                spot = place[first]
-                spell = cache.get(uniq, lambda m, spot=spot, words=words: mixer.spelling_cost(words.data, words.start[spot[m]], words.end[spot[m]], False))
-                at_hand = share > 0
-                bits = bits + np.bincount(doc[at_hand], weights=1 - np.logaddexp2(np.log2(share[at_hand]), -spell[back[at_hand]].astype(float)), minlength=rows)
-                times, _ = mixer.shares(token)
-                n_tokens = np.bincount(owner, minlength=rows)
-                known = times > 0
-                base = np.bincount(owner[known], weights=np.log10(times[known] + 0.5), minlength=rows)
-                n_known = np.bincount(owner[known], minlength=rows)
-                ids, row = batch.column(0).slice(at, rows), np.arange(done, done + rows)
-                done += rows
-                none = lambda n, t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), ids, none(rows, pa.int64()), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(-bits * np.log10(2)), pa.array(np.diff(words.off)), none(rows, pa.float32()), pa.array(row)], names=OUT)
-                unknown = token[~known]
-                if len(unknown):
-                    order = np.lexsort((unknown, owner[~known]))
-                    u, d = unknown[order], owner[~known][order]
-                    new = np.ones(len(u), bool)
-                    new[1:] = (u[1:] != u[:-1]) | (d[1:] != d[:-1])
-                    edge = np.flatnonzero(new)
-                    n = len(edge)
-                    spot = np.minimum(np.searchsorted(uniq, u[edge]), max(len(uniq) - 1, 0))
-                    coded = u[edge] != uniq[spot] if len(uniq) else np.ones(n, bool)
-                    bits_each = pa.array(spell[spot] if len(uniq) else np.zeros(n, np.float32), pa.float32(), mask=coded)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none(n, pa.int64()), pa.array(u[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(u)))), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), none(n, pa.int64()), bits_each, pa.array(row[d[edge]])], names=OUT)
+            bits = batch.column("bits").to_numpy().copy()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                bits[at : at + 500] += mixer.cost(Decisions(part), part.num_rows)
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for own in (False, True):
+                some = np.flatnonzero(train == own)
+                texts = batch.column("unknown").take(pa.array(some)).to_pylist()
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                if len(data):
+                    words = np.repeat(some, [t.count(b" ") for t in texts])
+                    bits += np.bincount(words, weights=speller.cost(data, own), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(batch.column("n_bytes").to_numpy(), 1))], names=["doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte"])
 
     return run
 
 
-OUT = ["kind", "doc_id", "hash", "n", "n_known", "base", "score", "n_bytes", "spelled", "row"]
-OUT_SCHEMA = "kind int, doc_id long, hash long, n long, n_known long, base double, score double, n_bytes long, spelled float, row long"
-
-
-def tokens_counted(batches):
-    """(hash, count) of the tokens of a batch."""
-    for batch in batches:
-        parts = []
-        for _, _, words in slabs(batch, "text", True):
-            parts.append(np.unique(with_ends(words)[0], return_counts=True))
-        h, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        u, back = np.unique(h, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))], names=["hash", "n"])
-
-
-def score_texts(docs: DataFrame, train: Column) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, block_keys: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows with ``train`` true (null counts as false). A null or empty text is the end alone; repeated
-    rows are scored each alike; without training rows every token is unknown; an empty table gives an empty result; further columns are
-    ignored. What is broadcast is bounded: counts of the at most ``1 << KNOWN_BITS`` most frequent tokens and hashed tables
-    of fixed size. All other tokens' counts, for the base score and for their shares, are found by a join. Counts and the mixer's start weights cover all training rows,
-    the weights by a pass over each partition, averaged by tokens.
+    rows and equal doc_ids are scored each by its own text; without training rows every token is unknown; an empty table gives
+    an empty result; further columns are ignored. Counts of tokens and of contexts cover all training rows and stay in ranges
+    of about ``block_keys`` hashes; context hashes are long enough that one in tens of thousands is mistaken for another, token
+    hashes have 63 bits. Sent to every executor are the decisions' tables and those of byte contexts, of fixed size
+    because their contexts are. The base score counts a training document's own tokens, as its definition says.
     """
-    docs = docs.withColumn("_train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "_train")
-    learned = docs.where("_train").select("text")
-    vocabulary = settled(learned.mapInArrow(tokens_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c")), "tokens")
-    spread = {r["c"]: (r["k"], r["s"]) for r in vocabulary.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("k"), F.sum("c").alias("s")).collect()}
-    total, types_ = sum(s for _, s in spread.values()), sum(k for k, _ in spread.values())
-    least, room = 4097, 1 << KNOWN_BITS
-    for c in sorted(spread, reverse=True):
-        room -= spread[c][0]
-        if room < 0:
-            break
-        least = c
-    top = vocabulary.where(F.col("c") >= least).toArrow()
-    known, counts = top.column("hash").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
-    by = np.argsort(known)
-    known, counts = known[by], counts[by]
-    code = Code(known, counts, total)
-    escaped = total - int(counts[code.symbols(known) != code.escape].sum())
-    blocks = learned.mapInArrow(counting(code), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
-    size = (1 << WORD_SLOTS) * 2 // BLOCK
-    table = np.zeros((1 << WORD_SLOTS) + (1 << BYTE_SLOTS), np.uint16)
-    for r in blocks:
-        table[r["block"] * BLOCK // 2 : (r["block"] + 1) * BLOCK // 2] = np.frombuffer(zlib.decompress(r["data"]), np.uint16)
-    split = size * BLOCK // 2
-    weights = np.tile(np.array([0.25, 0.35, 0.3, 0.3, 0.0]), (GATES, 1))
-    byte_weights = np.tile(np.array([0.1, 0.25, 0.35, 0.4, 0.0]), (BYTE_GATES, 1))
-    state = {"code": code, "word": zlib.compress(table[:split].tobytes(), 1), "byte": zlib.compress(table[split:].tobytes(), 1), "weights": weights, "byte_weights": byte_weights, "known": known, "counts": counts, "known_total": escaped, "name": uuid.uuid4().hex}
-    got = learned.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
-    pos = got.select("n", F.posexplode(F.concat("w", "b")).alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
-    if pos:
-        flat = np.array([x for _, x in sorted((r["i"], r["x"]) for r in pos)])
-        state["weights"], state["byte_weights"] = flat[: GATES * WORD_INPUTS].reshape(GATES, -1), flat[GATES * WORD_INPUTS :].reshape(BYTE_GATES, -1)
-    rows = settled(docs.select("doc_id", "text").mapInArrow(scoring(state), OUT_SCHEMA), "scored")
-    looked = rows.where("kind = 1").join(vocabulary.where(F.col("c") < least), "hash", "left")
-    share, spelling = F.log2(F.col("c") / F.lit(max(escaped, 1))), -F.col("spelled").cast("double")
-    either = F.when(F.col("c").isNull(), spelling).otherwise(F.greatest(share, spelling) + F.log2(1 + F.pow(F.lit(2.0), -F.abs(share - spelling)))) - 1
-    rare = F.when(F.col("spelled").isNotNull(), F.col("n") * either * float(np.log10(2)))
-    late = looked.groupBy("row").agg(F.sum(rare).alias("more_score"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"))
+    docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    expected, n_docs = max((size[0] or 0) // 5, 1), size[1]
+    bits = min(max(expected.bit_length() + 15, 36), TOKEN_BITS)
+    split = tuple(max(0, (expected // share // block_keys).bit_length()) for share in (5, 1))
+    chunks = settled(docs.mapInArrow(chunked, "chunk long, body binary"), "chunks")
+    asked = chunks.mapInArrow(requests(bits, split), REQUEST)
+    replies = settled(asked.groupBy("kind", "block").applyInArrow(answered, REPLY), "replies")
+    total, types_ = (int(x or 0) for x in replies.where(F.col("kind") == TOKENS).agg(F.sum("total"), F.sum("distinct")).first())
+    bodies = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("n"), F.col("body").alias("data"))
+    both = bodies.union(replies.select("chunk", "kind", "block", "n", F.col("counts").alias("data")))
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "block")
+    outcomes = settled(both.mapInArrow(deciding(bits, total, n_docs), DECIDED), "outcomes")
+    dropped(chunks, replies)
+    state = {"weights": np.tile(np.array([0.4, 0.25, 0.25, 0.25, 0.0]), (GATES, 1)), "byte_weights": np.tile(np.array([0.1, 0.25, 0.35, 0.4, 0.0]), (BYTE_GATES, 1))}
+    table, counts = np.zeros(1 << BYTE_SLOTS, np.uint16), np.zeros((sum(SIZES), 2))
+    for r in outcomes.mapInArrow(counting, "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect():
+        data = zlib.decompress(r["data"])
+        if r["block"] < 0:
+            counts = np.frombuffer(data, np.int64).reshape(-1, 2)
+        else:
+            table[r["block"] * BLOCK // 2 : (r["block"] + 1) * BLOCK // 2] = np.frombuffer(data, np.uint16)
+    state["odds"], state["bytes"] = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)), zlib.compress(table.tobytes(), 1)
+    got = outcomes.mapInArrow(learning(state), "n long, w array<double>, b array<double>").where("n > 0")
+    mean = got.select("n", F.posexplode(F.concat("w", "b")).alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
+    if mean:
+        flat = np.array([x for _, x in sorted((r["i"], r["x"]) for r in mean)])
+        state["weights"], state["byte_weights"] = flat[: GATES * INPUTS].reshape(GATES, -1), flat[GATES * INPUTS :].reshape(BYTE_GATES, -1)
+    scored = outcomes.mapInArrow(scoring(state), "doc_id long, n_tokens long, n_known long, base double, score double, bits_per_byte double")
     unit = float(np.log10(total + 0.5 * (types_ + 1)))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    scored = rows.where("kind = 0").join(late, "row", "left").withColumn("score", F.col("score") + zero("more_score"))
-    return scored.select(
-        "doc_id", F.col("n").alias("n_tokens"), (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more") - F.col("n") * unit).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * unit).alias("base_score"), "score", "bits_per_byte")

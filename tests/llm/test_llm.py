@@ -178,6 +178,7 @@ def test_suffix_automaton_has_all_substrings():
         auto = substring_dedup.SuffixAutomaton()
         for p in parts:
             auto.add(p)
+        auto.settle(3)
         probe = [rng.choice([b"a", b"b", b"c"]) for _ in range(15)]
         grams = {tuple(p[i : i + 3]) for p in parts for i in range(len(p) - 2)}
         want = [any(tuple(probe[k : k + 3]) in grams for k in range(max(0, i - 2), min(i, len(probe) - 3) + 1)) for i in range(len(probe))]
@@ -185,6 +186,30 @@ def test_suffix_automaton_has_all_substrings():
         assert got == want
 
 
+def test_suffix_automaton_knows_the_least_document():
+    rng = random.Random(2)
+    for _ in range(60):
+        parts = [(rng.randrange(5), [rng.choice([b"a", b"b"]) for _ in range(rng.randrange(1, 14))]) for _ in range(4)]
+        auto = substring_dedup.SuffixAutomaton()
+        for d, p in parts:
+            auto.add(p, d)
+        auto.settle(3)
+        probe = [rng.choice([b"a", b"b"]) for _ in range(16)]
+        for doc in range(6):
+            grams = {tuple(p[i : i + 3]) for d, p in parts if d < doc for i in range(len(p) - 2)}
+            want = {j for k in range(len(probe) - 2) if tuple(probe[k : k + 3]) in grams for j in range(k, k + 3)}
+            assert {j for a, b in auto.spans(probe, 3, doc) for j in range(a, b)} == want
+
+
+def test_substring_dedup_takes_rows_one_by_one(spark):
+    """Rows with one doc_id, and without any, are judged by their own texts."""
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(0, text("a", 60)), (1, text("a", 60) + " tail"), (1, text("u", 80)), (1, text("u", 80)), (None, text("a", 60)), (2, text("u", 80)), (None, None)]
+    for shards in ((60_000, 2_000_000), (10, 10)):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50, *shards).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(-1, 0, 0), (-1, 60, 0), (0, 60, 0), (1, 61, 60), (1, 80, 0), (1, 80, 0), (2, 80, 80)]
+
+
 def test_contained_items(spark, docs, texts):
     items = [(0, " ".join(words(texts[2])[-60:-10])), (1, "w1 w2 w3"), (2, None), (3, ""), (4, "One"), (5, " ".join(f"absent{i}" for i in range(40)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -333,72 +358,84 @@ def test_context_mixing_base_and_probability(docs, texts):
     assert context_mixing.score_texts(empty(docs), train).count() == 0
 
 
-def test_huffman_code_is_complete():
-    first, length, node, bit = context_mixing.huffman([5, 1, 1, 9, 30, 2])
-    assert sum(2.0 ** -int(x) for x in length) == 1.0
+def test_context_mixing_rows_are_scored_by_their_own_text(spark):
+    """Repeated and missing doc_ids: counts, base and score come from the row's text."""
+    texts = [" ".join(f"w{(i * k) % 13}" for k in range(20)) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20, "rare3 w1 w2"), (20, "unseen"), (None, "w1 rare3")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = context_mixing.score_texts(d, (F.col("doc_id") != 20) & (F.col("doc_id") % 2 == 0)).collect()
+    c = Counter(w for i, t in enumerate(texts) if i != 20 and i % 2 == 0 for w in [*t.split(), None])
+    n, v = sum(c.values()), len(c)
+    base = lambda t: sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), None])
+    want = sorted((i if i is not None else -1, len(t.split()) + 1, round(base(t), 6)) for i, t in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], round(r["base_score"], 6)) for r in got) == want
+
+
+def test_context_mixing_probabilities_add_up(spark):
+    """Over all texts of up to three words of a small alphabet, none of them in training, to nearly and at most one."""
+    import itertools
+
+    texts = ["a b a", "b", "a a b", "b a", "a", "", "b b"] * 3
+    alphabet = ["a", "b"]
+    probes = [" ".join(p) for n in range(7) for p in itertools.product(alphabet, repeat=n)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(probes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = context_mixing.score_texts(d, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()
+    total = sum(10 ** r["score"] for r in got)
+    assert 0.5 < total <= 1
+
+
+def test_context_mixing_takes_off_a_documents_own_counts(spark):
+    """A training document that occurs once is as surprising as outside of training; one that occurs twice isn't."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(30)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else word() for _ in range(60)) for _ in range(120)]
+    texts += texts[:10]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in context_mixing.score_texts(frame(spark, texts), F.col("doc_id") % 7 != 3).collect()}
+    twice = [i for i in range(10) if i % 7 != 3 and (i + 120) % 7 != 3]
+    once = [i for i in range(10, 120)]
+    held = [got[i] for i in once if i % 7 == 3]
+    assert max(got[i] for i in twice) < 0.5 * min(got[i] for i in once)
+    assert abs(sum(held) / len(held) - sum(got[i] for i in once) / len(once)) < 0.2
+
+
+def test_context_mixing_beats_its_base(spark):
+    """Words that depend on the word before are told from their order, which the base doesn't see."""
+    rng = random.Random(6)
+    follow = {i: [rng.randrange(200) for _ in range(4)] for i in range(200)}
+
+    def text():
+        at, out = rng.randrange(200), []
+        for _ in range(60):
+            out.append(f"t{at}")
+            at = rng.choice(follow[at])
+        return " ".join(out)
+
+    got = context_mixing.score_texts(frame(spark, [text() for _ in range(300)]), crc_fold("doc_id", 5) != 1).where(crc_fold("doc_id", 5) == 1).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > 0.6 * got["b"]
+
+
+def test_context_mixing_layout_does_not_matter(spark, docs, monkeypatch):
+    """Chunks and ranges of hashes are no part of the model; the averaged start weights move a score by little."""
+    train = crc_fold("doc_id", 5) != 1
+    first = {r["doc_id"]: r for r in context_mixing.score_texts(docs, train).collect()}
+    monkeypatch.setattr(context_mixing, "PIECE", 2000)
+    second = {r["doc_id"]: r for r in context_mixing.score_texts(docs.repartition(7), train, 100).collect()}
+    for i, r in first.items():
+        assert (r["n_tokens"], r["n_known"]) == (second[i]["n_tokens"], second[i]["n_known"])
+        assert math.isclose(r["base_score"], second[i]["base_score"], rel_tol=1e-9) and math.isclose(r["score"], second[i]["score"], rel_tol=0.05)
 
 
-def test_context_mixing_spells_and_learns_from_everything():
-    """Every escaped type is spelled with its full count, and the byte weights see every type of a slab."""
+def test_hashes_and_counts_travel_whole():
     import numpy as np
-    import pyarrow as pa
 
-    code = context_mixing.Code(np.array([context_mixing.END]), np.array([1]), 100)
-    texts = ["often " * 20 + "rare", *(f"type{i}" for i in range(9000))]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    blocks = next(context_mixing.counting(code)([batch])).to_pylist()
-    table = np.zeros((1 << context_mixing.WORD_SLOTS) * 2 + (1 << context_mixing.BYTE_SLOTS) * 2, np.int64)
-    for r in blocks:
-        at = r["block"] * context_mixing.BLOCK
-        table[at : at + context_mixing.BLOCK] = np.frombuffer(zlib.decompress(r["data"]), np.int32)
-    spelled = sum(len(w) + 1 for t in texts for w in t.split())
-    assert table[(1 << context_mixing.WORD_SLOTS) * 2 :].sum() == spelled * 8 * 4
-    seen = []
-    mixer = context_mixing.Mixer.spelling_cost
-    state = {"code": code, "word": zlib.compress(np.zeros(1 << context_mixing.WORD_SLOTS, np.uint16).tobytes()), "byte": zlib.compress(np.zeros(1 << context_mixing.BYTE_SLOTS, np.uint16).tobytes()),
-             "weights": np.zeros((context_mixing.GATES, context_mixing.WORD_INPUTS)), "byte_weights": np.zeros((context_mixing.BYTE_GATES, context_mixing.BYTE_INPUTS)), "known": np.zeros(0, np.uint64), "counts": np.zeros(0, np.int64), "known_total": 0}
-    try:
-        context_mixing.Mixer.spelling_cost = lambda self, data, start, end, learn: seen.append(len(start))
-        list(context_mixing.learning(state)([batch]))
-    finally:
-        context_mixing.Mixer.spelling_cost = mixer
-    assert sum(seen) == 9002
-
-
-def test_context_mixing_weights_come_from_all_rows(spark, monkeypatch):
-    """Beyond 2,000 training documents too; the number of tokens learned from is that of the training rows."""
-    texts = [f"a{i % 7} b{i % 5}" for i in range(2300)]
-    read, learning = spark.sparkContext.accumulator(0), context_mixing.learning
-
-    def counted(state):
-        inner = learning(state)
-
-        def run(batches):
-            for out in inner(batches):
-                read.add(sum(out.column(0).to_pylist()))
-                yield out
-
-        return run
-
-    monkeypatch.setattr(context_mixing, "learning", counted)
-    context_mixing.score_texts(frame(spark, texts), F.lit(True)).count()
-    assert read.value == 3 * 2300
-
-
-def test_context_mixing_shares_of_all_words(spark, docs, monkeypatch):
-    """How many counts are at hand doesn't change a score: the share of any other word is looked up."""
-    train = crc_fold("doc_id", 5) != 1
-    monkeypatch.setattr(context_mixing, "HEAD", 8)
-    scores = []
-    for bits in (19, 5):
-        monkeypatch.setattr(context_mixing, "KNOWN_BITS", bits)
-        scores.append({r["doc_id"]: r["score"] for r in context_mixing.score_texts(docs, train).collect()})
-    assert scores[0].keys() == scores[1].keys()
-    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-5, abs_tol=1e-6) for i in scores[0])
-    twice = context_mixing.score_texts(docs.union(docs.where("doc_id % 5 = 1")), train & (F.col("doc_id") % 5 != 1)).where("doc_id % 5 = 1").collect()
-    assert len({(r["doc_id"], round(r["score"], 6), round(r["base_score"], 6)) for r in twice}) == len({r["doc_id"] for r in twice})
-    once = context_mixing.score_texts(docs, train & (F.col("doc_id") % 5 != 1)).where("doc_id % 5 = 1").collect()
-    assert {r["doc_id"]: round(r["score"], 3) for r in twice} == {r["doc_id"]: round(r["score"], 3) for r in once}
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 500):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        counts = rng.integers(0, 3 if n == 2 else 70000, len(keys)).astype(np.uint64)
+        assert (context_mixing.summed(context_mixing.differences(keys), len(keys)) == keys).all()
+        assert (context_mixing.unplaned(context_mixing.planes(counts), len(keys)) == counts).all()
 
 
 def labelled(spark, texts, bad):
@@ -437,6 +474,42 @@ def test_quality_and_toxicity_held_out(spark):
     assert quality_model.quality_scores(d, quality_model.fit_quality(d, labels.where("doc_id < 0"), F.lit(True))).count() == len(texts)
 
 
+def test_machine_equals_the_sum_over_all_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["Some words, some MORE words | here", "", None, "a a a\na a a\nb", "é" * 40, "x y z " * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([34, 0, None, 13, 40, 180])], names=["text", "n_chars"])
+    machine = quality_model.Machine(["n_chars"])
+    rng = np.random.default_rng(0)
+    machine.w, machine.v, machine.bias = rng.normal(size=machine.w.shape), rng.normal(size=machine.v.shape), 0.3
+    (at, n, parts), = quality_model.all_inputs(batch, ["n_chars"])
+    d, i, x = machine.rows(*parts)
+    got, _, _ = machine.logit(d, i, x, n)
+    assert (at, n) == (0, len(texts))
+    for doc in range(n):
+        own = np.flatnonzero(d == doc)
+        want = machine.bias + (machine.w[i[own]] * x[own]).sum()
+        for p in range(len(own)):
+            for q in range(p):
+                want += machine.v[i[own[p]]] @ machine.v[i[own[q]]] * x[own[p]] * x[own[q]]
+        assert abs(got[doc] - want) < 1e-8
+    assert (parts[3][:, -1] == np.log1p([34, 0, 0, 13, 40, 180])).all()
+
+
+def test_quality_and_toxicity_on_odd_input(spark):
+    """Clashing and missing columns, null and repeated labels, repeated rows, no rows."""
+    d = spark.createDataFrame([(1, "good words here", "x", None), (1, "good words here", "x", "y"), (2, None, "x", None), (None, "bad", None, "z"), (3, "bad bad bad", "q", "z")], "doc_id long, text string, label string, score string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, None), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    state = quality_model.fit_quality(d, labels, F.lit(True))
+    got = quality_model.quality_scores(d, state).collect()
+    assert len(got) == 5 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert quality_model.quality_filter(d, state, 0.0).count() == 5 and quality_model.quality_filter(d.where("doc_id > 5"), state).count() == 0
+    assert quality_model.quality_scores(d.withColumn("n_chars", F.lit("a")), state).count() == 5
+    tox = toxicity.toxicity_scores(d, toxicity.fit_toxicity(d, labels, F.lit(True)))
+    assert tox.count() == 5 and toxicity.toxicity_scores(d.where("doc_id > 5"), toxicity.fit_toxicity(d, labels, F.lit(True))).count() == 0
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 
