@@ -198,10 +198,13 @@ def verified(size: int, percent: int):
     return run
 
 
-GROUP = Window.partitionBy("token")
 PARITIES = [f"parity{i}" for i in range(4)]
 
 
+def group():
+    return Window.partitionBy("token")
+
+
 def fits(percent: int, x: str, y: str) -> Column:
     """Whether sets of n_x and n_y shingles with a common token at places pos_x and pos_y of the order can be similar.
 
@@ -224,8 +227,8 @@ def best_hubs(rows: DataFrame, percent: int) -> DataFrame:
     most of its tokens. So a round compares no more pairs than there are sets, however large the groups are.
     """
     crown = F.struct("weight", "set_id", "n", "pos", "met", "c")
-    near = rows.repartition("token").withColumn("h1", F.max(crown).over(GROUP))
-    near = near.withColumn("h2", F.max(F.when(F.col("c") != F.col("h1.c"), crown)).over(GROUP)).where("h2 is not null")
+    near = rows.repartition("token").withColumn("h1", F.max(crown).over(group()))
+    near = near.withColumn("h2", F.max(F.when(F.col("c") != F.col("h1.c"), crown)).over(group())).where("h2 is not null")
     near = near.withColumn("h", F.when(F.col("c") != F.col("h1.c"), F.col("h1")).otherwise(F.col("h2")))
     near = near.select(F.col("set_id").alias("a"), F.col("h.set_id").alias("b"), "h.weight", *[F.col(f"{h}{c}").alias(f"{c}_{x}") for h, x in (("", "a"), ("h.", "b")) for c in ("n", "pos", "met")])
     near = near.where(fits(percent, "a", "b")).select("a", "b", "weight").repartition("a").groupBy("a", "b", "weight").agg(F.count("*").alias("k"))
@@ -240,7 +243,7 @@ def remaining(rows: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     common. Parity bits of the whole sets that differ count shingles that only one of them has, at least. The first common
     token's places bound the overlap, for what stands before it isn't shared.
     """
-    mixed = rows.repartition("token").withColumns({"lo": F.min("c").over(GROUP), "hi": F.max("c").over(GROUP)}).where("lo <> hi").drop("lo", "hi", "weight")
+    mixed = rows.repartition("token").withColumns({"lo": F.min("c").over(group()), "hi": F.max("c").over(group())}).where("lo <> hi").drop("lo", "hi", "weight")
     mixed = settled(mixed.join(parities, "set_id"), "mixed")
     n_a, n_b, n, met, pos = (F.col(c) for c in ("n_a", "n_b", "n", "met", "pos"))
     light = mixed.where((pos <= n - F.ceil(2 * percent * n / (100 + percent))) & ((100 + percent) * (met + n - pos) >= 2 * percent * n))
@@ -266,7 +269,7 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
     packed = frequency_levels(docs, size)
     known = settled(docs.mapInArrow(described(size, percent, packed), SETS), "sets")
     tokens = known.where("first is not null").select("set_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
-    shared = tokens.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("many", F.count("*").over(GROUP)).where("many > 1")
+    shared = tokens.repartition("token").dropDuplicates(["token", "set_id"]).withColumn("many", F.count("*").over(group())).where("many > 1")
     own = Window.partitionBy("set_id")
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     weight = ((F.sum("many").over(own) + length - F.count("*").over(own)) / length).cast("float")
