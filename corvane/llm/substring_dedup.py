@@ -65,13 +65,29 @@ def shared_anchors(docs: DataFrame, window: int) -> bytes:
     return bitmap_of(shared, BITS)
 
 
-def likely_windows(window: int, packed: bytes):
-    """Rows of kind 0: windows that may recur elsewhere, one of each per task, that of the least doc_id. Of kind 1: the runs of
-    windows that a document with a lesser doc_id has in the same task; they needn't travel one by one, so however often a
-    passage recurs, each task sends its windows once."""
+def likely_windows(window: int, packed: bytes, most: int = 400_000):
+    """Rows of kind 0: windows that may recur elsewhere; of equal ones at hand together only that of the least doc_id. Of kind 1:
+    the runs of the others, whose owner is at hand. So however often a passage recurs, its windows travel once for about every
+    ``most`` windows read, and tasks hold no more than that."""
+
+    def combined(held):
+        h, doc, body, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place, body, doc, h))
+        h, doc, body, place = (x[order] for x in (h, doc, body, place))
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        owner = np.flatnonzero(new)[np.cumsum(new) - 1]
+        kept, rest = np.flatnonzero(new), np.flatnonzero(doc[owner] < doc)
+        yield windows_batch(h[kept], doc[kept], body[kept], place[kept])
+        if len(rest):
+            rest = rest[np.lexsort((place[rest], body[rest], doc[rest]))]
+            d, t, p, o, u, q = doc[rest], body[rest], place[rest], doc[owner[rest]], body[owner[rest]], place[owner[rest]]
+            follows = (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (o[1:] == o[:-1]) & (u[1:] == u[:-1]) & (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
+            at = np.flatnonzero(np.concatenate([[True], ~follows]))
+            anywhere = mix(d[at].astype(np.uint64) * U(BASE) + p[at].astype(np.uint64))
+            yield windows_batch(anywhere, d[at], t[at], p[at], np.diff(np.append(at, len(d))).astype(np.int32), o[at], u[at], q[at])
 
     def run(batches):
-        bitmap, held = opened(packed), []
+        bitmap, held, n = opened(packed), [], 0
         for batch in batches:
             for at, _, words in slabs(batch, "text", False):
                 h = words.hashes()
@@ -82,28 +98,20 @@ def likely_windows(window: int, packed: bytes):
                     place = some - np.searchsorted(doc, np.arange(len(words)))[doc[some]]
                     row = pa.array(doc[some] + at)
                     held.append((whole[some], batch.column(0).take(row).to_numpy(), batch.column(2).take(row).to_numpy(), place.astype(np.int32)))
+                    n += len(some)
+                if n >= most:
+                    yield from combined(held)
+                    held, n = [], 0
         if held:
-            h, doc, body, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((place, body, doc, h))
-            h, doc, body, place = (x[order] for x in (h, doc, body, place))
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            owner = np.flatnonzero(new)[np.cumsum(new) - 1]
-            rest = np.flatnonzero(doc[owner] < doc)
-            rest = rest[np.lexsort((place[rest], body[rest], doc[rest]))]
-            kept = new.nonzero()[0]
-            yield windows_batch(0, h[kept], doc[kept], body[kept], place[kept], np.ones(len(kept), np.int32), doc[kept], body[kept], place[kept])
-            if len(rest):
-                d, t, p, o, u, q = doc[rest], body[rest], place[rest], doc[owner[rest]], body[owner[rest]], place[owner[rest]]
-                follows = (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (o[1:] == o[:-1]) & (u[1:] == u[:-1]) & (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
-                at = np.flatnonzero(np.concatenate([[True], ~follows]))
-                yield windows_batch(1, mix(d[at].astype(np.uint64) ^ t[at].astype(np.uint64) * U(3) + p[at].astype(np.uint64)), d[at], t[at], p[at], np.diff(np.append(at, len(d))).astype(np.int32), o[at], u[at], q[at])
+            yield from combined(held)
 
     return run
 
 
-def windows_batch(kind: int, h, doc, body, place, n, owner, owner_body, owner_start) -> pa.RecordBatch:
-    cols = [pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), *(pa.array(x) for x in (doc, body, place, n, owner, owner_body, owner_start))]
+def windows_batch(h, doc, body, place, n=None, owner=None, owner_body=None, owner_start=None) -> pa.RecordBatch:
+    size = len(h)
+    or_null = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x)
+    cols = [pa.array(np.full(size, 0 if n is None else 1, np.int32)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(body), pa.array(place), or_null(n, pa.int32()), or_null(owner, pa.int64()), or_null(owner_body, pa.int64()), or_null(owner_start, pa.int32())]
     return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
@@ -141,16 +149,19 @@ def passages(batches):
     """Ranges ordered by owner and start, joined where they meet: a passage for each stretch of an owner that recurs."""
     last = None
     for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if last and last[:2] == row[:2] and row[2] <= last[3]:
-                last = (*last[:3], max(last[3], row[3]))
-            else:
-                if last:
-                    out.append(last)
-                last = row
-        yield passage_batch(out)
-    yield passage_batch([last] if last else [])
+        doc, body, low, high = (batch.column(i).to_numpy() for i in range(4))
+        if last is not None:
+            doc, body, low, high = (np.concatenate(x) for x in zip(last, (doc, body, low, high), strict=True))
+        if not len(doc):
+            continue
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (body[1:] != body[:-1])])
+        reach = np.maximum.accumulate((np.cumsum(new) << 32) + high) & 0xFFFFFFFF
+        first = np.flatnonzero(new | np.concatenate([[True], low[1:] > reach[:-1]]))
+        doc, body, low, high = doc[first], body[first], low[first], reach[np.append(first[1:] - 1, len(reach) - 1)].astype(np.int32)
+        last = doc[-1:], body[-1:], low[-1:], high[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (doc, body, low, high)], names=["doc_id", "body", "low", "high"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["doc_id", "body", "low", "high"])
 
 
 def passage_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -314,6 +325,15 @@ def trimmed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
 
+def with_bodies(docs: DataFrame) -> DataFrame:
+    """doc_id, text, body: what tells apart rows with one doc_id, a hash of the text; 0 where the doc_id is the row's alone."""
+    docs = docs.select("doc_id", "text")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return docs.withColumn("body", F.lit(0).cast("long"))
+    return docs.join(again, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("body"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000, share_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (array of word ranges) of every row of ``docs`` (doc_id, text).
 
@@ -323,13 +343,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000,
     empty table gives an empty result; further columns are ignored. Hashes only choose which shards a document is streamed
     past: what is removed is what their automata match.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
+    docs = with_bodies(docs)
     packed = shared_anchors(docs, window)
     seen = docs.where("doc_id is not null").mapInArrow(likely_windows(window, packed), WINDOWS)
     first = F.min(F.struct("doc_id", "start", "body")).over(Window.partitionBy("kind", "hash"))
     runs = F.when(F.col("kind") == 0, F.col("o"))
     owned = seen.withColumn("o", first).where((F.col("kind") == 1) | (F.col("o.doc_id") < F.col("doc_id")))
-    found = settled(owned.select("doc_id", "body", "start", "n", F.coalesce(runs["doc_id"], "owner").alias("owner"), F.coalesce(runs["body"], "owner_body").alias("owner_body"), F.coalesce(runs["start"], "owner_start").alias("owner_start")), "runs")
+    found = settled(owned.select("doc_id", "body", "start", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(runs["doc_id"], "owner").alias("owner"), F.coalesce(runs["body"], "owner_body").alias("owner_body"), F.coalesce(runs["start"], "owner_start").alias("owner_start")), "runs")
 
     ranges = found.select(F.col("owner").alias("doc_id"), F.col("owner_body").alias("body"), F.col("owner_start").alias("low"), (F.col("owner_start") + F.col("n") + (window - 1)).cast("int").alias("high")).distinct()
     refs = settled(ranges.repartition("doc_id").sortWithinPartitions("doc_id", "body", "low").mapInArrow(passages, "doc_id long, body long, low int, high int"), "passages")
