@@ -35,7 +35,7 @@ BYTE_SLOTS = 21
 BLOCK = 1 << 14
 BYTE_INPUTS, BYTE_GATES = 5, 5
 CHUNK = 64
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Of the counts' own type: with a Python number and 32-bit places the addition below takes twenty times as long.
 ONE = np.int32(1)
 START, END = np.array([0x7374617274, 0x656E64656E64], np.uint64)
@@ -45,6 +45,7 @@ LEVELS, OUTCOMES, PREVIOUS = 3, 4, 1 << 10
 SIZES = (LEVELS * 32 * 5 * 5, LEVELS * 5**4, LEVELS * 32 * 32, LEVELS * PREVIOUS * 5)
 INPUTS, GATES = len(SIZES) + 1, LEVELS * 5
 TOKENS, CONTEXTS = 0, 1
+CODEC = pa.Codec("zstd", compression_level=1)
 
 
 # chunks of documents
@@ -117,15 +118,16 @@ def tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, the low bytes of all first, without high bytes that are 0 in all."""
+    """Numbers byte by byte, the low bytes of all first, without high bytes that are 0 in all; compressed."""
     wide = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
     used = max([0, *(i + 1 for i in range(8) if wide[i].any())])
-    return bytes([used]) + wide[:used].tobytes()
+    return bytes([used]) + CODEC.compress(wide[:used].tobytes(), asbytes=True)
 
 
 def unplaned(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n).T
+    if n and data[0]:
+        out[:, : data[0]] = np.frombuffer(CODEC.decompress(data[1:], data[0] * n, asbytes=True), np.uint8).reshape(data[0], n).T
     return out.view(np.uint64).ravel()
 
 
@@ -503,20 +505,20 @@ def scoring(state: dict):
     return run
 
 
-def score_texts(docs: DataFrame, train: Column, block_keys: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, block_keys: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows with ``train`` true (null counts as false). A null or empty text is the end alone; repeated
     rows and equal doc_ids are scored each by its own text; without training rows every token is unknown; an empty table gives
     an empty result; further columns are ignored. Counts of tokens and of contexts cover all training rows and stay in ranges
-    of about ``block_keys`` hashes; context hashes are long enough that one in tens of thousands is mistaken for another, token
+    of about ``block_keys`` hashes; context hashes are long enough that one in some thousands is mistaken for another, token
     hashes have 63 bits. Sent to every executor are the decisions' tables and those of byte contexts, of fixed size
     because their contexts are. The base score counts a training document's own tokens, as its definition says.
     """
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     expected, n_docs = max((size[0] or 0) // 5, 1), size[1]
-    bits = min(max(expected.bit_length() + 15, 36), TOKEN_BITS)
+    bits = min(max(expected.bit_length() + 12, 36), TOKEN_BITS)
     split = tuple(max(0, (expected // share // block_keys).bit_length()) for share in (5, 1))
     chunks = settled(docs.mapInArrow(chunked, "chunk long, body binary"), "chunks")
     asked = chunks.mapInArrow(requests(bits, split), REQUEST)
