@@ -45,7 +45,6 @@ LEVELS, OUTCOMES, PREVIOUS = 3, 4, 1 << 10
 SIZES = (LEVELS * 32 * 5 * 5, LEVELS * 5**4, LEVELS * 32 * 32, LEVELS * PREVIOUS * 5)
 INPUTS, GATES = len(SIZES) + 1, LEVELS * 5
 TOKENS, CONTEXTS = 0, 1
-CODEC = pa.Codec("zstd", compression_level=1)
 
 
 # chunks of documents
@@ -121,13 +120,13 @@ def planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, the low bytes of all first, without high bytes that are 0 in all; compressed."""
     wide = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
     used = max([0, *(i + 1 for i in range(8) if wide[i].any())])
-    return bytes([used]) + CODEC.compress(wide[:used].tobytes(), asbytes=True)
+    return bytes([used]) + pa.compress(wide[:used].tobytes(), codec="zstd", asbytes=True)
 
 
 def unplaned(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n and data[0]:
-        out[:, : data[0]] = np.frombuffer(CODEC.decompress(data[1:], data[0] * n, asbytes=True), np.uint8).reshape(data[0], n).T
+        out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], data[0] * n, codec="zstd", asbytes=True), np.uint8).reshape(data[0], n).T
     return out.view(np.uint64).ravel()
 
 
