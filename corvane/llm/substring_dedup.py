@@ -145,6 +145,27 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def runs(batches):
+    """Windows ordered by row and place to runs of those that follow one another both there and in their owner."""
+    names = [f.split()[0] for f in RUNS.split(", ")]
+    last = None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy() for c in names]
+        if last is not None:
+            cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+        doc, body, start, n, owner, owner_body, owner_start = cols
+        if not len(doc):
+            continue
+        same = (doc[1:] == doc[:-1]) & (body[1:] == body[:-1]) & (owner[1:] == owner[:-1]) & (owner_body[1:] == owner_body[:-1])
+        at = np.flatnonzero(np.concatenate([[True], ~(same & (start[1:] == start[:-1] + n[:-1]) & (owner_start[1:] == owner_start[:-1] + n[:-1]))]))
+        out = [x[at] for x in cols]
+        out[3] = np.add.reduceat(n, at).astype(np.int32)
+        last = [x[-1:] for x in out]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in out], names=names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+
+
 def passages(batches):
     """Ranges ordered by owner and start, joined where they meet: a passage for each stretch of an owner that recurs."""
     last = None
@@ -347,9 +368,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000,
     packed = shared_anchors(docs, window)
     seen = docs.where("doc_id is not null").mapInArrow(likely_windows(window, packed), WINDOWS)
     first = F.min(F.struct("doc_id", "start", "body")).over(Window.partitionBy("kind", "hash"))
-    runs = F.when(F.col("kind") == 0, F.col("o"))
+    at = F.when(F.col("kind") == 0, F.col("o"))
     owned = seen.withColumn("o", first).where((F.col("kind") == 1) | (F.col("o.doc_id") < F.col("doc_id")))
-    found = settled(owned.select("doc_id", "body", "start", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(runs["doc_id"], "owner").alias("owner"), F.coalesce(runs["body"], "owner_body").alias("owner_body"), F.coalesce(runs["start"], "owner_start").alias("owner_start")), "runs")
+    owned = owned.select("doc_id", "body", "start", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(at["doc_id"], "owner").alias("owner"), F.coalesce(at["body"], "owner_body").alias("owner_body"), F.coalesce(at["start"], "owner_start").alias("owner_start"))
+    found = settled(owned.repartition("doc_id").sortWithinPartitions("doc_id", "body", "start").mapInArrow(runs, RUNS), "runs")
 
     ranges = found.select(F.col("owner").alias("doc_id"), F.col("owner_body").alias("body"), F.col("owner_start").alias("low"), (F.col("owner_start") + F.col("n") + (window - 1)).cast("int").alias("high")).distinct()
     refs = settled(ranges.repartition("doc_id").sortWithinPartitions("doc_id", "body", "low").mapInArrow(passages, "doc_id long, body long, low int, high int"), "passages")
@@ -362,7 +384,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000,
     cut = settled(known.select("doc_id", "text", "body", "shards", "refs", shard("doc_id", "body").alias("home")).mapInArrow(pieces, PIECES), "pieces")
     dropped(found)
 
-    parts = cut.where("kind < 2").select("kind", "shard", "doc_id", "body", "words", "text").dropDuplicates(["kind", "shard", "doc_id", "body", "text"])
+    parts = cut.where("kind < 2").select("kind", "shard", "doc_id", "body", "words", "text")
     shares = parts.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("words") / share_words).cast("int").alias("shares"))
     parts = parts.join(shares, "shard")
     share = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "body"), F.col("shares")).cast("int")))
