@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.components import components
 from corvane.llm.store import dropped, settled
-from corvane.llm.words import BASE, U, Words, grams, mix, slabs
+from corvane.llm.words import BASE, U, Words, grams, mix, slabs, sort_within
 
 SKETCH_BITS = 21
 BLOCK = 4096
@@ -50,13 +50,6 @@ def all_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], np.concatenate(parts)[order]
 
 
-def sort_within(values: np.ndarray, edges: np.ndarray) -> None:
-    """Sorts each stretch between successive edges, in place; far quicker than one sort by two keys."""
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a > 1:
-            values[a:b].sort()
-
-
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of every distinct shingle, ordered by both."""
     doc, shingle = all_shingles(words, size)

@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The index holds a bounded number of labelled examples. Its vocabulary are the terms that clearly more of the toxic than of
-the other examples have; their inverse document frequencies are counted over all documents.
-Examples lie in blocks; for every word and block the largest weight is kept, so that the sum of a query's weights times
+The index holds a bounded number of labelled examples with all their terms. A term's weight is its inverse document frequency,
+counted over all documents, times its relevance frequency: how many more of the examples with it are toxic than not
+(``log2(2 + a / max(1, c))``, to the power ``sharpness``). With the plain weight neighbours share a topic, not a tone.
+Examples lie in blocks; for every term and block the largest weight is kept, so that the sum of a query's weights times
 these maxima bounds every cosine in the block, and blocks whose bound doesn't exceed the k-th best cosine so far are
 skipped without changing the result.
 """
@@ -14,19 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.words import BYTE, U, Words, run_hash, slabs
+from corvane.llm.words import BYTE, Words, run_hash, slabs, sort_within
 
 BLOCK = 32
-STEMS = (5, 6, 7, 8, 9)
+FIRST = 8
 #: Bytes that end a token here besides blanks: ASCII punctuation.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def terms(words: Words, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term hash, count), ordered by document and hash; of the vocabulary only, if one is given.
-
-    Terms are words cut at punctuation, lower-cased, and their beginnings of ``STEMS`` bytes, which catch inflected forms.
-    """
+def terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term hash, count), ordered by document and hash. Terms are words cut at punctuation, lower-cased."""
     stop = np.zeros(256, bool)
     stop[[32, 9, 10, 11, 12, 13, *PUNCTUATION]] = True
     inside = ~stop[words.data]
@@ -38,29 +36,23 @@ def terms(words: Words, vocabulary: np.ndarray | None = None) -> tuple[np.ndarra
     first[at], last[to] = inside[at], inside[to]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(words.off, start, "right") - 1
-    value = BYTE[words.data]
-    hashes, owner = [run_hash(value, start, end)], [doc]
-    for n in STEMS:
-        long = end - start > n
-        hashes.append(run_hash(value, start[long], start[long] + n) ^ U(n))
-        owner.append(doc[long])
-    h, doc = np.concatenate(hashes), np.concatenate(owner)
-    if vocabulary is not None:
-        near = np.zeros(1 << 16, bool)
-        near[(vocabulary >> U(48)).astype(np.int64)] = True
-        some = near[(h >> U(48)).astype(np.int64)]
-        h, doc = h[some], doc[some]
-        if len(h):
-            known = vocabulary[np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)] == h
-            h, doc = h[known], doc[known]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    h = run_hash(BYTE[words.data], start, end)
+    sort_within(h, np.searchsorted(doc, np.arange(len(words) + 1)))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def found_in(vocabulary: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes are in the vocabulary, their places there)."""
+    if not len(vocabulary) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    some = np.flatnonzero(vocabulary[at] == h)
+    return some, at[some]
+
+
 def bags(batches):
     """Distinct terms and counts of each labelled example."""
     for batch in batches:
@@ -82,7 +74,7 @@ def frequencies(vocabulary: np.ndarray):
         for batch in batches:
             n += batch.num_rows
             for _, _, words in slabs(batch, "text", True):
-                df += np.bincount(np.searchsorted(vocabulary, terms(words, vocabulary)[1]), minlength=len(vocabulary))
+                df += np.bincount(found_in(vocabulary, terms(words)[1])[1], minlength=len(vocabulary))
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], n))], names=["term", "n"])
 
@@ -90,55 +82,64 @@ def frequencies(vocabulary: np.ndarray):
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples, in blocks of ``BLOCK``, with each word's largest weight in each block."""
+    """Unit TF-IDF vectors of the examples, in blocks of ``BLOCK``, with each term's largest weight in each block it occurs in."""
 
-    def __init__(self, vocabulary, idf, examples, y, ids):
-        order = sorted(range(len(y)), key=lambda j: (-y[j], examples[j][0].tolist()))  # like examples share blocks
-        self.vocabulary, self.idf = vocabulary, idf
+    def __init__(self, vocabulary, weights, examples, y, ids):
+        self.vocabulary, self.weights = vocabulary, np.asarray(weights, float)
+        vectors = [self.vector(*e) for e in examples]
+        order = like_together(vectors, examples, y, len(vocabulary))
+        self.place = np.argsort(order)  # of each example as given
         self.y, self.ids = np.asarray(y, float)[order], np.asarray(ids)[order]
-        vectors = [self.vector(*examples[j]) for j in order]
+        vectors = [vectors[j] for j in order]
         self.blocks = -(-len(order) // BLOCK)
-        self.top = np.zeros((len(vocabulary), self.blocks), np.float32)
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
+        join = lambda i, t: np.concatenate([v[i] for v in vectors] or [np.zeros(0)]).astype(t)
+        term, weight = join(0, np.int64), join(1, np.float64)
         owner = np.repeat(np.arange(len(vectors)), np.array([len(v[0]) for v in vectors], np.int64))
-        np.maximum.at(self.top, (term, owner // BLOCK), weight * (1 + 1e-6))
-        by = np.lexsort((owner, term, owner // BLOCK))
-        self.weight, self.owner = weight[by], owner[by]
-        key = owner[by] // BLOCK * max(len(vocabulary), 1) + term[by]
-        self.start = np.searchsorted(key, np.arange(self.blocks * len(vocabulary))).reshape(self.blocks, len(vocabulary))
-        self.stop = np.searchsorted(key, np.arange(self.blocks * len(vocabulary)), "right").reshape(self.blocks, len(vocabulary))
+        by = np.lexsort((owner, term))
+        term, self.weight, self.owner = term[by], weight[by], owner[by].astype(np.int32)
+        block = self.owner // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.start = np.append(np.flatnonzero(new), len(term))  # postings of each pair of term and block
+        self.block = block[self.start[:-1]]
+        self.top = np.maximum.reduceat(self.weight, self.start[:-1]) * (1 + 1e-9) if len(term) else np.zeros(0)
+        self.first = np.searchsorted(term[self.start[:-1]], np.arange(len(vocabulary) + 1))
 
     def vector(self, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the vocabulary, weight) with unit length; empty without a word of the vocabulary."""
-        if not len(h) or not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        term, w = at[known], (1 + np.log(times[known])) * self.idf[at[known]]
+        """(place in the vocabulary, weight) with unit length; empty without a term of the vocabulary."""
+        some, term = found_in(self.vocabulary, h)
+        w = (1 + np.log(times[some])) * self.weights[term]
         return term, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places of the examples, cosines) of the k nearest by cosine above 0, ties to the lower place. Exact."""
-        best_c, best_p = np.zeros(0), np.zeros(0, np.int64)
-        if not len(term):
-            return best_p, best_c
-        bound = weight @ self.top[term]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_c) == k and bound[b] < best_c[-1]):
-                break
-            lo, hi = self.start[b, term], self.stop[b, term]
-            n = hi - lo
-            spot = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            got = np.bincount(self.owner[spot] - b * BLOCK, weights=self.weight[spot] * np.repeat(weight, n), minlength=BLOCK)
-            place = np.flatnonzero(got > 0)
-            c, p = got[place], place + b * BLOCK
+        pair, times = stretched(self.first[term], self.first[term + 1])
+        if not len(pair):
+            return np.zeros(0, np.int64), np.zeros(0)
+        share = np.repeat(weight, times)
+        block = self.block[pair]
+        bound = np.bincount(block, weights=self.top[pair] * share, minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        place, cosine = np.zeros(0, np.int64), np.zeros(0)
+        at, size, least = 0, FIRST, 0.0
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least:
+            taken = order[at : at + size]
+            taken = taken[(bound[taken] > 0) & (bound[taken] >= least)]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[taken] = True
+            own = np.flatnonzero(wanted[block])
+            spot, n = stretched(self.start[pair[own]], self.start[pair[own] + 1])
+            got = np.bincount(self.owner[spot], weights=self.weight[spot] * np.repeat(share[own], n), minlength=len(self.y))
+            p = np.flatnonzero(got > 0)
             if skip is not None:
-                c, p = c[p != skip], p[p != skip]
-            c, p = np.concatenate([best_c, c]), np.concatenate([best_p, p])
-            order = np.lexsort((p, -np.round(c, 12)))[:k]
-            best_c, best_p = c[order], p[order]
-        return best_p, best_c
+                p = p[p != skip]
+            place, cosine = np.concatenate([place, p]), np.concatenate([cosine, got[p]])
+            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
+            place, cosine = place[best], cosine[best]
+            at, size = at + size, size * 4
+            if len(cosine) == k:
+                least = cosine[-1] - 1e-12
+        return place, cosine
 
     def vote(self, cosine: np.ndarray, label: np.ndarray, prior: float) -> float:
         """Share of the toxic label among the neighbours, each weighing cosine / (1 - cosine + 0.1), the prior one half."""
@@ -146,46 +147,55 @@ class BlockMaxIndex:
         return float((prior * 0.5 + (w * label).sum()) / (0.5 + w.sum()))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", most: int = 8000, words: int = 2048, z: float = 3.0, k: int = 15) -> dict:
+def stretched(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the ranges one after another, their sizes)."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+def like_together(vectors, examples, y, size: int) -> list[int]:
+    """An order of the examples in which those with the same most common word, and then the same label, stand together."""
+    common = np.zeros(size, np.int64)
+    for term, _ in vectors:
+        common[term] += 1
+    lead = [int(term[np.argmax(common[term])]) if len(term) else -1 for term, _ in vectors]
+    return sorted(range(len(vectors)), key=lambda j: (lead[j], -y[j], examples[j][0].tolist()))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", most: int = 4000, sharpness: float = 2.0, k: int = 15) -> dict:
     """The index over at most ``most`` labelled documents with ``train`` true, those with the least hash of doc_id.
 
-    The bound and the vocabulary's (``words``) keep what reaches the driver and the executors at some tens of MB. Votes are
-    calibrated by a logistic curve fitted on the examples, each judged by the others.
+    The bound keeps what reaches the driver and the executors at some tens of MB. All terms of the examples count, with document
+    frequencies from all of ``docs``. Votes are calibrated by a logistic curve fitted on the examples, each judged by the others.
+    Rows with a null label or doc_id aren't used, repeated labels of a document count once; rows of ``docs`` that share a
+    labelled doc_id are examples each; without examples every score is the prior, a half.
     """
-    rows = labels.where(train & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    rows = labels.where(train & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label")).dropDuplicates(["doc_id"])
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "doc_id", "label").mapInArrow(bags, "doc_id long, label int, terms array<long>, times array<long>").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "doc_id", F.col("__label").alias("label")).mapInArrow(bags, "doc_id long, label int, terms array<long>, times array<long>").toArrow()
     got = got.sort_by("doc_id")
     y = got.column("label").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     ids = got.column("doc_id").to_numpy() if got.num_rows else np.zeros(0, np.int64)
-    flat = lambda c: [np.asarray(v.values) for v in got.column(c)]
-    examples = [(t.view(np.uint64), n) for t, n in zip(flat("terms"), flat("times"), strict=True)]
-    every = np.concatenate([t for t, _ in examples] or [np.zeros(0, np.uint64)])
+    flat = [got.column(c).combine_chunks() for c in ("terms", "times")]
+    edge = flat[0].offsets.to_numpy()
+    every, times = flat[0].values.to_numpy().view(np.uint64), flat[1].values.to_numpy()
+    examples = [(every[a:b], times[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
     vocabulary, back = np.unique(every, return_inverse=True)
-    toxic = np.bincount(back, weights=np.repeat(y, [len(t) for t, _ in examples]), minlength=len(vocabulary))
-    seen = np.bincount(back, minlength=len(vocabulary))
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    p = seen / max(len(y), 1)
-    odds = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    lift = ((toxic + 0.5) / n1) / ((seen - toxic + 0.5) / n0)
-    chosen = np.argsort(-odds, kind="stable")[:words]
-    chosen = chosen[(odds[chosen] >= z) & (seen[chosen] >= 4) & (lift[chosen] >= 8)]
-    vocabulary = np.sort(vocabulary[chosen])
-    counted = docs.select("text").mapInArrow(frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    toxic = np.bincount(back, weights=np.repeat(y, np.diff(edge)), minlength=len(vocabulary))
+    clean = np.bincount(back, minlength=len(vocabulary)) - toxic
+    relevance = np.log2(2 + toxic / np.maximum(clean, 1)) ** sharpness
+    counted = docs.select("text").mapInArrow(frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
     df = np.zeros(len(vocabulary))
-    total = 0
-    for r in counted:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    index = BlockMaxIndex(vocabulary, np.log((total + 1) / (df + 1)) + 1, examples, y, ids)
+    df[at[at >= 0]] = n[at >= 0]
+    total = int(n[at < 0].sum())
+    index = BlockMaxIndex(vocabulary, (np.log((total + 1) / (df + 1)) + 1) * relevance, examples, y, ids)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     votes = np.zeros(len(y))
-    place = {int(d): i for i, d in enumerate(index.ids)}
-    for j, (h, n) in enumerate(examples):
-        p, c = index.nearest(*index.vector(h, n), k, place[int(ids[j])])
+    for j, (h, t) in enumerate(examples):
+        p, c = index.nearest(*index.vector(h, t), k, int(index.place[j]))
         votes[j] = index.vote(c, index.y[p], prior)
+    pa.default_memory_pool().release_unused()
     return {"index": index, "prior": prior, "k": k, "curve": calibrated(votes, y)}
 
 
@@ -209,7 +219,7 @@ def judging(state: dict, evidence: int):
         for batch in batches:
             score, ids, cosines = np.zeros(batch.num_rows), [], []
             for at, n, words in slabs(batch, "text", True):
-                doc, h, times = terms(words, index.vocabulary)
+                doc, h, times = terms(words)
                 edge = np.searchsorted(doc, np.arange(n + 1))
                 for j in range(n):
                     p, c = index.nearest(*index.vector(h[edge[j] : edge[j + 1]], times[edge[j] : edge[j + 1]]), k)
@@ -225,7 +235,7 @@ def judging(state: dict, evidence: int):
 def toxicity_scores(docs: DataFrame, state: dict, evidence: int = 3) -> DataFrame:
     """doc_id, score (0 to 1) and the nearest examples' doc_ids and cosines for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts, and texts without a word of the vocabulary, have no neighbours and the calibrated prior as score.
+    Null and empty texts, and texts without a term of any example, have no neighbours and the calibrated prior as score.
     One pass without a shuffle; repeated rows get equal scores; ties between examples go to the lower place in the index; an
     empty table gives an empty result; further columns are ignored, lang, source and doc_id are no inputs.
     """

@@ -103,6 +103,13 @@ def slabs(batch: pa.RecordBatch, name: str, lower: bool, most: int = SLAB):
         at = to
 
 
+def sort_within(values: np.ndarray, edges: np.ndarray) -> None:
+    """Sorts each stretch between successive edges, in place; far quicker than one sort by two keys."""
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every run of k words inside one document, in order of place."""
     n = len(h) - k + 1
