@@ -72,8 +72,10 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Ratio judged -> least margin over its group's median that counts as far.
-RATIOS = {"r_symbols": 0.15, "r_dup": 0.05, "r_repeat": 0.10, "r_length": 4.0}
+#: Ratio judged -> (sides beyond which it is far, the least number of words or characters that one event makes).
+RATIOS = {"r_symbols": ("high", 1), "r_dup": ("high", 1), "r_repeat": ("high", 10), "r_length": ("both", 0)}
+#: Quantiles and their distance from the median in standard deviations of a normal distribution.
+QUANTILES = {0.75: 0.6745, 0.9: 1.2816}
 
 
 def ratios(df: DataFrame) -> DataFrame:
@@ -86,37 +88,52 @@ def ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def thresholds(measured: DataFrame, spread: float = 6.0, least_group: int = 200) -> DataFrame:
-    """lang, source, t_<ratio>: median + max(margin, spread * (upper quartile - median)) from KLL sketches.
+def limits_of(sketches, spread: float) -> dict[str, Column]:
+    """high_<ratio> and low_<ratio> of one set of sketches; ``sketches``: a function from a measure's name to its sketch."""
+    q = lambda r, p: F.kll_sketch_get_quantile_double(sketches(r), F.lit(p))
+    out = {}
+    for r, (sides, unit) in RATIOS.items():
+        event = F.lit(float(unit)) / F.greatest(q("n_words", 0.5), F.lit(1.0))
+        for name, sign in (("high", 1), ("low", -1)):
+            if sides in (name, "both"):
+                scale = F.greatest(event, *[sign * (q(r, p if sign > 0 else 1 - p) - q(r, 0.5)) / z for p, z in QUANTILES.items()])
+                out[f"{name}_{r}"] = q(r, 0.5) + sign * spread * scale
+    return out
 
-    Only documents that pass the base rules feed the sketches. Sketches are built per (lang, source); those of a language
-    are merged, and a group below ``least_group`` documents uses its language's merged sketch.
-    """
-    fed = ratios(measured.where(~F.col("base_failed"))).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *RATIOS)
-    group = fed.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
-    lang = group.groupBy("lang").agg(*[F.kll_merge_agg_double(r).alias(f"l_{r}") for r in RATIOS])
 
-    def limit(r: str, margin: float) -> Column:
-        sketch = F.when(F.kll_sketch_get_n_double(r) >= least_group, F.col(r)).otherwise(F.col(f"l_{r}"))
-        q = lambda x: F.kll_sketch_get_quantile_double(sketch, F.lit(x))
-        return (q(0.5) + F.greatest(F.lit(margin), spread * (q(0.75) - q(0.5)))).alias(f"t_{r}")
+def thresholds(measured: DataFrame, spread: float = 6.0, weight: int = 200) -> DataFrame:
+    """lang, source, high_<ratio>, low_<ratio> from KLL sketches: the median and ``spread`` times the scale on that side.
 
-    return group.join(lang, "lang").select("lang", "source", *[limit(r, m) for r, m in RATIOS.items()])
+    The scale is the larger of two estimates from quantiles and of one event in a document of the group's median length, so
+    nothing but the data sets it. Only documents that pass the base rules feed the sketches. They are built per (lang,
+    source) and merged per language; a group's limits are the mean of its own, weighing its number of documents, and its
+    language's, weighing ``weight`` documents: a small group leans on its language, alike at every size.
+    """
+    measures = ["n_words", *RATIOS]
+    fed = ratios(measured.where(~F.col("base_failed"))).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[F.col(m).cast("double").alias(m) for m in measures])
+    group = fed.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(m).alias(m) for m in measures])
+    lang = group.groupBy("lang").agg(*[F.kll_merge_agg_double(m).alias(m) for m in measures])
+    own = group.select("lang", "source", F.kll_sketch_get_n_double("n_words").alias("n"), *[c.alias(k) for k, c in limits_of(F.col, spread).items()])
+    base = lang.select("lang", *[c.alias(f"lang_{k}") for k, c in limits_of(F.col, spread).items()])
+    mean = lambda k: ((F.col("n") * F.col(k) + weight * F.col(f"lang_{k}")) / (F.col("n") + weight)).alias(k)
+    return own.join(base, "lang").select("lang", "source", *[mean(k) for k in limits_of(F.col, spread)])
 
 
-def quality_rules(docs: DataFrame, spread: float = 6.0, least_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 6.0, weight: int = 200) -> DataFrame:
     """doc_id, lang, source, base measures, base_failed, kept of every row of ``docs`` (doc_id, text, lang, source).
 
-    Null and empty texts have no words and fail the base rule; null lang or source form a group of their own. Repeated
-    rows are judged alike and all stay. A document is dropped if it fails the base rule or any ratio lies above its
-    group's threshold. An empty table gives an empty result; further columns of ``docs`` are ignored.
+    Null and empty texts have no words and fail the base rule; null lang or source count as empty ones. Repeated rows are
+    judged alike and all stay. A document is dropped if it fails the base rule or any ratio lies beyond its group's limits;
+    a group without a document that passes the base rule has none. An empty table gives an empty result; further columns of
+    ``docs`` are ignored.
     """
     n = F.col("n_words")
     measured = settled(measures(docs).withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)), "quality-measures")
-    limits = thresholds(measured, spread, least_group)
+    limits = thresholds(measured, spread, weight)
     keyed = ratios(measured).withColumns({"lang_": F.coalesce("lang", F.lit("")), "source_": F.coalesce("source", F.lit(""))})
     joined = keyed.join(limits.withColumnsRenamed({"lang": "lang_", "source": "source_"}), ["lang_", "source_"], "left")
     far = F.lit(False)
-    for r in RATIOS:
-        far = far | F.coalesce(F.col(r) > F.col(f"t_{r}"), F.lit(False))
+    for k in limits.columns[2:]:
+        side, r = k.split("_", 1)
+        far = far | F.coalesce(F.col(r) > F.col(k) if side == "high" else F.col(r) < F.col(k), F.lit(False))
     return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
