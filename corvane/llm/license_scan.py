@@ -31,6 +31,11 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
     ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GPL version 2.",
+    ],
     "GPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
@@ -122,6 +127,13 @@ def of_texts(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(index[row == i]) for i in range(len(texts))]
 
 
+def numbers_of(text: str) -> np.ndarray:
+    """The inputs of a text's words with a digit: versions, which tell families apart that share all other words."""
+    some = [t for t in text.split() if any(c.isdigit() for c in t)]
+    h = word_hashes(Words(pa.array([" ".join(some)], pa.large_string()), False))
+    return (h >> U(64 - BITS)).astype(np.int64)
+
+
 def pairs_of(text: str) -> tuple[np.ndarray, int]:
     """(mask of the inputs that are a text's pairs of words, number of its distinct words)."""
     h = word_hashes(Words(pa.array([text], pa.large_string()), False))
@@ -140,7 +152,7 @@ class Classifier:
         self.used = (np.abs(weights).max(1) > 0.02) & (np.argmax(weights, 1) != len(FAMILIES) - 1)
         self.lengths = [len(t.split()) for family in TEMPLATES.values() for t in family]
         self.pairs = [pairs_of(t) for family in TEMPLATES.values() for t in family]
-        self.templates = [(k, s) for k, family in enumerate(TEMPLATES) for s in of_texts(TEMPLATES[family])]
+        self.templates = [(k, s, numbers_of(t)) for k, family in enumerate(TEMPLATES) for t, s in zip(TEMPLATES[family], of_texts(TEMPLATES[family]), strict=True)]
 
     def probabilities(self, row: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         size = np.maximum(np.bincount(row, minlength=n), 1)
@@ -153,9 +165,8 @@ class Classifier:
         return p / p.sum(1, keepdims=True)
 
     def similarity(self, own: np.ndarray, family: int) -> float:
-        """The largest share of a template's grams of this family found in the paragraph."""
-        return max(len(np.intersect1d(own, t)) / len(t) for k, t in self.templates if k == family)
-
+        """The largest share of a template's grams of this family found in the paragraph; one whose numbers are missing has none."""
+        return max([0.0, *(len(np.intersect1d(own, t)) / len(t) for k, t, numbers in self.templates if k == family and np.isin(numbers, own).all())])
 
     def windows(self, h: np.ndarray, paragraph: np.ndarray, least: float) -> list[tuple[int, int]]:
         """(first word, one past the last) of the windows that may share ``least`` of a template.
@@ -173,7 +184,7 @@ class Classifier:
         spot = np.flatnonzero(any_pair[pair] & (paragraph[:-1] == paragraph[1:]))
         pair, own = pair[spot], paragraph[spot]
         last = np.searchsorted(paragraph, paragraph[spot], "right")
-        for (mask, single), n, (_, grams) in zip(self.pairs, self.lengths, self.templates, strict=True):
+        for (mask, single), n, (_, grams, _) in zip(self.pairs, self.lengths, self.templates, strict=True):
             hit = np.flatnonzero(mask[pair])
             at = spot[hit]
             size = np.searchsorted(at, np.minimum(at + n - 1, last[hit] - 1)) - np.arange(len(at))
@@ -278,17 +289,23 @@ def scanning(model: Classifier, least_confidence: float, least_similarity: float
     return run
 
 
-def fit_licenses(docs: DataFrame, most: int = 2000, longest: int = 600) -> Classifier:
-    """The classifier, with at most ``2 * most`` paragraphs of at most ``most`` documents as further negatives.
+def far_from_templates(lines: list[str], most: float = 0.3) -> list[str]:
+    """Lines that share little with any template: not notices, although they may speak of licences."""
+    templates = [s for family in TEMPLATES.values() for s in of_texts(family)]
+    return [line for line, own in zip(lines, of_texts(lines), strict=True) if max(len(np.intersect1d(own, t)) / len(t) for t in templates) < most]
+
+
+def fit_licenses(docs: DataFrame, most: int = 2000, words: int = 60) -> Classifier:
+    """The classifier, with at most ``2 * most`` stretches of lines of at most ``most`` documents as further negatives.
 
-    Documents and paragraphs are those with the least hash; of paragraphs only those without a word of licences and of at most
-    ``longest`` characters train. The bounds keep training a matter of seconds.
+    Documents and stretches are those with the least hash. Lines are cut into stretches of ``words`` words, so long ones train
+    too; those that share much with a template don't, for they may be notices. The bounds keep training a matter of seconds.
     """
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    lines = docs.join(F.broadcast(ids.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where((F.length(F.trim("line")) > 0) & (F.length("line") <= longest) & ~F.lower("line").rlike("licen|copyright|rights|cc by"))
-    lines = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(2 * most).collect()]
-    return train(lines)
+    lines = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
+    parts = lines.select(F.filter(F.split("line", "\\s+"), lambda w: F.length(w) > 0).alias("w")).where(F.size("w") > 0)
+    parts = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(words)), lambda i: F.array_join(F.slice("w", i, words), " "))).alias("line")).distinct()
+    return train(far_from_templates([r["line"] for r in parts.orderBy(F.xxhash64("line"), "line").limit(2 * most).collect()]))
 
 
 def license_scan(docs: DataFrame, model: Classifier, least_confidence: float = 0.5, least_similarity: float = 0.6) -> DataFrame:

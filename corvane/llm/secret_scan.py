@@ -38,10 +38,17 @@ ALLOWED = (
 WINDOW = 20
 
 
+FOUND = "array<struct<start:int,end:int,part:string>>"
+STRETCH = 128
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, part>> of the leftmost non-overlapping matches; part is ``group`` of the match."""
-    p = F.lit(pattern)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,part:string>>").alias("found"))
+    """array<struct<start, end, part>> of the leftmost non-overlapping matches; part is ``group`` of the match.
+
+    Places are running sums of the lengths of gaps and matches. They are folded in stretches of ``STRETCH`` matches and the
+    stretches put one behind another, as growing one array match by match takes the square of their number.
+    """
+    p, none = F.lit(pattern), F.array().cast(FOUND)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
@@ -49,11 +56,20 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["part"].alias("part"))
         return F.struct(end.alias("at"), F.concat(a["found"], F.array(one)).alias("found"))
 
+    def folded(rows: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
+        stretches = F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(STRETCH)), lambda i: F.aggregate(F.slice(rows, i + 1, STRETCH), zero, step))
+        return F.when(F.size(rows) <= STRETCH, F.aggregate(rows, zero, step, lambda a: a["found"])).otherwise(bound(stretches, placed))
+
+    def placed(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"])))
+        moved = lambda x, b: F.transform(x["found"], lambda m: F.struct((m["start"] + b).alias("start"), (m["end"] + b).alias("end"), m["part"].alias("part")))
+        return bound(begins, lambda b: F.flatten(F.transform(parts, lambda x, i: moved(x, b[i]))))
+
     hits = F.regexp_extract_all(text, p, F.lit(0))
     parts = hits if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
     rows = F.zip_with(F.zip_with(hits, parts, lambda h, g: F.struct(h.alias("hit"), g.alias("part"))), F.split(text, pattern, -1), lambda x, gap: F.struct(x["hit"].alias("hit"), x["part"].alias("part"), gap.alias("gap")))
-    found = F.aggregate(F.filter(rows, lambda x: x["hit"].isNotNull()), zero, step, lambda a: a["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
+    return F.when(text.rlike(pattern), bound(F.filter(rows, lambda x: x["hit"].isNotNull()), folded)).otherwise(none)
 
 
 def hot_region(string: Column, least: Column, window: int = WINDOW) -> Column:
@@ -142,7 +158,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     All rows and columns stay; texts without a secret, null ones included, are unchanged.
     """
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumns({"__base": base_spans(text), "__more": spans(ENTROPY_KIND, entropy_spans(text))}).withColumn("__all", F.sort_array(F.concat("__base", apart(F.col("__more"), F.col("__base")))))
+    named = "spans"
+    while named.lower() in {c.lower() for c in docs.columns}:
+        named += "_"
+    base = base_spans(text)
+    every = bound(base, lambda b: F.sort_array(F.concat(b, apart(spans(ENTROPY_KIND, entropy_spans(text)), b))))
+    found = docs.withColumn(named, every)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -150,8 +171,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         out = F.when(s["end"] <= a["at"], a["out"]).when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], before, F.lit(mark)))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("__all", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("__all") > 0, clean).otherwise(F.col("text"))).drop("__base", "__more", "__all")
+    clean = F.aggregate(named, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size(named) > 0, clean).otherwise(F.col("text"))).drop(named)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -65,7 +65,7 @@ def shared_anchors(docs: DataFrame, window: int) -> bytes:
     return bitmap_of(shared, BITS)
 
 
-def likely_windows(window: int, packed: bytes, most: int = 400_000):
+def likely_windows(window: int, packed: bytes, most: int = 150_000):
     """Rows of kind 0: windows that may recur elsewhere; of equal ones at hand together only that of the least doc_id. Of kind 1:
     the runs of the others, whose owner is at hand. So however often a passage recurs, its windows travel once for about every
     ``most`` windows read, and tasks hold no more than that."""

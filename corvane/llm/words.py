@@ -16,8 +16,8 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15
-#: Bytes of text handled at a time, so that work arrays stay near 100 MB.
-SLAB = 2 << 20
+#: Bytes of text handled at a time, so that work arrays stay near 50 MB.
+SLAB = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
