@@ -267,6 +267,19 @@ def test_window_entropy_is_shannon(spark):
     assert abs(r["peak"] - best) < 1e-9 and r["low"] == 0 and len(s) <= r["high"] < len(s) + 20
 
 
+def test_many_matches_are_located(spark):
+    """More than one stretch of them; code points beyond the basic plane count one."""
+    text = "😀 ".join(f"{i:024x}" for i in range(700))
+    row = spark.createDataFrame([(text,)], "t string").select(secret_scan.located(F.col("t"), "[0-9a-f]{24,}").alias("f")).first()["f"]
+    assert [(r["start"], r["end"], r["part"]) for r in row] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]{24,}", text)]
+
+
+def test_redaction_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "password = hunter2xyz", "a", "b", "c")], "doc_id long, text string, spans string, Spans_ string, __all string")
+    got = secret_scan.redacted(d).collect()
+    assert got[0].asDict() == {"doc_id": 1, "text": "[SECRET]", "spans": "a", "Spans_": "b", "__all": "c"}
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r for r in secret_scan.redacted(frame(spark, SECRETS)).collect()}
     assert got[0]["text"] == '[SECRET]" and api-key: abc' and got[0]["n_chars"] == len(got[0]["text"])
@@ -288,6 +301,56 @@ def test_quality_rules(docs, texts):
     assert len(got) == len(texts) and quality_rules.quality_rules(empty(docs)).count() == 0
 
 
+def test_quality_limits_against_exact_quantiles(spark):
+    """Sketches of groups this small are exact, so limits must be those of sorted lists; verdicts follow from them."""
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        source, lang = f"s{i % 3}" if i % 3 else None, "en" if i % 2 else "de"
+        size = rng.randrange(20, 200)
+        w = [("x" * rng.randrange(3, 9 if i % 40 else 30)) + str(rng.randrange(10**6)) for _ in range(size)]
+        if i % 25 == 0:
+            w = [t + "#" * (i % 4) for t in w]
+        text = " ".join(w)
+        if i % 30 == 0:
+            text = "\n".join(["same line here"] * (i % 7) + [text])
+        rows.append((i, text, lang, source))
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    own = {}
+    for i, r in got.items():
+        n = max(r["n_words"], 1)
+        own[i] = {"n_words": r["n_words"], "r_symbols": r["n_symbols"] / n, "r_dup": r["n_dup_lines"] / n, "r_repeat": r["n_repeat_words"] / n, "r_length": r["word_chars"] / n}
+    fed = [i for i, r in got.items() if not r["base_failed"]]
+
+    def limits(ids):
+        q = lambda m, p: float(np.quantile([own[i][m] for i in ids], p, method="inverted_cdf"))
+        out = {}
+        for m, (sides, unit) in quality_rules.RATIOS.items():
+            for side, sign in (("high", 1), ("low", -1)):
+                if sides in (side, "both"):
+                    scale = max([unit / max(q("n_words", 0.5), 1), *(sign * (q(m, p if sign > 0 else round(1 - p, 9)) - q(m, 0.5)) / z for p, z in quality_rules.QUANTILES.items())])
+                    out[side, m] = q(m, 0.5) + sign * 6 * scale
+        return out
+
+    group = lambda i: (got[i]["lang"], got[i]["source"] or "")
+    by_lang = {g: limits([i for i in fed if got[i]["lang"] == g]) for g in ("en", "de")}
+    wrong = near = 0
+    for g in {group(i) for i in fed}:
+        ids = [i for i in fed if group(i) == g]
+        mine = limits(ids)
+        mean = {k: (len(ids) * mine[k] + 200 * by_lang[g[0]][k]) / (len(ids) + 200) for k in mine}
+        for i in ids:
+            gap = max((own[i][m] - t) if side == "high" else (t - own[i][m]) for (side, m), t in mean.items())
+            near += abs(gap) < 0.02
+            wrong += abs(gap) >= 0.02 and got[i]["kept"] != (gap <= 0)
+    dropped = [i for i in fed if not got[i]["kept"]]
+    assert not wrong and near < 0.1 * len(fed) and 5 < len(dropped) < 0.2 * len(fed)
+    moved = {r["doc_id"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spread=60.0).where("not kept and not base_failed").collect()}
+    assert moved < set(dropped)
+
+
 def test_quality_rules_drop_outliers(spark):
     rng = random.Random(0)
     texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(150)] + [" ".join(f"w{i}###" for i in range(60))]
@@ -536,6 +599,14 @@ def test_license_notices(spark):
     assert got == {(0, 0, "MIT"), (1, 1, "Apache-2.0"), (5, 0, "CC-BY-NC")}
 
 
+def test_licenses_are_told_by_version(spark):
+    lines = ["Licensed under the GPL version 2.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL version 7.", "Licensed under the Apache License, Version 1.1.", "Our library needs a license to lend out the general works of the public"]
+    d = frame(spark, lines + [f"plain text number {i} with words" for i in range(30)])
+    got = {(r["doc_id"], r["family"]) for r in license_scan.license_scan(d, license_scan.fit_licenses(d)).collect()}
+    assert got == {(0, "GPL-2.0"), (1, "GPL-3.0")}
+    assert license_scan.license_scan(empty(d), license_scan.fit_licenses(empty(d))).count() == 0
+
+
 def test_wrapped_license_notices(spark):
     gpl = ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version."]
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
