@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
-from corvane.llm.store import dropped, settled
+from corvane.llm.store import settled
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs
 
 BITS = 26
@@ -116,7 +116,6 @@ def windows_batch(h, doc, body, place, n=None, owner=None, owner_body=None, owne
 
 
 WINDOWS = "kind int, hash long, doc_id long, body long, start int, n int, owner long, owner_body long, owner_start int"
-RUNS = "doc_id long, body long, start int, n int, owner long, owner_body long, owner_start int"
 
 
 def long_grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,27 +144,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def runs(batches):
-    """Windows ordered by row and place to runs of those that follow one another both there and in their owner."""
-    names = [f.split()[0] for f in RUNS.split(", ")]
-    last = None
-    for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in names]
-        if last is not None:
-            cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
-        doc, body, start, n, owner, owner_body, owner_start = cols
-        if not len(doc):
-            continue
-        same = (doc[1:] == doc[:-1]) & (body[1:] == body[:-1]) & (owner[1:] == owner[:-1]) & (owner_body[1:] == owner_body[:-1])
-        at = np.flatnonzero(np.concatenate([[True], ~(same & (start[1:] == start[:-1] + n[:-1]) & (owner_start[1:] == owner_start[:-1] + n[:-1]))]))
-        out = [x[at] for x in cols]
-        out[3] = np.add.reduceat(n, at).astype(np.int32)
-        last = [x[-1:] for x in out]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in out], names=names)
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
-
-
 def passages(batches):
     """Ranges ordered by owner and start, joined where they meet: a passage for each stretch of an owner that recurs."""
     last = None
@@ -190,27 +168,46 @@ def passage_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "body", "low", "high"])
 
 
-PIECES = "kind int, shard long, doc_id long, body long, words long, text binary, digest string"
-PIECE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+SORTED = "doc_id long, body long, words long, text binary, digest string"
+SORTED_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+
+
+def sorted_out(packed: bytes):
+    """Rows whose doc_id may be concerned keep their text; the others are done: their number of words and their words' digest."""
+
+    def run(batches):
+        bitmap = opened(packed)
+        for batch in batches:
+            some = members(bitmap, batch.column(3).to_numpy().view(np.uint64))
+            out = []
+            for doc, text, body, concerned in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), some.tolist(), strict=True):
+                text = (text.as_py() or "").encode()
+                words = text.split()
+                out.append((doc, body, len(words), text if concerned else None, None if concerned else hashlib.sha256(b" ".join(words)).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, SORTED_TYPES, strict=True)], names=[f.split()[0] for f in SORTED.split(", ")])
+
+    return run
+
+
+PIECES = "kind int, shard long, doc_id long, body long, words long, text binary"
+PIECE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def pieces(batches):
-    """Per row of ``docs``: one of kind 2 (its words, with the text only if some may go); one of kind 1 with the whole text for
-    every shard it must be streamed past; and of kind 0 its own passages that recur elsewhere, for their shard."""
+    """Of a concerned row one of kind 1 with the whole text for every shard it must be streamed past, and of kind 0 its own
+    passages that recur elsewhere, for their shard."""
     names = [f.split()[0] for f in PIECES.split(", ")]
     for batch in batches:
         out, size = [], 0
-        for doc, text, body, shards, refs, home in zip(*(batch.column(i) if i == 1 else batch.column(i).to_pylist() for i in range(6)), strict=True):
-            text = (text.as_py() or "").encode()
-            words = text.split()
+        for doc, text, body, n, shards, refs, home in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            words = text.split() if refs else None
             for r in refs or ():
-                out.append((0, home, doc, body, r["high"] - r["low"], b" ".join(words[r["low"] : r["high"]]), None))
+                out.append((0, home, doc, body, r["high"] - r["low"], b" ".join(words[r["low"] : r["high"]])))
             for shard in shards or ():
-                out.append((1, shard, doc, body, len(words), text, None))
-            out.append((2, None, doc, body, len(words), text if shards else None, None if shards else hashlib.sha256(b" ".join(words)).hexdigest()))
+                out.append((1, shard, doc, body, n, text))
             size += len(text) * (1 + len(shards or ()))
             if len(out) >= 2000 or size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, PIECE_TYPES, strict=True)], names=names)
                 out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], names=names)
@@ -369,31 +366,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_words: int = 60_000,
     seen = docs.where("doc_id is not null").mapInArrow(likely_windows(window, packed), WINDOWS)
     first = F.min(F.struct("doc_id", "start", "body")).over(Window.partitionBy("kind", "hash"))
     at = F.when(F.col("kind") == 0, F.col("o"))
+    owner = [F.coalesce(at["doc_id"], "owner").alias("owner"), F.coalesce(at["body"], "owner_body").alias("owner_body")]
+    begin, n = F.coalesce(at["start"], "owner_start"), F.coalesce("n", F.lit(1))
     owned = seen.withColumn("o", first).where((F.col("kind") == 1) | (F.col("o.doc_id") < F.col("doc_id")))
-    owned = owned.select("doc_id", "body", "start", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(at["doc_id"], "owner").alias("owner"), F.coalesce(at["body"], "owner_body").alias("owner_body"), F.coalesce(at["start"], "owner_start").alias("owner_start"))
-    found = settled(owned.repartition("doc_id").sortWithinPartitions("doc_id", "body", "start").mapInArrow(runs, RUNS), "runs")
+    found = owned.select("doc_id", "body", *owner, begin.alias("low"), (begin + n + (window - 1)).alias("high")).groupBy("doc_id", "body", "owner", "owner_body").agg(F.min("low").alias("low"), F.max("high").cast("int").alias("high"))
+    found = settled(found, "found")
 
-    ranges = found.select(F.col("owner").alias("doc_id"), F.col("owner_body").alias("body"), F.col("owner_start").alias("low"), (F.col("owner_start") + F.col("n") + (window - 1)).cast("int").alias("high")).distinct()
+    ranges = found.select(F.col("owner").alias("doc_id"), F.col("owner_body").alias("body"), "low", "high").distinct()
     refs = settled(ranges.repartition("doc_id").sortWithinPartitions("doc_id", "body", "low").mapInArrow(passages, "doc_id long, body long, low int, high int"), "passages")
     total = refs.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     shard = lambda doc, body: F.pmod(F.xxhash64(doc, body), F.lit(shards))
+    concerned = bitmap_of(found.select("doc_id").union(found.select("owner")).distinct().select(F.xxhash64("doc_id")), 24)
+    rows = settled(docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(sorted_out(concerned), SORTED), "rows")
     past = found.select("doc_id", "body", shard("owner", "owner_body").alias("shard")).distinct().groupBy("doc_id", "body").agg(F.collect_list("shard").alias("shards"))
     refs = refs.groupBy("doc_id", "body").agg(F.collect_list(F.struct("low", "high")).alias("refs"))
-    known = docs.join(past, ["doc_id", "body"], "left").join(refs, ["doc_id", "body"], "left")
-    cut = settled(known.select("doc_id", "text", "body", "shards", "refs", shard("doc_id", "body").alias("home")).mapInArrow(pieces, PIECES), "pieces")
-    dropped(found)
+    texts = rows.where("text is not null")
+    # the same kind of join at every size: a side that is small now would be sent to all tasks
+    known = texts.join(past.hint("merge"), ["doc_id", "body"], "left").join(refs.hint("merge"), ["doc_id", "body"], "left").where("shards is not null or refs is not null")
+    parts = settled(known.select("doc_id", "text", "body", "words", "shards", "refs", shard("doc_id", "body").alias("home")).mapInArrow(pieces, PIECES), "pieces")
 
-    parts = cut.where("kind < 2").select("kind", "shard", "doc_id", "body", "words", "text")
     shares = parts.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("words") / share_words).cast("int").alias("shares"))
-    parts = parts.join(shares, "shard")
     share = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "body"), F.col("shares")).cast("int")))
-    dealt = parts.select("shard", F.explode(share).alias("share"), "kind", "doc_id", "body", "text")
+    dealt = parts.join(shares, "shard").select("shard", F.explode(share).alias("share"), "kind", "doc_id", "body", "text")
     hits = dealt.repartition("shard", "share").sortWithinPartitions("shard", "share", "kind").mapInArrow(matched(window), "doc_id long, body long, low int, high int")
     spans = hits.groupBy("doc_id", "body").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
-    whole = cut.where("kind = 2").select("doc_id", "body", F.col("words").alias("n_words"), "digest", "text")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<low:int,high:int>>"
-    touched = whole.where("text is not null").join(spans, ["doc_id", "body"], "left").select("doc_id", "n_words", "digest", "text", "ranges").mapInArrow(trimmed, schema)
-    rest = whole.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast("array<struct<low:int,high:int>>").alias("removed"))
+    touched = texts.join(spans.hint("merge"), ["doc_id", "body"], "left").select("doc_id", F.col("words").alias("n_words"), "digest", "text", "ranges").mapInArrow(trimmed, schema)
+    rest = rows.where("text is null").select("doc_id", F.col("words").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.array().cast("array<struct<low:int,high:int>>").alias("removed"))
     return touched.union(rest)
