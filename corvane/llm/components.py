@@ -20,11 +20,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Each round at least halves the paths' length. It ends when every link leads straight to a node that has no lesser
     neighbour, or when the links stop changing, however many rounds that takes. Without links the result is empty.
     """
+    return counted_components(links, a, b)[1]
+
+
+def counted_components(links: DataFrame, a: str, b: str) -> tuple[int, DataFrame]:
+    """(number of distinct links, components())."""
     edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    mark = None
+    mark = n = None
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now["n"] or (now["n"] == now["k"] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
+        lower = edges.select(F.col("v").alias("u")).distinct().withColumn("leads", F.lit(1))
+        now = edges.join(lower, "u", "left").agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.count("leads").alias("on"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = now["n"] if n is None else n
+        if now == mark or not now["n"] or (now["n"] == now["k"] and not now["on"]):
             break
         mark = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,4 +42,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         dropped(edges)
         edges = new
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return n, edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
-from corvane.llm.components import components
-from corvane.llm.store import dropped, settled
+from corvane.llm.components import counted_components
+from corvane.llm.store import settled
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs, sort_within
 
 SKETCH_BITS = 21
@@ -268,7 +268,8 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
     weight = ((F.sum("many").over(own) + length - F.count("*").over(own)) / length).cast("float")
     rows = shared.select("token", "set_id", "n", "pos", weight.alias("weight"), (F.row_number().over(own.orderBy("pos")) - 1).alias("met"))
     rows = settled(rows, "tokens")
-    lists = known.where("first is not null").select("set_id", "second", "third", *[F.col("parity")[i].alias(p) for i, p in enumerate(PARITIES)]).join(rows.select("set_id").distinct(), "set_id", "left_semi")
+    columns = ["second", "third", *[F.col("parity")[i].alias(p) for i, p in enumerate(PARITIES)]]
+    lists = known.where("first is not null").select("set_id", "doc_id", *columns).join(rows.select("set_id").distinct(), "set_id", "left_semi")
     lists = settled(lists.dropDuplicates(["set_id"]), "prefixes")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -276,20 +277,15 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
         side = lambda x: lists.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("second", "third")])
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
         kept = settled(both.select("a", "b"), "pairs")
-        hubs = settled(kept.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")), "hubs")
-        need = kept.select("a").union(hubs.select("b")).distinct().toDF("set_id")
-        owners = known.join(need, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-        owners = settled(owners, "owners")
-        by_doc, by_set = bitmap_of(owners.select(F.xxhash64("doc_id")), 24), bitmap_of(owners.select("set_id"), 24)
-        some = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted_sets(size, by_doc, by_set), "set_id long, text string")
-        texts = settled(some.join(owners.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
-        dealt = kept.join(hubs, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int"))
-        members = dealt.join(texts, dealt["a"] == texts["set_id"]).select("b", "share", F.lit(1).alias("kind"), "a", "text")
-        middle = hubs.join(texts, hubs["b"] == texts["set_id"]).select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("b").alias("a"), "text")
-        found = members.union(middle).repartition("b", "share").sortWithinPartitions("b", "share", "kind").mapInArrow(verified(size, percent), "a long, b long")
-        found = settled(found, "found")
-        dropped(kept, hubs, owners, texts)
-        return found
+        hubs = kept.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
+        members = kept.join(hubs, "b").select(F.col("a").alias("set_id"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), "a")
+        middle = hubs.select(F.col("b").alias("set_id"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("b").alias("a"))
+        need = kept.select("a").union(kept.select("b")).distinct().toDF("set_id")
+        by_doc = bitmap_of(lists.select("set_id", "doc_id").join(need, "set_id", "left_semi").select(F.xxhash64("doc_id")), 24)
+        some = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted_sets(size, by_doc, bitmap_of(need, 24)), "set_id long, text string")
+        texts = some.join(need, "set_id", "left_semi").dropDuplicates(["set_id"])
+        dealt = members.union(middle).join(texts, "set_id").select("b", "share", "kind", "a", "text")
+        return dealt.repartition("b", "share").sortWithinPartitions("b", "share", "kind").mapInArrow(verified(size, percent), "a long, b long")
 
     label, tested, stars = None, None, True
     while True:
@@ -301,12 +297,11 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
         if tested is not None:
             pairs = pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
         pairs = settled(pairs, "candidates")
-        found = similar(pairs)
-        label = joined(label, found)
+        n, label = joined(label, similar(pairs))
         if not stars:
             break
         tested = pairs if tested is None else tested.union(pairs)
-        stars = found.count() * productive >= max(pairs.count(), 1)
+        stars = n * productive >= max(pairs.count(), 1)
 
     nodes = known.where("n_shingles > 0").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -314,12 +309,13 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
     return linked.union(known.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id")))
 
 
-def joined(label: DataFrame | None, found: DataFrame) -> DataFrame:
-    """node, component after the links ``found`` are added; earlier components are contracted, so only new links are walked."""
+def joined(label: DataFrame | None, found: DataFrame) -> tuple[int, DataFrame]:
+    """(number of new links, node and component of all nodes) after the links ``found`` are added; earlier components are contracted,
+    so only new links are walked."""
     if label is None:
-        return settled(components(found, "a", "b"), "labels")
+        return counted_components(found, "a", "b")
     lead = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     edges = found.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    over = components(edges, "a", "b")
+    n, over = counted_components(edges, "a", "b")
     old = label.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return settled(old.union(over.join(label.select("node"), "node", "left_anti")), "labels")
+    return n, old.union(over.join(label.select("node"), "node", "left_anti"))
