@@ -60,6 +60,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda w: F.length(w) > 0)
 
 
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of whole words, as many to a line as fit ``width``; a longer word has a line of its own."""
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, w: Column) -> Column:
+        last = F.try_element_at(a, F.lit(-1))
+        fits = last.isNotNull() & (F.length(last) + 1 + F.length(w) <= width)
+        return F.when(fits, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(a, F.array(w)))
+
+    return F.aggregate(words(text), none, step)
+
+
 def approx_tokens(text: Column) -> Column:
     """One token per four characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))

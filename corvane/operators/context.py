@@ -35,6 +35,65 @@ def first_fit(items: DataFrame, budget: int, by: str, id: str, cost: str, score:
     return items.groupBy(by).agg(ordered.alias("s")).select(by, F.aggregate("s", zero, step).alias("r")).select(by, "r.ids", "r.used")
 
 
+def threshold_fit(items: DataFrame, budget: int, by: str, id: str, cost: str, score: str, threshold: float = 0.7, fallback: int = 1) -> DataFrame:
+    """first_fit() of the items with score >= threshold; where none has, of the ``fallback`` best."""
+    w = Window.partitionBy(by)
+    ranked = items.withColumns({"__best": F.max(score).over(w), "__r": F.row_number().over(w.orderBy(F.desc(score), id))})
+    kept = ranked.where((F.col(score) >= threshold) | ((F.col("__best") < threshold) & (F.col("__r") <= fallback)))
+    return first_fit(kept.drop("__best", "__r"), budget, by, id, cost, score)
+
+
+# Shares of the budget by tier.
+TIER_SHARES = {"core": 0.50, "supporting": 0.33, "general": 0.17}
+
+
+def selected(items: DataFrame, strategy: str, budget: int, by: str, id: str, cost: str, score: str, tier: str, most: int = 10, threshold: float = 0.7, fallback: int = 1) -> DataFrame:
+    """by, ids, used of the items one strategy picks: the ``most`` best (fixed_k), what fits (dynamic), all from ``threshold`` on or the
+    ``fallback`` best (threshold), or what fits each tier's share of the budget (hierarchical)."""
+    w = Window.partitionBy(by)
+    packed = lambda rows: rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(id).cast("long").alias("id")))), lambda x: x["id"]).alias("ids"), F.sum(cost).cast("long").alias("used"))
+    if strategy == "fixed_k":
+        return packed(items.withColumn("__r", F.row_number().over(w.orderBy(F.desc(score), id))).where(F.col("__r") <= most))
+    if strategy == "dynamic":
+        return first_fit(items, budget, by, id, cost, score)
+    if strategy == "threshold":
+        ranked = items.withColumns({"__best": F.max(score).over(w), "__r": F.row_number().over(w.orderBy(F.desc(score), id))})
+        return packed(ranked.where((F.col(score) >= threshold) | ((F.col("__best") < threshold) & (F.col("__r") <= fallback))))
+    if strategy != "hierarchical":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    parts = [first_fit(items.where(F.col(tier) == t), int(budget * share), by, id, cost, score) for t, share in TIER_SHARES.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy(by).agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"), F.sum("used").alias("used"))
+
+
+def by_strategy(items: DataFrame, strategies: DataFrame, budget: int, by: str, id: str, cost: str, score: str, tier: str, **options) -> DataFrame:
+    """by, strategy, ids, used: every group's items picked by the strategy named for it in ``strategies`` (by, strategy)."""
+    out = None
+    for name in ("fixed_k", "dynamic", "threshold", "hierarchical"):
+        own = items.join(strategies.where(F.col("strategy") == name), by)
+        part = selected(own, name, budget, by, id, cost, score, tier, **options).select(by, F.lit(name).alias("strategy"), "ids", "used")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trimmed(items: DataFrame, limit: int, by: str, order: str, cost: Column, fixed: Column | int = 0) -> DataFrame:
+    """Items in order without the last ones, so that together with ``fixed`` they stay under ``limit``."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return items.withColumn("running", F.sum(cost).over(w) + fixed).where(F.col("running") < limit)
+
+
+def budget_plan(window: Column, system: Column, few_shot: Column, documents: Column, history: Column, question: Column, chunk: Column) -> dict[str, Column]:
+    """How many chunks fit, tokens per query, share of the window in per cent, and whether that is within 85 of them."""
+    total = system + few_shot + documents + history + question
+    return {"max_chunks": F.greatest(F.lit(1), F.floor(documents / chunk).cast("long")), "total": total, "utilisation": F.round(total / window * 100, 6), "is_safe": total <= window * 0.85}
+
+
+def filling(items: DataFrame, by: str, cost: str, score: str, budget: int) -> DataFrame:
+    """by, n, tokens, utilisation (per cent of the budget), average_score (0 without items)."""
+    t = F.coalesce(F.sum(cost), F.lit(0))
+    return items.groupBy(by).agg(F.count(cost).alias("n"), t.alias("tokens"), F.round(utilisation(t, F.lit(budget)), 6).alias("utilisation"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 6).alias("average_score"))
+
+
 def middle_out(rank: Column, n: Column) -> Column:
     """Place from 1 of a rank so that the best stand at both ends: the first half in order, then the rest backwards; up to two stay."""
     half = F.ceil(n / 2)
@@ -80,6 +139,27 @@ def prompt(system: str, chunks: DataFrame, question: Column, by: str, order: str
     return chunks.groupBy(by).agg(listed.alias("context"), F.first(question).alias("q")).select(by, F.concat(F.lit(system + "\n\nContext:\n"), "context", F.lit("\n\nQuestion: "), "q").alias("prompt"))
 
 
+def rag_messages(system: str, chunks: DataFrame, history: DataFrame, question: Column, by: str, few_shot: str = "") -> DataFrame:
+    """by, system, messages: the earlier turns, then one with the documents, examples and the question.
+
+    chunks: by, rank, source, content, score; history: by, turn, role, text.
+    """
+    entry = F.format_string("[Doc %d] Source: %s | Relevance: %.2f\n%s\n", F.col("rank").cast("int"), F.col("source").cast("string"), F.col("score").cast("double"), F.col("content"))
+    context = chunks.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "\n").alias("context"), F.first(question).alias("q"))
+    turns = history.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("turns"))
+    last = F.struct(F.lit("user").alias("role"), F.concat(F.lit("CONTEXT DOCUMENTS:\n"), "context", F.lit(few_shot), F.lit("\nQUESTION: "), "q").alias("content"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return context.join(turns, by, "left").select(by, F.lit(system).alias("system"), F.concat(F.coalesce("turns", none), F.array(last)).alias("messages"))
+
+
+def section_tokens(sections: dict[str, Column]) -> dict[str, Column]:
+    """Words over 0.75 of every section, rounded down, and their total."""
+    from corvane.functions.text import word_tokens
+
+    each = {k: word_tokens(v) for k, v in sections.items()}
+    return each | {"total": sum(each.values(), F.lit(0))}
+
+
 def relevant_sentences(docs: DataFrame, id: str, text: str, terms: Column, most: int = 3, stopwords=()) -> DataFrame:
     """id, extract: the ``most`` sentences (split at full stops) with the largest share of the query's words, in their order.
 

@@ -41,23 +41,63 @@ def scanner(ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
     return run
 
 
-def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "dot", block: int = 2048) -> DataFrame:
+def bounded(queries: DataFrame, most: int, *columns: str) -> pa.Table:
+    """The queries as one table on the driver; more than ``most`` are an error, to be paged by the caller or searched by a join."""
+    got = queries.select(*columns).limit(most + 1).toArrow()
+    if got.num_rows > most:
+        raise ValueError(f"more than {most} queries; search them in pages")
+    return got
+
+
+def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "dot", block: int = 2048, most: int = 200_000) -> DataFrame:
     """query_id, id, score, rank: the ``k`` rows of ``corpus`` (id, vector) with the largest score for each query (query_id, vector).
 
-    metric: dot, or cosine with rows normalised; queries are normalised either way (norm + 1e-10). Ties go to the smaller id.
+    metric: dot, or cosine with rows normalised; queries are normalised in both (norm + 1e-10), in raw nothing is. Ties go to
+    the smaller id. At most ``most`` queries are taken.
     """
-    got = queries.select("query_id", "vector").toArrow()
+    got = bounded(queries, most, "query_id", "vector")
     out = None
     for at in range(0, max(got.num_rows, 1), block):
         part = got.slice(at, block).combine_chunks()
         q = matrix(part.column("vector").combine_chunks()) if part.num_rows else np.zeros((0, 1))
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-10)
+        q = q if metric == "raw" else q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-10)
         ids = part.column("query_id").to_numpy()
         found = corpus.select(F.col("id").cast("long"), "vector").where("vector is not null").mapInArrow(scanner(ids, q, k, metric), "query_id long, id long, score double")
         out = found if out is None else out.union(found)
     return top_k(out, k, id="id")
 
 
+def above_threshold(corpus: DataFrame, queries: DataFrame, threshold: float, k: int, most: int = 2048) -> DataFrame:
+    """query_id, id, score of every row whose dot product reaches ``threshold``, and in any case of the ``k`` best of every query.
+
+    The scan drops all others, so what leaves it is what is asked for and ``k`` rows a batch.
+    """
+    got = bounded(queries, most, "query_id", "vector")
+    q = matrix(got.column("vector").combine_chunks()) if got.num_rows else np.zeros((0, 1))
+    q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-10)
+    ids = got.column("query_id").to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            rows = matrix(batch.column(1))
+            if rows.size and len(ids):
+                scores = np.round(rows @ q.T, 9)
+                row, col = np.nonzero(scores >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[col]), batch.column(0).take(pa.array(row)), pa.array(scores[row, col])], names=["query_id", "id", "score"])
+
+    rows = corpus.select(F.col("id").cast("long"), "vector").where("vector is not null")
+    best = vector_search(corpus, queries, k).select("query_id", "id", "score").where(F.col("score") < threshold)
+    return rows.mapInArrow(run, "query_id long, id long, score double").union(best)
+
+
+def random_vectors(spark, n: int, dims: int, seed: int = 42) -> DataFrame:
+    """id, vector: ``n`` seeded normal vectors of unit length, made where they are used."""
+    from corvane.functions.vectors import normalized
+
+    v = F.array(*[F.randn(seed + i) for i in range(dims)])
+    return spark.range(n).select("id", v.alias("v")).select("id", normalized(F.col("v")).alias("vector"))
+
+
 def prefiltered_search(corpus: DataFrame, queries: DataFrame, condition, k: int = 10, **options) -> DataFrame:
     """Filters, then searches: the filter reaches the scan."""
     return vector_search(corpus.where(condition), queries, k, **options)

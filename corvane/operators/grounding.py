@@ -44,7 +44,7 @@ def best_match(answers: DataFrame, id: list[str], answer: str, context: str) ->
     scored = F.transform("ctx", lambda s, i: F.struct(F.round(entailment(F.col("claim"), s), 9).alias("score"), (-i).alias("o"), s.alias("match")))
     best = rows.withColumn("b", F.array_max(scored))
     hit = F.coalesce(F.col("b.score"), F.lit(0.0)) > 0
-    return best.select(*id, "claim_no", F.when(hit, F.col("b.match")).alias("match"), F.round(F.when(hit, F.col("b.score")).otherwise(0.0), 6).alias("score"))
+    return best.select(*id, "claim_no", F.when(hit, F.col("b.match")).alias("match"), F.round(F.when(hit, F.col("b.score")).otherwise(0.0), 9).alias("score"))
 
 
 def attribution(answers: DataFrame, id: list[str], answer: str) -> DataFrame:

@@ -19,15 +19,20 @@ def pair_statistics(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "freq").groupBy("p.a", "p.b").agg(F.sum("freq").alias("freq"))
 
 
-def merged(vocab: DataFrame, a: str, b: str) -> DataFrame:
-    """The pair joined to one symbol wherever it stands, from the left."""
+def merged_symbols(symbols: Column, a: str, b: str) -> Column:
+    """An array of symbols with the pair joined to one wherever it stands, from the left."""
 
     def step(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         join = (last == a) & (s == b)
         return F.when(join, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, s)))).otherwise(F.concat(acc, F.array(s)))
 
-    return vocab.select(F.aggregate("symbols", F.array().cast("array<string>"), step).alias("symbols"), "freq")
+    return F.aggregate(symbols, F.array().cast("array<string>"), step)
+
+
+def merged(vocab: DataFrame, a: str, b: str) -> DataFrame:
+    """Every word of the vocabulary with the pair joined."""
+    return vocab.select(merged_symbols(F.col("symbols"), a, b).alias("symbols"), "freq")
 
 
 def train_bpe(vocab: DataFrame, merges: int = 20, every: int = 5, settle=None) -> list[tuple[str, str]]:
@@ -58,6 +63,14 @@ def apply_bpe(word: str, rules: list[tuple[str, str]]) -> list[str]:
     return [s.replace("</w>", "") for s in out if s != "</w>"]
 
 
+def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Symbols of a whole text (blanks count as symbols) after all merges in the rules' order, without the end mark."""
+    symbols = F.concat(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), F.array(F.lit("</w>")))
+    for a, b in rules:
+        symbols = merged_symbols(symbols, a, b)
+    return F.filter(F.transform(symbols, lambda s: F.regexp_replace(s, "</w>", "")), lambda s: F.length(s) > 0)
+
+
 def softmax(z: Column, *by: str) -> Column:
     w = Window.partitionBy(*by)
     e = F.exp(z - F.max(z).over(w))
@@ -130,6 +143,79 @@ def rms_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return x / np.sqrt((x * x).mean(-1, keepdims=True) + eps)
 
 
+def normed(v: Column, center: bool = True, eps: float = 1e-5) -> Column:
+    """An array column scaled to unit variance around its mean (layer norm) or to unit root mean square (without ``center``)."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y.cast("double"))
+    shifted = F.transform(v, lambda x: x.cast("double") - total(v) / F.size(v)) if center else F.transform(v, lambda x: x.cast("double"))
+    held = F.transform(F.array(shifted), lambda c: F.struct(c.alias("c"), F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + eps).alias("s")))
+    return F.transform(held, lambda h: F.transform(h["c"], lambda x: x / h["s"]))[0]
+
+
+def rotated(v: Column, position: Column, base: float = 10000.0) -> Column:
+    """Rotary positions: each pair of neighbouring numbers turned by position / base ** (2 i / d)."""
+    angle = lambda i: position / F.pow(F.lit(base), (i - i % 2) / F.size(v))
+    mate = lambda i: F.element_at(v, (F.when(i % 2 == 0, i + 2).otherwise(i)).cast("int")).cast("double")
+    return F.transform(v, lambda x, i: F.when(i % 2 == 0, x.cast("double") * F.cos(angle(i)) - mate(i) * F.sin(angle(i))).otherwise(mate(i) * F.sin(angle(i)) + x.cast("double") * F.cos(angle(i))))
+
+
+def attended(frame: DataFrame, by: str, order: str, q: str, k: str, v: str, causal: bool = False) -> DataFrame:
+    """by, order, out: scaled dot-product attention within each group's rows; groups are sequences, whose length bounds the pairs."""
+    from corvane.functions.vectors import dot
+
+    left = frame.select(by, F.col(order).alias("i"), F.col(q).alias("q"))
+    right = frame.select(by, F.col(order).alias("j"), F.col(k).alias("k"), F.col(v).alias("v"))
+    pairs = left.join(right, by)
+    score = dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))
+    pairs = pairs.withColumn("s", F.when(F.col("j") > F.col("i"), F.lit(-1e9)).otherwise(score) if causal else score)
+    w = Window.partitionBy(by, "i")
+    e = pairs.withColumn("e", F.exp(F.col("s") - F.max("s").over(w))).withColumn("p", F.col("e") / F.sum("e").over(w))
+    part = e.select(by, "i", F.posexplode(F.transform("v", lambda x: x.cast("double") * F.col("p"))).alias("d", "x")).groupBy(by, "i", "d").agg(F.sum("x").alias("x"))
+    out = F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda r: r["x"])
+    return part.groupBy(by, "i").agg(out.alias("out")).withColumnRenamed("i", order)
+
+
+def toy_model(texts, dims: int = 16, layers: int = 2, seed: int = 5, top: int = 5):
+    """Words through embedding, positions, noisy layers with norms and a head: for each text its ``top`` next words with their shares.
+
+    Weights are seeded normals: the flow of shapes is what is shown, no word is learned.
+    """
+    rng = np.random.default_rng(seed)
+    vocabulary = sorted({w for t in texts for w in t.split()}) or [""]
+    place = {w: i for i, w in enumerate(vocabulary)}
+    table = rng.standard_normal((len(vocabulary), dims))
+    weights = [rng.standard_normal((dims, dims)) / np.sqrt(dims) for _ in range(layers)]
+    out = []
+    for t in texts:
+        ids = [place[w] for w in t.split()] or [0]
+        i = np.arange(dims)
+        angle = np.arange(len(ids))[:, None] / 10000.0 ** ((i - i % 2) / dims)
+        x = table[ids] + np.where(i % 2 == 0, np.sin(angle), np.cos(angle))
+        for w in weights:
+            x = layer_norm(x + np.tanh(attention(x, x, x, True) @ w))
+        z = x[-1] @ table.T / np.sqrt(dims)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        best = np.lexsort((np.arange(len(p)), -np.round(p, 12)))[:top]
+        out.append([(vocabulary[b], float(p[b])) for b in best])
+    return out
+
+
+def flops_per_token(d: Column, layers: Column, ff: Column) -> Column:
+    """Two for each multiplication and addition: four projections and two feed-forward products a layer."""
+    return layers * (8 * d * d + 4 * d * ff)
+
+
+def attention_bytes(n: Column, d: Column, heads: Column, size: int = 2) -> dict[str, Column]:
+    """Peak bytes of attention with its score and probability matrices, and tiled with two numbers a head and token instead."""
+    rows = 4 * n * d * size
+    return {"standard": 2 * heads * n * n * size + rows, "tiled": rows + 2 * n * heads * size}
+
+
+def memory_needed(billions: Column, context: Column) -> Column:
+    """GB for half-precision weights, their fifth as overhead, and the key-value cache of a 32-layer model with 8 heads of 128."""
+    return billions * 2 * 1.2 + context * (2 * 32 * 8 * 128 * 2) / F.lit(1024.0**3)
+
+
 def gelu(x: Column) -> Column:
     return 0.5 * x * (1 + F.tanh(F.sqrt(2 / F.pi()) * (x + 0.044715 * x * x * x)))
 

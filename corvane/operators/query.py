@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import content_words, identifiers, words
+from corvane.functions.text import IDENTIFIERS, content_words, identifiers, words
 
 # Signals of the query types in order of precedence, and the rewriting each asks for.
 TYPES = {
-    "exact_term": ((r"CVE-\d{4}-\d+", r"CSC[a-z]{2}\d+", r"\b\d+\.\d+\.\d+\b", r"\bN[0-9]K-[A-Z0-9-]+\b"), "NONE"),
+    "exact_term": (IDENTIFIERS, "NONE"),
     "negation": ((r"\bnot\s+\w+\b", r"\bexcept\b", r"\bexcluding\b", r"\bnone\b"), "FILTER"),
     "comparative": ((r"\bdifference between\b", r"\bcompare\b", r"\bvs\.?\b", r"\bversus\b", r"\bpros and cons\b"), "DECOMPOSE"),
     "multi_hop": ((r"\band (what|how|why)\b", r"\bwhich\b.{0,30}\band\b", r"\bthen\b"), "DECOMPOSE"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvane.plans import registry
-from corvane.plans import context_plans, rag_plans, retrieval_plans, text_plans  # noqa: F401  register their queries
+from corvane.plans import context_plans, flow_plans, rag_plans, retrieval_plans, text_plans  # noqa: F401  register their queries
 
 
 def flagship(spark, sf_dir):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import chunking as C
 from corvane.operators import context as X
-from corvane.operators import dense
+from corvane.operators import dense, lexical
 from corvane.plans.registry import query, table
-from corvane.plans.retrieval_plans import VEC_CTE, vector_queries, vectors
+from corvane.plans.retrieval_plans import BM25_CTE, VEC_CTE, benchmark_queries, lexical_index, vector_queries, vectors
 from corvane.plans.text_plans import SENT, WORDS
 
 
@@ -26,9 +26,12 @@ def chk1_by_characters(spark, sf):
     return d.select("doc_id", "idx", "c.start_char", "c.end_char", "c.content")
 
 
-@query()
+@query(f"""with p as (select doc_id, {WORDS} as w from documents), f as (select doc_id, list_reduce(list_prepend({{n: 0::bigint, fresh: 0, now: []::varchar[], done: []::varchar[]}}, list_transform(w, lambda x: {{n: greatest(1, length(x) // 4)::bigint, fresh: 1, now: [x], done: []::varchar[]}})),
+  lambda a, x: case when a.n + x.n >= 400 then {{n: coalesce(list_sum(list_transform(list_concat(a.now, x.now)[-least(greatest(1, (len(a.now) + 1) * 40 // 400), len(a.now)):], lambda y: greatest(1, length(y) // 4))) * (len(a.now) > 0)::int, 0)::bigint, fresh: 0,
+    now: case when len(a.now) > 0 then list_concat(a.now, x.now)[-least(greatest(1, (len(a.now) + 1) * 40 // 400), len(a.now)):] else []::varchar[] end, done: list_append(a.done, array_to_string(list_concat(a.now, x.now), ' '))}} else {{n: a.n + x.n, fresh: 1, now: list_concat(a.now, x.now), done: a.done}} end) as r from p where len(w) > 0),
+  c as (select doc_id, case when r.fresh = 1 then list_append(r.done, array_to_string(r.now, ' ')) else r.done end as c from f) select doc_id, unnest(c) as content, generate_subscripts(c, 1) - 1 as idx from c""")
 def chk2_by_tokens(spark, sf):
-    return exploded(docs(spark, sf), C.chunk_udf(C.token_windows)("text"), "doc_id")
+    return exploded(docs(spark, sf), C.by_tokens(F.col("text")), "doc_id")
 
 
 FOLD = """list_reduce(list_prepend({{n: 0::bigint, now: []::varchar[], done: []::varchar[]}}, list_transform(s, lambda x: {{n: greatest(1, length(x) // 4)::bigint, now: [x], done: []::varchar[]}})),
@@ -334,13 +337,14 @@ def ctx12_budget_split(spark, sf):
     return t.select("total", *[v.alias(k) for k, v in parts.items()], F.greatest(F.lit(1), F.floor(parts["documents"] / 300)).alias("max_chunks"))
 
 
-@query("""with b as (select query_id, doc_id, rank, e, sum(length(e)) over (partition by query_id order by rank) as run from (select item_id as query_id, d.doc_id, (d.doc_id - item_id) // 40 + 1 as rank, '[' || ((d.doc_id - item_id) // 40 + 1)::varchar || '] (source: ' || source || ')' || chr(10) || d.text as e from benchmark b join (select doc_id, source, text from documents) d on d.doc_id % 40 = item_id % 40))
-  select query_id, count(*) as n, max(run)::bigint as chars from b where run <= 16000 group by query_id""")
+@query(f"""with {BM25_CTE}, e as (select query_id, rank, '[' || rank::varchar || '] (source: ' || source || ')' || chr(10) || d.text as e from bm25_top join documents d using (doc_id)), b as (select query_id, rank, e, sum(length(e)) over (partition by query_id order by rank) as run from e)
+  select query_id, count(*) as n, max(run)::bigint as chars, md5(string_agg(e, chr(10) || chr(10) order by rank)) as context from b where run <= 16000 group by query_id""")
 def prm1_rag_context(spark, sf):
-    b, d = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), docs(spark, sf)
-    j = d.join(b, F.col("doc_id") % 40 == F.col("query_id") % 40).withColumn("rank", F.floor((F.col("doc_id") - F.col("query_id")) / 40) + 1)
-    e = j.withColumn("e", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (source: "), "source", F.lit(")\n"), "text"))
-    return X.prefix_within(e, F.length("e"), 16000, ["query_id"], [F.col("rank")]).groupBy("query_id").agg(F.count("*").alias("n"), F.max("running").alias("chars"))
+    """The found documents of every query, best first, while they fit 16,000 characters."""
+    found = lexical.index_search(lexical_index(spark, sf), benchmark_queries(spark, sf)).join(docs(spark, sf).select("doc_id", "source", "text"), "doc_id")
+    e = found.withColumn("e", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (source: "), "source", F.lit(")\n"), "text"))
+    fits = X.prefix_within(e, F.length("e"), 16000, ["query_id"], [F.col("rank")]).groupBy("query_id").agg(F.count("*").alias("n"), F.max("running").alias("chars"), F.array_sort(F.collect_list(F.struct("rank", "e"))).alias("parts"))
+    return fits.select("query_id", "n", "chars", F.md5(F.array_join(F.transform("parts", lambda x: x["e"]), "\n\n")).alias("context"))
 
 
 @query("select conv_id, 'Answer from the sources.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('[' || turn::varchar || '] (source: ' || role || ')' || chr(10) || text, chr(10) || chr(10) order by turn) || chr(10) || chr(10) || 'Question: why' as prompt from conversations group by conv_id")

@@ -12,6 +12,7 @@ from corvane.operators import query as Q
 from corvane.plans.registry import query, table
 from corvane.plans.retrieval_plans import BOTH, VEC_CTE, both_lists, vector_queries, vectors
 from corvane.plans.text_plans import ANSWERS, WORDS, answers
+from corvane.sources.tables import kept, written
 from corvane.streaming.windows import event_windows, sessions
 
 
@@ -211,16 +212,16 @@ def evl11_lexical_faithfulness(spark, sf):
 
 # ---- queries -----------------------------------------------------------------------------------------------------------
 
-PHRASES = ("what is bgp?", "How do I configure it and what then?", "Compare A vs B and C", "CVE-2024-12345 fixed in 5.2.1?", "which are not affected", "calculate 4 * 12 total", "is our APIC currently down? why?", "latest version 6.2 ticket", "explain the protocol")
+PHRASES = ("what is bgp?", "How do I configure it and what then?", "Compare A vs B and C", "CVE-2024-12345 fixed in 5.2.1?", "which are not affected", "calculate 4 * 12 total", "is our gateway currently down? why?", "latest version 6.2 ticket", "explain the protocol")
 
 
 def phrased(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("turn") % len(PHRASES) + 1).cast("int"))
-    return c.select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.substring("text", 1, 40)).alias("q"))
+    return c.select("conv_id", "turn", F.concat(phrase, F.lit(" "), "text").alias("q"))
 
 
-PHRASED = "(select conv_id, turn, [" + ", ".join(f"'{p}'" for p in PHRASES) + f"][turn % {len(PHRASES)} + 1] || ' ' || text[1:40] as q from conversations)"
+PHRASED = "(select conv_id, turn, [" + ", ".join(f"'{p}'" for p in PHRASES) + f"][turn % {len(PHRASES)} + 1] || ' ' || text as q from conversations)"
 
 
 def type_sql(low="lower(q)"):
@@ -231,12 +232,18 @@ def type_sql(low="lower(q)"):
     return "case " + " ".join(rows) + " else 'general' end"
 
 
+ASKED = "list_transform(list_filter(list_transform(string_split(q, '?'), lambda p: trim(p)), lambda p: length(p) > 0), lambda p: p || '?')"
+CUT = "regexp_extract(q, '(?s)^(.*?)\\s+and\\s+(.*)$', ['a', 'b'])"
+SUB_QUESTIONS = f"case when contains(q, '?') then case when len({ASKED}) > 1 then {ASKED} else []::varchar[] end when contains(lower(q), ' and ') and query_type in ('multi_hop', 'comparative') and regexp_matches(q, '(?s)^(.*?)\\s+and\\s+(.*)$') then [trim(({CUT}).a) || '?', 'And ' || trim(({CUT}).b) || '?'] else []::varchar[] end"
+IDENTIFIERS = "list_concat(regexp_extract_all(q, '(?i)CVE-\\d{4}-\\d+'), list_concat(regexp_extract_all(q, '(?i)CSC[a-z]{2}\\d+'), list_concat(regexp_extract_all(q, '\\b\\d+\\.\\d+\\.\\d+\\b'), regexp_extract_all(q, '(?i)\\bN[0-9]K-[A-Z0-9-]+\\b'))))"
+
+
 @query(f"""with t as (select *, {type_sql()} as query_type, len({WORDS.replace('text', 'q')}) as word_count from {PHRASED}), c as (select *, round(least(1.0, (word_count <= 4)::int * 0.3 + (word_count >= 20)::int * 0.2 + ((length(lower(q)) - length(replace(lower(q), ' and ', ''))) / 5 >= 2)::int * 0.3
   + regexp_matches(lower(q), '\\band\\s+what\\b|\\band\\s+how\\b')::int * 0.4 + regexp_matches(q, '\\?.*\\?')::int * 0.4 + (query_type = 'multi_hop')::int * 0.3 + (query_type = 'comparative')::int * 0.2), 6) as complexity from t)
-  select conv_id, turn, query_type, complexity::double as complexity, query_type not in ('exact_term', 'negation') and complexity >= 0.1 as needs_rewrite, word_count, case query_type when 'exact_term' then 'PASSTHROUGH' when 'negation' then 'PASSTHROUGH' when 'comparative' then 'DECOMPOSE' when 'multi_hop' then 'DECOMPOSE' when 'procedural' then 'HYDE' when 'factual' then 'HYDE' else 'MULTI_QUERY' end as technique from c""")
+  select conv_id, turn, query_type, complexity::double as complexity, query_type not in ('exact_term', 'negation') and complexity >= 0.1 as needs_rewrite, word_count, case query_type when 'exact_term' then 'PASSTHROUGH' when 'negation' then 'PASSTHROUGH' when 'comparative' then 'DECOMPOSE' when 'multi_hop' then 'DECOMPOSE' when 'procedural' then 'HYDE' when 'factual' then 'HYDE' else 'MULTI_QUERY' end as technique, array_to_string({SUB_QUESTIONS}, ' | ') as sub_questions, array_to_string({IDENTIFIERS}, ' ') as exact_terms from c""")
 def qry1_analyze_query(spark, sf):
     a = Q.analysis(F.col("q"))
-    return phrased(spark, sf).select("conv_id", "turn", *[a[k].alias(k) for k in ("query_type", "complexity", "needs_rewrite", "word_count", "technique")])
+    return phrased(spark, sf).select("conv_id", "turn", *[a[k].alias(k) for k in ("query_type", "complexity", "needs_rewrite", "word_count", "technique")], F.array_join(a["sub_questions"], " | ").alias("sub_questions"), F.array_join(a["exact_terms"], " ").alias("exact_terms"))
 
 
 @query(f"with t as (select *, {type_sql()} as k from {PHRASED}) select conv_id, turn, round(least(1.0, (len({WORDS.replace('text', 'q')}) <= 4)::int * 0.3 + contains(lower(q), ' and ')::int * 0.3 + regexp_matches(q, '\\?.*\\?')::int * 0.4 + (k in ('multi_hop', 'comparative'))::int * 0.2), 6)::double as complexity from t")
@@ -285,11 +292,26 @@ def qry7_route(spark, sf):
     return phrased(spark, sf).select("conv_id", "turn", Q.route_signals(F.col("q")).alias("s")).select("conv_id", "turn", Q.route(F.col("s")).alias("route"))
 
 
-@query(f"select conv_id, turn, len(s) as n_signals, case when len(s) <= 1 then 'high' when len(s) <= 3 then 'medium' else 'low' end as confidence, list_contains(s, 'arithmetic')::int + list_contains(s, 'negation_filter')::int + list_contains(s, 'constraint_filter')::int as n_tools from (select conv_id, turn, {SIGNALS} as s from {PHRASED})")
+STATIC, LIVE = "r in ('static-rag', 'hybrid')", "r in ('realtime-rag', 'hybrid')"
+PRIVATE = f"({STATIC} and (list_contains(s, 'private_data') or {any_sql(('our', 'internal'))}))"
+PUBLIC = f"({STATIC} and list_contains(s, 'knowledge_cutoff'))"
+FAULT, NODE, TICKET = (f"({LIVE} and {any_sql(w)})" for w in (("fault", "alert", "alarm", "active"), ("up", "down", "status", "reachable"), ("ticket", "incident")))
+
+
+def steps_sql(pairs):
+    return "list_filter([" + ", ".join(f"case when {c} then '{name}' end" for name, c in pairs) + "], lambda x: x is not null)"
+
+
+STEPS = steps_sql([("private knowledge base", PRIVATE), ("public documentation since 2024", PUBLIC), ("primary knowledge base", f"{STATIC} and not {PRIVATE} and not {PUBLIC}"), ("live: faults", FAULT), ("live: node health", NODE), ("live: incidents", TICKET), ("live: system data", f"{LIVE} and not {FAULT} and not {NODE} and not {TICKET}")])
+TOOLS = steps_sql([("arithmetic", "list_contains(s, 'arithmetic')"), ("set difference", "list_contains(s, 'negation_filter')"), ("constraint filter", "list_contains(s, 'constraint_filter')")])
+CONFIDENCE = "case when len(s) <= 1 then 'high' when len(s) <= 3 then 'medium' else 'low' end"
+
+
+@query(f"select conv_id, turn, {CONFIDENCE} as confidence, array_to_string({STEPS}, '; ') as retrieval, array_to_string({TOOLS}, '; ') as tools from (select *, {ROUTE_SQL} as r from (select conv_id, turn, q, {SIGNALS} as s from {PHRASED}))")
 def qry8_route_plan(spark, sf):
     p = phrased(spark, sf).select("conv_id", "turn", "q", Q.route_signals(F.col("q")).alias("s"))
     plan = Q.route_plan(F.col("q"), F.col("s"), Q.route(F.col("s")))
-    return p.select("conv_id", "turn", F.size("s").alias("n_signals"), plan["confidence"].alias("confidence"), F.size(plan["tools"]).alias("n_tools"))
+    return p.select("conv_id", "turn", plan["confidence"].alias("confidence"), F.array_join(plan["retrieval"], "; ").alias("retrieval"), F.array_join(plan["tools"], "; ").alias("tools"))
 
 
 @query("select event_id, coalesce(tier, 'medium') as tier from events left join (values ('view', 'small'), ('click', 'small'), ('purchase', 'large')) t(event_type, tier) using (event_type)")
@@ -298,12 +320,12 @@ def qry9_model_routing(spark, sf):
     return table(spark, sf, "events").join(tiers, "event_type", "left").select("event_id", F.coalesce("tier", F.lit("medium")).alias("tier"))
 
 
-@query(f"with e as (select a.vec_id as id, list_transform(list_zip(a.embedding, b.embedding), lambda z: 0.3 * z[1]::double + 0.7 * z[2]::double) as f from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select id, round(f[1] / sqrt(list_dot_product(f, f)), 6) as first from e")
+@query(f"with e as (select a.vec_id as id, list_transform(list_zip(a.embedding, b.embedding), lambda z: 0.3 * z[1]::double + 0.7 * z[2]::double) as f from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select id, list_transform(f, lambda x: round(x / sqrt(list_dot_product(f, f)), 6)) as fused from e")
 def qry10_hyde_fusion(spark, sf):
     e = table(spark, sf, "embeddings")
     j = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("b")), "id")
     f = F.zip_with("a", "b", lambda x, y: 0.3 * x.cast("double") + 0.7 * y.cast("double"))
-    return j.select("id", f.alias("f")).select("id", F.round(F.col("f")[0] / V.norm(F.col("f")), 6).alias("first"))
+    return j.select("id", f.alias("f")).select("id", F.transform(V.normalized(F.col("f")), lambda x: F.round(x, 6)).alias("fused"))
 
 
 @query(f"select conv_id, turn, unnest(['Explain: ' || q, 'Details about ' || q, q || ' overview']) as variant from {PHRASED}")
@@ -423,7 +445,8 @@ def agg14_pair_statistics(spark, sf):
 
 @query()
 def bpe2_train(spark, sf):
-    rules = numerics.train_bpe(numerics.word_frequencies(table(spark, sf, "benchmark")).cache(), 6)
+    vocabulary = written(numerics.word_frequencies(table(spark, sf, "benchmark")), "vocabulary")
+    rules = numerics.train_bpe(vocabulary, settle=lambda v: written(v, "vocabulary"))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rules)], "rank int, a string, b string")
 
 

@@ -7,12 +7,24 @@ from corvane.functions import vectors as V
 from corvane.operators import dense, filters, fusion, lexical, metrics
 from corvane.plans.registry import query, table
 from corvane.plans.text_plans import TOKENS
+from corvane.sources.tables import kept
 
-TOKENS_CTE = f"""toks as (select doc_id, {TOKENS} as t from documents), posts as (select doc_id, len(t) as dl, unnest(t) as term from toks), post as (select doc_id, dl, term, count(*) as tf from posts group by all),
+BENCHMARK = "(select item_id as query_id, text from benchmark)"
+
+
+def tokens_cte(queries: str = BENCHMARK) -> str:
+    """Postings, statistics and the terms of ``queries`` (query_id, text) as common table expressions."""
+    return f"""toks as (select doc_id, {TOKENS} as t from documents), posts as (select doc_id, len(t) as dl, unnest(t) as term from toks), post as (select doc_id, dl, term, count(*) as tf from posts group by all),
   stats as (select count(*) as n, sum(len(t)) / count(*) as avgdl from toks), dfs as (select term, count(*) as df from post group by term),
-  qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({TOKENS}) as term from benchmark) group by all)"""
-BM25_CTE = TOKENS_CTE + """, bm25 as (select query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 6) as score
-  from qt join dfs using (term) join post using (term), stats group by query_id, doc_id), bm25_top as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25) where rank <= 10)"""
+  qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({TOKENS}) as term from {queries}) group by all)"""
+
+
+def bm25_cte(queries: str = BENCHMARK, k: int = 10) -> str:
+    return tokens_cte(queries) + f""", bm25 as (select query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 6) as score
+  from qt join dfs using (term) join post using (term), stats group by query_id, doc_id), bm25_top as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25) where rank <= {k})"""
+
+
+TOKENS_CTE, BM25_CTE = tokens_cte(), bm25_cte()
 # vectors: queries are the rows with an id divisible by 100
 VEC_CTE = """vecs as (select vec_id as id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
   qv as (select id as query_id, label as qlabel, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-10)) as q from vecs where id % 100 = 0),
@@ -24,6 +36,11 @@ def benchmark_queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def lexical_index(spark, sf) -> lexical.LexicalIndex:
+    """The kept index of the documents table: tokenised by the first search that wants it."""
+    return lexical.LexicalIndex(**kept(spark, "lexical", [f"{sf}/documents.parquet"], lambda: lexical.build_index(table(spark, sf, "documents")).tables()))
+
+
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -61,7 +78,7 @@ def ret3_bm25_score(spark, sf):
 
 @query(f"with {BM25_CTE} select query_id, doc_id, score, rank from bm25_top")
 def ret4_bm25_search(spark, sf):
-    return lexical.bm25_search(table(spark, sf, "documents"), benchmark_queries(spark, sf))
+    return lexical.index_search(lexical_index(spark, sf), benchmark_queries(spark, sf))
 
 
 @query(f"with {VEC_CTE} select query_id, id, round(score, 6) as score, rank from top10")
@@ -88,7 +105,7 @@ def ret13_postfiltered_search(spark, sf):
 
 def both_lists(spark, sf):
     """Lexical and dense top ten for the benchmark items; the dense query is the item's own row number among the vectors."""
-    lex = lexical.bm25_search(table(spark, sf, "documents"), benchmark_queries(spark, sf))
+    lex = lexical.index_search(lexical_index(spark, sf), benchmark_queries(spark, sf))
     v = vectors(spark, sf)
     q = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
     return lex, dense.vector_search(v, q).withColumnRenamed("id", "doc_id")
@@ -148,10 +165,10 @@ def flt1_metadata_filter(spark, sf):
     return table(spark, sf, "documents").where(filters.metadata_filter(cond)).select("doc_id")
 
 
-@query("select event_id from events where json_extract_string(props, '$.page') is not null and json_extract_string(props, '$.page') <> '/home'")
+@query("select event_id from events where json_extract_string(props, '$.k') is not null and json_extract_string(props, '$.k') <> '69' and json_extract_string(props, '$.k') <= '80'")
 def flt2_map_filter(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("meta"))
-    return e.where(filters.metadata_filter([("page", "ne", "/home")], "meta")).select("event_id")
+    return e.where(filters.metadata_filter([("k", "ne", "69"), ("k", "lte", "80")], "meta")).select("event_id")
 
 
 @query("select lang, count(*) as n, sum(n_chars)::bigint as chars from documents where n_chars <= 3000 group by lang")
@@ -162,8 +179,7 @@ def flt3_filter_chunks(spark, sf):
 @query(f"with {VEC_CTE}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, max(score) over (partition by query_id) as best from sims where id <> query_id) select query_id, id, rank from r where score >= 0.5 or (best < 0.5 and rank <= 3)")
 def flt4_score_threshold(spark, sf):
     v = vectors(spark, sf)
-    n = v.count()
-    found = dense.vector_search(v, vector_queries(spark, sf), n).where("id <> query_id").drop("rank")
+    found = dense.above_threshold(v, vector_queries(spark, sf), 0.5, 4).where("id <> query_id")
     return filters.above_or_top(found, 0.5, 3, id="id").select("query_id", "id", "rank")
 
 
@@ -193,71 +209,82 @@ JUDGED = VEC_CTE + ", j as (select query_id, id as doc_id, rank, score, (label =
 
 
 def judged_results(spark, sf):
+    """The found rows with their relevance, from their own labels alone: no judgement is written out for a row that isn't found."""
     v, q = vectors(spark, sf), vector_queries(spark, sf)
-    qrels = v.join(q.select("query_id", "qlabel"), F.col("label") == F.col("qlabel")).select("query_id", F.col("id").alias("doc_id"), (1 + F.col("id") % 2).alias("rel"))
-    found = dense.vector_search(v, q).withColumnRenamed("id", "doc_id")
-    return metrics.judged(found, qrels), qrels
+    found = dense.vector_search(v, q).join(v.select("id", "label"), "id").join(q.select("query_id", "qlabel"), "query_id")
+    rel = F.when(F.col("label") == F.col("qlabel"), 1 + F.col("id") % 2).otherwise(0)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", "rank", rel.cast("int").alias("rel"))
+
+
+def relevant_counts(spark, sf):
+    """query_id, n: how many rows carry the query's label, counted by label."""
+    n = vectors(spark, sf).groupBy(F.col("label").alias("qlabel")).agg(F.count("*").alias("n"))
+    return vector_queries(spark, sf).join(n, "qlabel").select("query_id", "n")
+
+
+def ideal_order(spark, sf, k=10):
+    """query_id, doc_id, place of the first ``k`` relevant rows by id, ranked by label."""
+    first = vectors(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("place") <= k)
+    return vector_queries(spark, sf).join(first, F.col("label") == F.col("qlabel")).select("query_id", F.col("id").alias("doc_id"), "place")
 
 
 @query(f"with {JUDGED} select query_id, sum((rank <= 5 and rel >= 1)::int) / 5 as p5, sum((rank <= 5 and rel >= 1)::int) / greatest(sum((rank <= 5)::int), 1) as p5_retrieved, sum((rank <= 10 and rel >= 2)::int) / 10 as p10_graded from j group by query_id")
 def evl1_precision(spark, sf):
-    j, _ = judged_results(spark, sf)
+    j = judged_results(spark, sf)
     return j.groupBy("query_id").agg(metrics.precision(5).alias("p5"), metrics.precision(5, divisor="retrieved").alias("p5_retrieved"), metrics.precision(10, 2, "at_least_one").alias("p10_graded"))
 
 
 @query(f"with {JUDGED} select query_id, round(sum((rank <= 5 and rel >= 1)::int) / max(n), 6) as r5, round(sum((rel >= 1)::int) / max(n), 6) as r10 from j join nrel using (query_id) group by query_id")
 def evl2_recall(spark, sf):
-    j, qrels = judged_results(spark, sf)
-    n = qrels.groupBy("query_id").agg(F.count("*").alias("n"))
+    j, n = judged_results(spark, sf), relevant_counts(spark, sf)
     return j.join(n, "query_id").groupBy("query_id").agg(F.round(metrics.recall(5, F.col("n")), 6).alias("r5"), F.round(metrics.recall(10, F.col("n")), 6).alias("r10"))
 
 
 @query(f"with {JUDGED} select query_id, coalesce(1 / min(case when rel >= 2 then rank end), 0) as rr, coalesce(1 / min(case when rel >= 2 and rank <= 3 then rank end), 0) as rr3 from j group by query_id")
 def evl3_reciprocal_rank(spark, sf):
-    return judged_results(spark, sf)[0].groupBy("query_id").agg(metrics.reciprocal_rank(threshold=2).alias("rr"), metrics.reciprocal_rank(3, 2).alias("rr3"))
+    return judged_results(spark, sf).groupBy("query_id").agg(metrics.reciprocal_rank(threshold=2).alias("rr"), metrics.reciprocal_rank(3, 2).alias("rr3"))
 
 
 @query(f"with {JUDGED} select query_id, round(sum(rel / log2(rank + 1)), 6) as dcg from j group by query_id")
 def evl4_dcg_linear(spark, sf):
-    return judged_results(spark, sf)[0].groupBy("query_id").agg(F.round(metrics.dcg("rank", 10, False), 6).alias("dcg"))
+    return judged_results(spark, sf).groupBy("query_id").agg(F.round(metrics.dcg("rank", 10, False), 6).alias("dcg"))
 
 
 @query(f"with {JUDGED}, i as (select *, row_number() over (partition by query_id order by rel desc, rank) as ideal from j) select query_id, round(case when sum((pow(2, rel) - 1) / log2(ideal + 1)) = 0 then 1 else sum((pow(2, rel) - 1) / log2(rank + 1)) / sum((pow(2, rel) - 1) / log2(ideal + 1)) end, 6) as ndcg from i group by query_id")
 def evl5_ndcg_exponential(spark, sf):
-    return metrics.with_ideal(judged_results(spark, sf)[0]).groupBy("query_id").agg(F.round(metrics.ndcg_retrieved(10), 6).alias("ndcg"))
+    return metrics.with_ideal(judged_results(spark, sf)).groupBy("query_id").agg(F.round(metrics.ndcg_retrieved(10), 6).alias("ndcg"))
 
 
 @query(f"""with {JUDGED}, ideal as (select query_id, id as doc_id, row_number() over (partition by query_id order by id) as place from sims where label = qlabel), b as (select query_id, sum(case when place = 1 then 2.0 else 1.0 end / log2(place + 1)) as best from ideal where place <= 10 group by query_id),
   o as (select query_id, sum(case when place = 1 then 2.0 when place > 1 then 1.0 else 0.0 end / log2(rank + 1)) as dcg from j left join ideal using (query_id, doc_id) group by query_id) select query_id, round(dcg / best, 6) as ndcg from o join b using (query_id)""")
 def evl6_ndcg_by_ideal_order(spark, sf):
-    j, qrels = judged_results(spark, sf)
-    ideal = qrels.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("place"))
-    return metrics.ndcg_by_ideal_order(j, ideal, 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    j, ideal = judged_results(spark, sf), ideal_order(spark, sf)
+    later = j.where("rel > 0").join(ideal, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(11).alias("place"))
+    return metrics.ndcg_by_ideal_order(j, ideal.union(later), 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(f"with {JUDGED}, h as (select *, (rel >= 1)::int as hit, sum((rel >= 1)::int) over (partition by query_id order by rank) as s from j) select query_id, round(coalesce(sum(hit * s / rank) / nullif(sum(hit), 0), 0), 6) as ap from h group by query_id")
 def evl7_average_precision(spark, sf):
-    return metrics.average_precision_retrieved(judged_results(spark, sf)[0]).select("query_id", F.round("ap", 6).alias("ap"))
+    return metrics.average_precision_retrieved(judged_results(spark, sf)).select("query_id", F.round("ap", 6).alias("ap"))
 
 
 @query(f"""with {JUDGED}, i as (select *, row_number() over (partition by query_id order by rel desc, rank) as ideal, (rel >= 1)::int as hit, sum((rel >= 1)::int) over (partition by query_id order by rank) as s from j)
   select query_id, sum((rank <= 5)::int * hit) / 5 as precision, round(sum((rank <= 5)::int * hit) / max(n), 6) as recall, round(coalesce(sum(hit * s / rank) / nullif(sum(hit), 0), 0), 6) as ap, round(case when sum((pow(2, rel) - 1) / log2(ideal + 1)) = 0 then 1 else sum((pow(2, rel) - 1) / log2(rank + 1)) / sum((pow(2, rel) - 1) / log2(ideal + 1)) end, 6) as ndcg from i join nrel using (query_id) group by query_id""")
 def evl8_context_metrics(spark, sf):
-    j, qrels = judged_results(spark, sf)
-    n = qrels.groupBy("query_id").agg(F.count("*").alias("n"))
+    j, n = judged_results(spark, sf), relevant_counts(spark, sf)
     one = metrics.with_ideal(j).join(n, "query_id").groupBy("query_id").agg(metrics.precision(5).alias("precision"), F.round(metrics.recall(5, F.col("n")), 6).alias("recall"), F.round(metrics.ndcg_retrieved(10), 6).alias("ndcg"))
     return one.join(metrics.average_precision_retrieved(j).select("query_id", F.round("ap", 6).alias("ap")), "query_id")
 
 
 @query(f"with {JUDGED} select qlabel as pipeline, round(avg(p), 6) as precision, count(*) as n from (select query_id, sum((rank <= 5 and rel >= 1)::int) / 5 as p from j group by query_id) join (select distinct query_id, qlabel from sims) using (query_id) group by qlabel")
 def evl9_macro_means(spark, sf):
-    per = judged_results(spark, sf)[0].groupBy("query_id").agg(metrics.precision(5).alias("p"))
+    per = judged_results(spark, sf).groupBy("query_id").agg(metrics.precision(5).alias("p"))
     return per.join(vector_queries(spark, sf), "query_id").groupBy(F.col("qlabel").alias("pipeline")).agg(F.round(F.avg("p"), 6).alias("precision"), F.count("*").alias("n"))
 
 
 @query(f"with {JUDGED}, a as (select 'p5' as metric, avg(p) as v from (select sum((rank <= 5 and rel >= 1)::int) / 5 as p from j group by query_id)), b as (select 'p5' as metric, avg(p) as v from (select sum((rel >= 1)::int) / 10 as p from j group by query_id)) select metric, round(b.v - a.v, 6) as delta, case when round(b.v - a.v, 6) < -0.03 then 'REGRESSION' when round(b.v - a.v, 6) > 0.03 then 'IMPROVEMENT' else 'stable' end as verdict from a join b using (metric)")
 def evl15_compare_pipelines(spark, sf):
-    j, _ = judged_results(spark, sf)
+    j = judged_results(spark, sf)
     mean = lambda k: j.groupBy("query_id").agg(metrics.precision(k).alias("p")).agg(F.avg("p").alias("value")).select(F.lit("p5").alias("metric"), "value")
     return metrics.compared(mean(5), mean(10))
 
@@ -272,10 +299,10 @@ def neighbours(spark, sf):
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("b")), "id")
 
 
-@query("select vec_id, list_transform(embedding, lambda x: round(2 * x::double / sqrt(list_dot_product(list_transform(embedding, lambda y: 2 * y::double), list_transform(embedding, lambda y: 2 * y::double))), 6))[1:4] as head from embeddings")
+@query("select vec_id, list_transform(embedding, lambda x: round(2 * x::double / sqrt(list_dot_product(list_transform(embedding, lambda y: 2 * y::double), list_transform(embedding, lambda y: 2 * y::double))), 6)) as unit from embeddings")
 def vec1_normalize(spark, sf):
     twice = F.transform("embedding", lambda x: x.cast("double") * 2)
-    return table(spark, sf, "embeddings").select("vec_id", F.slice(F.transform(V.normalized(twice), lambda x: F.round(x, 6)), 1, 4).alias("head"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalized(twice), lambda x: F.round(x, 6)).alias("unit"))
 
 
 @query(f"select id, round(greatest(-1, least(1, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))))), 6) as cosine from {PAIRS}")
@@ -321,7 +348,9 @@ def vec7_similarity_bands(spark, sf):
     return neighbours(spark, sf).groupBy(V.similarity_band(V.cosine(F.col("a"), F.col("b"))).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(f"select id, true as invariant from {PAIRS}")
+@query(f"select id, round(list_dot_product(c, b) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(b, b))), 6) as cosine, round(list_dot_product(c, b), 5) as dot, abs(list_dot_product(c, b) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(b, b))) - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))) < 1e-6 as invariant from (select *, list_transform(a, lambda x: x * 7) as c from {PAIRS})")
 def vec8_magnitude(spark, sf):
-    a, b = F.col("a"), F.col("b")
-    return neighbours(spark, sf).select("id", (F.abs(V.cosine(F.transform(a, lambda x: x * 7), b) - V.cosine(a, b)) < 1e-6).alias("invariant"))
+    """A vector seven times as long: the dot product follows, the cosine stays."""
+    a, b = F.transform("a", lambda x: x.cast("double")), F.col("b")
+    c = F.transform(a, lambda x: x * 7)
+    return neighbours(spark, sf).select("id", F.round(V.cosine(c, b), 6).alias("cosine"), F.round(V.dot(c, b), 5).alias("dot"), (F.abs(V.cosine(c, b) - V.cosine(a, b)) < 1e-6).alias("invariant"))
