@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvane.llm.store import tidy
 from corvane.llm.words import U
 
 BLOCK = 1 << 13  # bytes of a bitmap in a block
@@ -36,7 +37,8 @@ def joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 
 def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
     """The compressed bitmap of a table's one column of 64-bit hashes; 2 ** (bits - 3) bytes at most, whatever the input."""
-    blocks = hashes.mapInArrow(marking(bits), "block int, data binary").groupBy("block").applyInArrow(joined, "block int, data binary").collect()
+    with tidy(hashes.sparkSession):
+        blocks = hashes.mapInArrow(marking(bits), "block int, data binary").groupBy("block").applyInArrow(joined, "block int, data binary").collect()
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in blocks:
         bitmap[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)

@@ -13,11 +13,13 @@ from corvane.llm.packing import best_fit_pack
 from corvane.llm.quality_model import crc_fold, fit_quality, quality_scores
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.secret_scan import digest, secret_scan
+from corvane.llm.store import lean
 from corvane.llm.substring_dedup import remove_repeats
 from corvane.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.store import dropped, settled
+from corvane.llm.store import dropped, settled, tidy
 
 
 def least_neighbour(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def counted_components(links: DataFrame, a: str, b: str) -> tuple[int, DataFrame
     edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     mark = n = None
     while True:
-        lower = edges.select(F.col("v").alias("u")).distinct().withColumn("leads", F.lit(1))
-        now = edges.join(lower, "u", "left").agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.count("leads").alias("on"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with tidy(links.sparkSession):
+            lower = edges.select(F.col("v").alias("u")).distinct().withColumn("leads", F.lit(1))
+            now = edges.join(lower, "u", "left").agg(F.count("*").alias("n"), F.count_distinct("u").alias("k"), F.count("leads").alias("on"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         n = now["n"] if n is None else n
         if now == mark or not now["n"] or (now["n"] == now["k"] and not now["on"]):
             break

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.components import counted_components
-from corvane.llm.store import settled
+from corvane.llm.store import settled, tidy
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs, sort_within
 
 SKETCH_BITS = 21
@@ -88,7 +88,8 @@ def bucket(shingle: np.ndarray) -> np.ndarray:
 
 def frequency_levels(docs: DataFrame, size: int) -> bytes:
     """For each bucket of the sketch the logarithm of how far its count lies above the mean; 2 MB whatever the input."""
-    rows = docs.select("text").mapInArrow(counted(size), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
+    with tidy(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(counted(size), "block int, data binary").groupBy("block").applyInArrow(added, "block int, data binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.float64)
     for r in rows:
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["data"]), np.int64)

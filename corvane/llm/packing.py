@@ -40,11 +40,10 @@ class Encoder(dict):
     characters or blanks for which that isn't certain go through the tokenizer whole.
     """
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -52,7 +51,16 @@ class Encoder(dict):
         ranks = {bytes(alphabet[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
+
+    @property
+    def whole(self):
+        """The tokenizer itself; loaded by the first text that needs it."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.MOST:

@@ -7,6 +7,8 @@ length together); the structure inputs are ratios read off the text; metadata ar
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -197,6 +199,33 @@ def extracted(columns: list[str]):
     return run
 
 
+EXAMPLES = "label int, index array<int>, value array<float>, stats array<double>"
+
+
+def fitting(columns: list[str]):
+    """The weights learned from all examples, which come to one task: their number is bounded, and the driver gets the weights alone."""
+
+    def run(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        machine = Machine(columns)
+        if held:
+            y = np.concatenate([b.column("label").to_numpy() for b in held]).astype(float)
+            parts = []
+            for b in held:
+                index, value, stats = (b.column(c) for c in ("index", "value", "stats"))
+                edge = index.offsets.to_numpy()
+                flat = [c.values.to_numpy() for c in (index, value)]
+                wide = stats.values.to_numpy()[stats.offsets[0].as_py() : stats.offsets[-1].as_py()].reshape(b.num_rows, -1)
+                parts += [(flat[0][i:j], flat[1][i:j], s) for i, j, s in zip(edge[:-1], edge[1:], wide, strict=True)]
+            order = sorted(range(len(y)), key=lambda j: (y[j], len(parts[j][0]), parts[j][0].tobytes(), parts[j][2].tobytes()))
+            machine.fit([parts[j] for j in order], y[order])
+        else:
+            machine.v[:] = 0
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine.packed(), 5)], pa.binary())], names=["state"])
+
+    return run
+
+
 def scores_of(machine: Machine, batch: pa.RecordBatch):
     for at, n, parts in all_inputs(batch, machine.metadata):
         z, _, _ = machine.logit(*machine.rows(*parts), n)
@@ -230,7 +259,7 @@ def numbers(docs: DataFrame, metadata: tuple[str, ...]) -> list[str]:
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", most: int = 8000, metadata: tuple[str, ...] = ("n_chars",)) -> dict:
     """Weights learned from at most ``most`` labelled documents with ``train`` true, those with the least hash of doc_id.
 
-    The bound keeps what reaches the driver at some tens of MB, as flat arrays. Rows with a null label or doc_id aren't used,
+    The bound keeps what one task learns from at some tens of MB; the driver gets the weights alone. Rows with a null label or doc_id aren't used,
     repeated labels of a document count once; without any labelled document every score is a half. ``metadata`` columns that
     ``docs`` lacks or that hold no numbers are left out.
     """
@@ -238,21 +267,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     columns = numbers(docs, metadata)
     some = docs.select("doc_id", "text", *columns).join(F.broadcast(rows.toDF("doc_id", "__label")), "doc_id").select("text", *columns, F.col("__label").alias("label"))
-    got = some.mapInArrow(extracted(columns), "label int, index array<int>, value array<float>, stats array<double>").toArrow()
-    machine = Machine(columns)
-    if got.num_rows:
-        y = got.column("label").to_numpy().astype(float)
-        flat = [got.column(c).combine_chunks() for c in ("index", "value", "stats")]
-        edge = flat[0].offsets.to_numpy()
-        index, value, stats = (c.values.to_numpy() for c in flat)
-        stats = stats.reshape(len(y), -1)
-        machine.fit([(index[a:b], value[a:b], s) for a, b, s in zip(edge[:-1], edge[1:], stats, strict=True)], y)
-        del flat, index, value, stats
-    else:
-        machine.v[:] = 0
-    del got
-    pa.default_memory_pool().release_unused()
-    return machine.packed()
+    examples = some.mapInArrow(extracted(columns), EXAMPLES)
+    got = examples.repartition(1).mapInArrow(fitting(columns), "state binary").collect()
+    return pickle.loads(got[0]["state"])
 
 
 def quality_scores(docs: DataFrame, state: dict) -> DataFrame:
