@@ -1,19 +1,24 @@
 """Approximate vector search: inverted lists, product quantisation and per-partition proximity graphs.
 
-Codebooks and centroids are fitted on a bounded sample; every row is indexed. Recall against exact_search is measured in tests.
+Each kind has a builder that writes its index as tables once, and a search that reads no more of them than it needs: the cells a
+query looks into, the codes without the vectors, the graphs as built. Codebooks and centroids are fitted on a bounded sample;
+every row is indexed. Recall against the exact search is measured in tests.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.dense import matrix, scanner
+from corvane.functions.vectors import dot, normalized
+from corvane.operators.dense import bounded, matrix, scanner
 from corvane.operators.lexical import top_k
+from corvane.sources.tables import written
 
 
 def sample(corpus: DataFrame, most: int) -> np.ndarray:
@@ -59,14 +64,22 @@ def assigned(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
     return corpus.where("vector is not null").select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "id long, vector array<double>, cell int")
 
 
-def ivf_search(corpus: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probe: int = 4, most: int = 20_000) -> DataFrame:
-    """query_id, id, score, rank from the ``probe`` lists nearest to each query, scored exactly."""
+def build_ivf(corpus: DataFrame, lists: int = 16, most: int = 20_000) -> dict[str, DataFrame]:
+    """Tables cells (id, vector, by cell) and centroids (cell, centroid) over ``corpus`` (id, vector)."""
     centroids = k_means(sample(corpus, most), lists)
-    cells = assigned(corpus, centroids)
-    q = queries.select(F.col("query_id").alias("id"), "vector").toArrow()
-    qm = unit(matrix(q.column("vector").combine_chunks())) if q.num_rows else np.zeros((0, 1))
-    near = np.argsort(-(qm @ centroids.T), axis=1, kind="stable")[:, :probe] if q.num_rows else np.zeros((0, probe), int)
-    ids = q.column("id").to_numpy()
+    rows = corpus.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
+    return {"cells": written(assigned(corpus, centroids).repartition("cell"), "cells", "cell"), "centroids": written(rows.coalesce(1), "centroids")}
+
+
+def ivf_lookup(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, probe: int = 4, most: int = 20_000) -> DataFrame:
+    """query_id, id, score, rank from the ``probe`` cells nearest to each query, scored exactly; other cells aren't read."""
+    got = bounded(queries.select(F.col("query_id").alias("id"), "vector"), most, "id", "vector")
+    c = index["centroids"].orderBy("cell").toArrow()
+    centroids = matrix(c.column("centroid").combine_chunks())
+    qm = unit(matrix(got.column("vector").combine_chunks())) if got.num_rows else np.zeros((0, centroids.shape[1] if centroids.size else 1))
+    near = np.argsort(-(qm @ centroids.T), axis=1, kind="stable")[:, :probe] if got.num_rows and centroids.size else np.zeros((0, probe), int)
+    ids = got.column("id").to_numpy()
+    wanted = [int(x) for x in np.unique(near)]
 
     def run(batches):
         for batch in batches:
@@ -76,6 +89,7 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int = 10, lists: int =
                 if len(own):
                     yield from scanner(ids[own], qm[own], k, "dot")([batch.take(pa.array(np.flatnonzero(cell == c)))])
 
+    cells = index["cells"].where(F.col("cell").isin(wanted)).select("id", "vector", "cell")
     return top_k(cells.mapInArrow(run, "query_id long, id long, score double"), k, id="id")
 
 
@@ -98,28 +112,42 @@ class Quantizer:
         return sum((q[:, i * part : (i + 1) * part] @ b.T)[:, codes[:, i]] for i, b in enumerate(self.books)).T
 
 
-def pq_search(corpus: DataFrame, queries: DataFrame, k: int = 10, m: int = 8, centroids: int = 64, rerank: int = 10, most: int = 5000) -> DataFrame:
-    """The ``k * rerank`` best of each batch by quantised scores, then exactly."""
+def build_pq(corpus: DataFrame, m: int = 8, centroids: int = 64, most: int = 5000) -> dict[str, DataFrame]:
+    """Tables codes (id, code: m bytes), vectors (id, vector) and books (part, book: its centroids one behind another)."""
     pq = Quantizer(sample(corpus, most), m, centroids)
-    got = queries.select("query_id", "vector").toArrow()
-    q = unit(matrix(got.column("vector").combine_chunks()))
+
+    def run(batches):
+        for batch in batches:
+            code = pq.encode(matrix(batch.column(1))) if batch.num_rows else np.zeros((0, m), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+
+    rows = corpus.select(F.col("id").cast("long"), "vector").where("vector is not null")
+    books = corpus.sparkSession.createDataFrame([(i, b.shape[1], b.ravel().tolist()) for i, b in enumerate(pq.books)], "part int, width int, book array<double>")
+    return {"codes": written(rows.mapInArrow(run, "id long, code binary"), "codes"), "vectors": written(rows, "vectors"), "books": written(books.coalesce(1), "books")}
+
+
+def pq_lookup(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, rerank: int = 10, most: int = 20_000) -> DataFrame:
+    """The ``k * rerank`` best by quantised scores, from the codes alone; only these rows' vectors are read and scored exactly."""
+    got = bounded(queries, most, "query_id", "vector")
+    q = unit(matrix(got.column("vector").combine_chunks())) if got.num_rows else np.zeros((0, 1))
     ids = got.column("query_id").to_numpy()
+    pq = Quantizer.__new__(Quantizer)
+    pq.books = [np.array(r["book"]).reshape(-1, r["width"]) for r in index["books"].orderBy("part").collect()]
+    pq.m = len(pq.books)
 
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column(1))
-            if not x.size:
+            if not batch.num_rows or not len(q):
                 continue
-            rough = pq.scores(pq.encode(x), q)
-            keep = min(k * rerank, len(x))
+            rough = pq.scores(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, pq.m), q)
+            keep = min(k * rerank, batch.num_rows)
             best = np.argpartition(-rough, keep - 1, axis=0)[:keep]
             own = batch.column(0).to_numpy()
-            for j in range(len(q)):
-                exact = np.round(x[best[:, j]] @ q[j], 9)
-                order = np.lexsort((own[best[:, j]], -exact))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), ids[j])), pa.array(own[best[order, j]]), pa.array(exact[order])], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, keep)), pa.array(own[best].ravel()), pa.array(np.round(np.take_along_axis(rough, best, 0), 9).ravel())], names=["query_id", "id", "score"])
 
-    return top_k(corpus.select(F.col("id").cast("long"), "vector").where("vector is not null").mapInArrow(run, "query_id long, id long, score double"), k, id="id")
+    rough = top_k(index["codes"].mapInArrow(run, "query_id long, id long, score double"), k * rerank, id="id").select("query_id", "id")
+    exact = rough.join(index["vectors"], "id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    return top_k(exact.select("query_id", "id", F.round(dot(F.col("vector"), normalized(F.col("q"))), 9).alias("score")), k, id="id")
 
 
 class Graph:
@@ -190,16 +218,13 @@ class Graph:
         return self.beam(q, at, max(width, k), 0)[:k]
 
 
-def graph_search(corpus: DataFrame, queries: DataFrame, k: int = 10, width: int = 100, rows: int = 20_000) -> DataFrame:
-    """A graph per stretch of at most ``rows`` rows of a partition, each searched for every query; the best of all are merged."""
-    got = queries.select("query_id", "vector").toArrow()
-    q = unit(matrix(got.column("vector").combine_chunks()))
-    ids = got.column("query_id").to_numpy()
+def build_graphs(corpus: DataFrame, rows: int = 20_000) -> dict[str, DataFrame]:
+    """Table graphs: one graph for each stretch of at most ``rows`` rows of a task, as (ids, graph) in bytes."""
 
     def run(batches):
-        def found(graph, own):
-            out = [(int(ids[j]), own[n], round(1 - d, 9)) for j in range(len(q)) for d, n in graph.search(q[j], k, width)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+        def packed(graph, own):
+            state = {"m": graph.m, "x": np.array(graph.x), "links": graph.links, "entry": graph.entry, "top": graph.top, "ids": own}
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state, 5)], pa.binary())], names=["graph"])
 
         graph, own = Graph(), []
         for batch in batches:
@@ -207,12 +232,31 @@ def graph_search(corpus: DataFrame, queries: DataFrame, k: int = 10, width: int
                 graph.add(v)
                 own.append(i)
                 if len(own) >= rows:
-                    yield found(graph, own)
+                    yield packed(graph, own)
                     graph, own = Graph(), []
         if own:
-            yield found(graph, own)
+            yield packed(graph, own)
+
+    vectors = corpus.select(F.col("id").cast("long"), "vector").where("vector is not null")
+    return {"graphs": written(vectors.mapInArrow(run, "graph binary"), "graphs")}
 
-    return top_k(corpus.select(F.col("id").cast("long"), "vector").where("vector is not null").mapInArrow(run, "query_id long, id long, score double"), k, id="id")
+
+def graph_lookup(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, width: int = 100, most: int = 2048) -> DataFrame:
+    """Every graph searched for every query with a beam of ``width``; the best of all are merged. The graphs are read as built."""
+    got = bounded(queries, most, "query_id", "vector")
+    q = unit(matrix(got.column("vector").combine_chunks())) if got.num_rows else np.zeros((0, 1))
+    ids = got.column("query_id").to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            for body in batch.column(0):
+                state = pickle.loads(body.as_py())
+                graph = Graph.__new__(Graph)
+                graph.m, graph.x, graph.links, graph.entry, graph.top = state["m"], list(state["x"]), state["links"], state["entry"], state["top"]
+                out = [(int(ids[j]), state["ids"][n], round(1 - d, 9)) for j in range(len(q)) for d, n in graph.search(q[j], k, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+    return top_k(index["graphs"].mapInArrow(run, "query_id long, id long, score double"), k, id="id")
 
 
 def recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -79,7 +79,7 @@ def test_recall_of_approximate_search(spark):
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
     exact = dense.vector_search(v, q)
-    for found in (ann.graph_search(v, q), ann.ivf_search(v, q, probe=12), ann.pq_search(v, q, centroids=32)):
+    for found in (ann.graph_lookup(ann.build_graphs(v), q), ann.ivf_lookup(ann.build_ivf(v), q, probe=12), ann.pq_lookup(ann.build_pq(v, centroids=32), q)):
         assert ann.recall(found, exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
     truth = np.argsort(-(x @ x[0]), kind="stable")[:10].tolist()
     assert [r["id"] for r in exact.where("query_id = 0").orderBy("rank").collect()] == truth
