@@ -6,6 +6,9 @@ a 64-bit hash of its words' hashes; two different ones share a hash with probabi
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,15 +41,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of them."""
-    if 0 not in _kept or len(_kept[0][0]) < n:
+    """Powers of BASE and of its inverse modulo 2**64, at least n of them, kept for the life of the process.
+
+    They stand in a module of their own, as what this module's names hold would travel with every function sent to executors.
+    """
+    home = sys.modules.setdefault("_corvane_powers", types.ModuleType("_corvane_powers"))
+    held = getattr(home, "tables", None)
+    if held is None or len(held[0]) < n:
         size = max(n, SLAB + 1)
-        _kept[0] = powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)
-    return _kept[0]
+        held = home.tables = powers(BASE, size), powers(pow(BASE, -1, 1 << 64), size)
+    return held
 
 
 def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
