@@ -40,7 +40,7 @@ class Encoder(dict):
     characters or blanks for which that isn't certain go through the tokenizer whole.
     """
 
-    MOST = 100_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         import tiktoken
