@@ -106,7 +106,7 @@ def of_terms(posts: DataFrame, terms: DataFrame, most: int = 5000) -> DataFrame:
     some = terms.limit(most + 1).collect()
     if len(some) <= most:
         return posts.where(F.col("term").isin([r["term"] for r in some]))
-    return posts.join(terms, "term", "left_semi")
+    return posts.join(terms, "term", "left_semi").select(posts.columns)
 
 
 def index_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, stopwords=STOPWORDS) -> DataFrame:

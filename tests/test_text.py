@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,15 +60,20 @@ def test_native_fold_equals_the_row_function(spark):
         assert one(spark, lambda t, o=overlap: C.by_sentences(t, 60, o), text) == C.packed(C.split_sentences(text), 60, overlap)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n", max_size=400), st.integers(5, 40), st.integers(0, 4))
-def test_token_windows_end_and_cover(text, size, overlap):
-    words = text.split()
-    got = C.token_windows(text, size, overlap)
-    assert bool(words) == bool(got)
-    if words:
-        assert got[0].split()[0] == words[0]
-        assert got[-1].split()[-1] == words[-1]
+@pytest.mark.parametrize(("size", "overlap"), [(5, 0), (9, 4), (40, 4)])
+def test_token_windows_end_and_cover(spark, size, overlap):
+    rng = random.Random(size)
+    texts = ["", " \n", "a" * 200, *("".join(rng.choice("ab. \n") for _ in range(rng.randrange(400))) for _ in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", C.by_tokens(F.col("t"), size, overlap).alias("c")).collect()
+    for r in rows:
+        words, at, end = texts[r["id"]].split(), 0, 0
+        for window in (c.split() for c in r["c"]):
+            assert window == words[at : at + len(window)] and at <= end and at + len(window) > end
+            end = at + len(window)
+            n = [max(1, len(w) // 4) for w in window]
+            assert sum(n[:-1]) < size and (sum(n) >= size or end == len(words))
+            at = end - min(max(1, len(window) * overlap // size), len(window) - 1)
+        assert end == len(words)
 
 
 @settings(max_examples=60, deadline=None)
