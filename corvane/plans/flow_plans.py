@@ -418,7 +418,7 @@ def asked(spark, sf):
 
 
 @query(f"""with {bm25_cte(VARIANT_ROWS, 5)}, f as (select query_id // 64 as query_id, doc_id, round(sum(1 / (60 + rank)), 9) as score from bm25_top group by all), r as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f) where rank <= 5)
-  select r.query_id, technique, doc_id, rank, round(sum((quality = 1)::int) over (partition by r.query_id) / 5, 6) as good from r join (select item_id as query_id, technique from {TECHNIQUE}) using (query_id) left join labels using (doc_id)""")
+  select r.query_id, technique, doc_id, rank, round(sum((coalesce(quality, 0) = 1)::int) over (partition by r.query_id) / 5, 6) as good from r join (select item_id as query_id, technique from {TECHNIQUE}) using (query_id) left join labels using (doc_id)""")
 def qry14_optimized_search(spark, sf):
     found = rag.optimized(asked(spark, sf), lambda q, k: lexical.index_search(lexical_index(spark, sf), q, k))
     good = F.sum((F.coalesce("quality", F.lit(0)) == 1).cast("int")).over(Window.partitionBy("query_id"))

@@ -277,7 +277,9 @@ def qry5_cutoff_risk(spark, sf):
     return phrased(spark, sf).select("conv_id", "turn", r["n_signals"].alias("n_signals"), r["risk"].alias("risk"))
 
 
-SIGNALS = "list_filter([" + ", ".join("case when " + " or ".join(f"regexp_matches(lower(q), '(?i){p}')" for p in pats) + f" then '{k}' end" for k, (_, pats) in Q.ROUTES.items()) + "], lambda x: x is not null)"
+#: Letters beyond ASCII are letters at a word's edge, too; DuckDB's patterns don't take them for such.
+EDGED = "regexp_replace(lower(q), '[^\\x00-\\x7F×≤≥]', 'x', 'g')"
+SIGNALS = "list_filter([" + ", ".join("case when " + " or ".join(f"regexp_matches({EDGED}, '(?i){p}')" for p in pats) + f" then '{k}' end" for k, (_, pats) in Q.ROUTES.items()) + "], lambda x: x is not null)"
 ROUTE_SQL = """case when len(s) = 0 then 'parametric' when len(list_filter(s, lambda x: x not in ('arithmetic', 'negation_filter', 'constraint_filter'))) = 0 then 'tool' when list_has_any(s, ['knowledge_cutoff', 'private_data']) and list_contains(s, 'realtime_data') then 'hybrid'
   when list_contains(s, 'realtime_data') then case when list_has_any(s, ['arithmetic', 'negation_filter', 'constraint_filter']) then 'hybrid' else 'realtime-rag' end when list_has_any(s, ['knowledge_cutoff', 'private_data']) then 'static-rag' else 'parametric' end"""
 
