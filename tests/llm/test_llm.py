@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -633,3 +634,23 @@ def test_pipeline(spark, texts, tmp_path):
         assert 0 < (n := now.count()) <= before
         before = n
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == before
+
+
+def test_context_mixing_writes_files_by_bytes_of_text(spark, monkeypatch):
+    docs = spark.range(48).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("lease"), F.col("id") % 7, F.sha2(F.col("id").cast("string"), 256)).alias("text")).repartition(24)
+    files, settled = {}, context_mixing.settled
+
+    def counted(df, name):
+        out = settled(df, name)
+        files.setdefault(name, []).append(len(list(Path(out._settled_at.removeprefix("file:")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(context_mixing, "settled", counted)
+    got = []
+    for share in (1 << 20, 1 << 8):
+        monkeypatch.setattr(context_mixing, "SHARE", share)
+        scored = context_mixing.score_texts(docs, F.col("doc_id") % 5 != 1)
+        got.append({r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in scored.collect()})
+    assert got[0] == got[1] and len(got[0]) == 48
+    most = spark.sparkContext.defaultParallelism
+    assert all(few <= most for few, _ in files.values()) and files["chunks"][1] > most and files["outcomes"][1] > most
