@@ -491,6 +491,60 @@ def test_context_mixing_layout_does_not_matter(spark, docs, monkeypatch):
         assert math.isclose(r["base_score"], second[i]["base_score"], rel_tol=1e-9) and math.isclose(r["score"], second[i]["score"], rel_tol=0.05)
 
 
+def test_spelling_works_out_equal_contexts_once(monkeypatch):
+    """Bits of words are those of every byte in turn; repeated words take no more hashes than one of each does."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    slots = 1 << context_mixing.BYTE_SLOTS
+    table = rng.integers(0, 1 << 16, slots).astype(np.uint16)
+    table[rng.random(slots) < 0.5] = 0
+    weights = rng.normal(size=(context_mixing.BYTE_GATES, context_mixing.BYTE_INPUTS))
+    speller = lambda: context_mixing.Speller(zlib.compress(table.tobytes()), weights)
+    spelt = ["tree", "trees", "a", "", "häuser", "street", "a\0b", "\0", "tree"]
+
+    def bits_of(word, own, weights=weights):
+        """(bit, cost, value minus probability, gate and inputs) of each bit of a word and the blank behind it."""
+        data = [*word.encode(), 32]
+        for at, byte in enumerate(data):
+            for j in range(8):
+                y, node, x = byte >> 7 - j & 1, np.uint64((byte | 256) >> 8 - j), [1.0] * context_mixing.BYTE_INPUTS
+                seen = 0
+                for k in range(1, 5):
+                    before = np.uint64(sum(data[at - i] << 8 * (i - 1) for i in range(1, k + 1) if i <= at))
+                    h = np.array([before]) * context_mixing.B + np.uint64(k) * context_mixing.C + node * context_mixing.A
+                    v = int(table[int(context_mixing.mix(h)[0] >> np.uint64(64 - context_mixing.BYTE_SLOTS))])
+                    n = [v & 255, v >> 8]
+                    n[y] -= own and 0 < n[y] < 255
+                    x[k - 1] = math.log((n[1] + 0.3) / (n[0] + 0.3)) * sum(n) / (sum(n) + 1.5)
+                    seen += sum(n) > 0
+                seen = min(seen, context_mixing.BYTE_GATES - 1)
+                p = 1 / (1 + math.exp(-min(max(float(weights[seen] @ x), -12), 12)))
+                yield j, -math.log2(p if y else 1 - p), y - p, seen, np.array(x)
+
+    data = np.frombuffer("".join(w + " " for w in spelt).encode(), np.uint8)
+    with np.errstate(over="ignore"):
+        for own in (False, True):
+            want = [[*bits_of(w, own)] for w in spelt]
+            assert np.allclose(speller().cost(data, own), [sum(b[1] for b in w) for w in want], rtol=1e-5)
+        learnt, moved = speller(), weights.copy()
+        learnt.cost(data, True, True)
+        for j in range(8):
+            rows = [b for w in spelt for b in bits_of(w, True, moved) if b[0] == j]
+            for g in {b[3] for b in rows}:
+                moved[g] += 0.02 * np.mean([b[2] * b[4] for b in rows if b[3] == g], axis=0)
+        assert np.allclose(learnt.weights, moved, rtol=1e-5) and not np.allclose(moved, weights, rtol=1e-5)
+    hashed, mix = [], context_mixing.mix
+    monkeypatch.setattr(context_mixing, "mix", lambda h: (hashed.append(len(h)), mix(h))[1])
+    work = []
+    for times in (1, 500):
+        hashed.clear()
+        cost = speller().cost(np.tile(data, times), True)
+        work.append(sum(hashed))
+        assert (cost == np.tile(cost[: len(spelt)], times)).all()
+    assert work[0] == work[1]
+
+
 def test_hashes_and_counts_travel_whole():
     import numpy as np
 
