@@ -545,6 +545,56 @@ def test_spelling_works_out_equal_contexts_once(monkeypatch):
     assert work[0] == work[1]
 
 
+def test_keys_are_ordered_as_they_come():
+    """Also where keys leave no room for their places and differ only in the bits that are lost then."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    near = (1 << 62) + rng.integers(0, 4, 3000) * rng.integers(0, 2, 3000)
+    near[0] = 3
+    for keys in (rng.integers(0, 50, 3000), rng.integers(0, 2**63, 3000), near, near[:1], near[:0]):
+        keys = keys.astype(np.uint64)
+        assert (context_mixing.ordered(keys) == np.argsort(keys, kind="stable")).all()
+        key, back, times = context_mixing.distinct(keys)
+        assert (key == np.unique(keys)).all() and (key[back] == keys).all() and times.tolist() == [n for _, n in sorted(Counter(keys.tolist()).items())]
+
+
+def test_decisions_are_mixed_token_by_token():
+    """Costs are those of each document's decisions taken in turn, with weights corrected after every ``CHUNK`` tokens of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = [1, 200, 0, 70, 64, 3]
+    codes = [rng.integers(0, 4, k) | rng.choice([0, 3, 17, 31], k) << 2 | rng.choice([0, 5, 31], k) << 7 | rng.integers(0, 2, k) << 12 for k in n]
+    before = [rng.integers(0, context_mixing.PREVIOUS, k) for k in n]
+    odds = rng.normal(size=sum(context_mixing.SIZES)).astype(np.float32)
+    weights = rng.normal(size=(context_mixing.GATES, context_mixing.INPUTS))
+    want = []
+    for code, last in zip(codes, before, strict=True):
+        w, bits, past = weights.astype(np.float32), 0.0, [4, 4, 4, 4]
+        for at in range(0, len(code), context_mixing.CHUNK):
+            steps = {}
+            for c, b in zip(code[at : at + context_mixing.CHUNK].tolist(), last[at : at + context_mixing.CHUNK].tolist(), strict=True):
+                outcome, two, short, known = c & 3, c >> 2 & 31, c >> 7 & 31, c >> 12
+                p1, p2, p3, p4 = past
+                for level, size in enumerate((two, short, 0)):
+                    if outcome >= level and size != context_mixing.NONE and (level < 2 or known):
+                        slots = [(level * 32 + size) * 25 + p1 * 5 + p2, level * 625 + p1 * 125 + p2 * 25 + p3 * 5 + p4, (level * 32 + two) * 32 + short, (level * context_mixing.PREVIOUS + b) * 5 + p1]
+                        x = np.array([*(odds[i + o] for i, o in zip(slots, np.cumsum([0, *context_mixing.SIZES[:-1]]), strict=True)), 1])
+                        gate = level * 5 + p1
+                        p = 1 / (1 + math.exp(-min(max(float(w[gate] @ x), -12), 12)))
+                        bits -= math.log2(p if outcome == level else 1 - p)
+                        steps.setdefault(gate, []).append(((outcome == level) - p) * x)
+                past = [outcome, *past[:3]]
+            for gate, moves in steps.items():
+                w[gate] += 0.015 * sum(moves) / math.sqrt(len(moves))
+        want.append(bits)
+    texts = lambda xs: pa.array([x.astype("<u2").tobytes() for x in xs], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(n), texts(codes), texts(before)], names=["n_tokens", "codes", "before"])
+    assert np.allclose(context_mixing.Mixer(odds, weights).cost(context_mixing.Decisions(batch), len(n)), want, rtol=1e-4)
+
+
 def test_hashes_and_counts_travel_whole():
     import numpy as np
 
