@@ -14,6 +14,11 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def both_of(edges: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """u, v: the pairs of columns named, each row's one after another. Unlike a union this plans ``edges`` once."""
+    return edges.select(F.inline(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ends])))
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (least node reachable) of every node in ``links``; self-links, repeats and both directions are allowed.
 
@@ -35,10 +40,10 @@ def counted_components(links: DataFrame, a: str, b: str) -> tuple[int, DataFrame
         if now == mark or not now["n"] or (now["n"] == now["k"] and not now["on"]):
             break
         mark = now
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both_of(edges, ("u", "v"), ("v", "u"))
         large = least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = least_neighbour(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = both_of(small, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         new = settled(small, "links")
         dropped(edges)
         edges = new

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.bitmaps import bitmap_of, members, opened
 from corvane.llm.components import counted_components
-from corvane.llm.store import settled, tidy
+from corvane.llm.store import dropped, settled, tidy
 from corvane.llm.words import BASE, U, Words, grams, mix, slabs, sort_within
 
 SKETCH_BITS = 21
@@ -312,11 +312,15 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, producti
 
 def joined(label: DataFrame | None, found: DataFrame) -> tuple[int, DataFrame]:
     """(number of new links, node and component of all nodes) after the links ``found`` are added; earlier components are contracted,
-    so only new links are walked."""
+    so only new links are walked. The components are settled: left as a plan they would be planned and worked out anew at every
+    use, and each round's plan would hold all earlier ones several times, in the driver's memory too."""
     if label is None:
-        return counted_components(found, "a", "b")
+        n, over = counted_components(found, "a", "b")
+        return n, settled(over, "components")
     lead = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     edges = found.join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     n, over = counted_components(edges, "a", "b")
     old = label.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return n, old.union(over.join(label.select("node"), "node", "left_anti"))
+    new = settled(old.union(over.join(label.select("node"), "node", "left_anti")), "components")
+    dropped(label)
+    return n, new

@@ -149,6 +149,16 @@ def test_hubs_alone_dont_decide(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_plans_stay_the_same_from_round_to_round(spark):
+    label = None
+    for links in ([(1, 2), (3, 4)], [(2, 3)], [(4, 5), (7, 6)]):
+        n, label = ngram_join.joined(label, spark.createDataFrame(links, "a long, b long"))
+        assert n == len(links)
+        plan = label._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("Relation") and len(plan.splitlines()) == 1
+    assert {r["node"]: r["component"] for r in label.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6}
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
