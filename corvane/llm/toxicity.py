@@ -96,7 +96,7 @@ class BlockMaxIndex:
         term, weight = join(0, np.int64), join(1, np.float64)
         owner = np.repeat(np.arange(len(vectors)), np.array([len(v[0]) for v in vectors], np.int64))
         by = np.lexsort((owner, term))
-        term, self.weight, self.owner = term[by], weight[by], owner[by].astype(np.int32)
+        term, self.weight, self.owner = term[by], weight[by], owner[by]
         block = self.owner // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -105,6 +105,13 @@ class BlockMaxIndex:
         self.top = np.maximum.reduceat(self.weight, self.start[:-1]) * (1 + 1e-9) if len(term) else np.zeros(0)
         self.first = np.searchsorted(term[self.start[:-1]], np.arange(len(vocabulary) + 1))
 
+    def __getstate__(self) -> dict:
+        """Places travel as 32 bits; a search takes them as 64, which numpy would widen in every call."""
+        return self.__dict__ | {"owner": self.owner.astype(np.int32), "block": self.block.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"owner": state["owner"].astype(np.int64), "block": state["block"].astype(np.int64)})
+
     def vector(self, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the vocabulary, weight) with unit length; empty without a term of the vocabulary."""
         some, term = found_in(self.vocabulary, h)
@@ -134,6 +141,9 @@ class BlockMaxIndex:
             if skip is not None:
                 p = p[p != skip]
             place, cosine = np.concatenate([place, p]), np.concatenate([cosine, got[p]])
+            if len(cosine) > k:  # what rounds to less than the k-th best cosine does needn't be sorted
+                some = np.flatnonzero(cosine >= np.partition(cosine, -k)[-k] - 2e-12)
+                place, cosine = place[some], cosine[some]
             best = np.lexsort((place, -np.round(cosine, 12)))[:k]
             place, cosine = place[best], cosine[best]
             at, size = at + size, size * 4

@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -621,6 +623,27 @@ def labelled(spark, texts, bad):
     return d, spark.createDataFrame([(i, int(i not in bad), int(i in bad)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
 
 
+def test_nearest_sorts_few_candidates(monkeypatch):
+    rng = np.random.default_rng(5)
+    bags = [(np.unique(rng.integers(1, 40, 8)).astype(np.uint64) * 7, None) for _ in range(600)]
+    bags = [(h, np.ones(len(h), np.int64)) for h, _ in bags]
+    index = pickle.loads(pickle.dumps(toxicity.BlockMaxIndex(np.arange(1, 40, dtype=np.uint64) * 7, np.ones(39), bags, np.zeros(600), np.arange(600))))
+    dense = np.zeros((600, 39))
+    for i, (h, t) in enumerate(bags):
+        term, weight = index.vector(h, t)
+        dense[index.place[i], term] = weight
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(toxicity.np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    for h, t in bags[:40]:
+        term, weight = index.vector(h, t)
+        cosine = dense[:, term] @ weight
+        want = lexsort((np.arange(600), -np.round(cosine, 12)))[:15]
+        place, got = index.nearest(term, weight, 15)
+        assert place.tolist() == want.tolist() and np.allclose(got, cosine[want], atol=1e-12)
+    assert np.mean(sorted_rows) < 60
+    assert index.owner.dtype == index.block.dtype == np.int64
+
+
 def test_quality_and_toxicity_held_out(spark):
     rng = random.Random(2)
     texts, bad = [], set()
